@@ -26,11 +26,22 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines(sourced_documents(spark, d, "text")).select("doc_id", "line_no")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from folioframe.llm.langid import detect_languages, fit_language_model, relabelled
+    from folioframe.llm.lines import repeated_lines, without_repeated_lines
+
+    labelled = table(spark, d, "documents").select("doc_id", "text", "lang")
+    model = fit_language_model(labelled, "doc_id", "text", "lang")
+    site = repeated_lines(sourced_documents(spark, d, "text"))
+    clean = without_repeated_lines(labelled, site)
+    return relabelled(detect_languages(clean, model, keep=("lang",)), "lang")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from folioframe.llm.fold import disguised_fields
 
     return disguised_fields(table(spark, d, "books"), "rec_no", ["title", "author"])
 
 
-QUERIES = {"p1_found": p1_found, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found}
 SQL: dict[str, str] = {}
