@@ -43,5 +43,16 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return disguised_fields(table(spark, d, "books"), "rec_no", ["title", "author"])
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found}
+def passages(spark: SparkSession, d: str) -> DataFrame:
+    """The passage line of each evaluation item (the second of its four lines)."""
+    return table(spark, d, "eval_items").select("item_id", F.get(F.split("text", "\n"), F.lit(1)).alias("passage"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    from folioframe.llm.leaks import leaked_items
+
+    return leaked_items(table(spark, d, "documents"), passages(spark, d)).select("doc_id", "item_id")
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found}
 SQL: dict[str, str] = {}
