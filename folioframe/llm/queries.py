@@ -54,5 +54,44 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(table(spark, d, "documents"), passages(spark, d)).select("doc_id", "item_id")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found}
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture itself: a row per document and copy."""
+    from folioframe.llm.mix import mix, source_rates
+
+    sizes = _document_sizes(spark, d)
+    return mix(sizes, source_rates(sizes, table(spark, d, "mix_targets")))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share each source really got."""
+    from folioframe.llm.mix import mix, mixture_report, source_rates
+
+    sizes = _document_sizes(spark, d)
+    rates = source_rates(sizes, table(spark, d, "mix_targets"))
+    return mixture_report(mix(sizes, rates), rates)
+
+
+def _document_sizes(spark: SparkSession, d: str) -> DataFrame:
+    from folioframe.llm.tokens import with_token_counts
+    from folioframe.session import materialise
+
+    return materialise(with_token_counts(sourced_documents(spark, d, "text")).drop("bookId"), "document-sizes")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _pieces(spark, d).select("doc_id").dropDuplicates()
+
+
+def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Every piece of every oversized document."""
+    return _pieces(spark, d)
+
+
+def _pieces(spark: SparkSession, d: str) -> DataFrame:
+    from folioframe.llm.pieces import split_oversized
+
+    return split_oversized(table(spark, d, "documents"), max_tokens=1024, overlap=64, above_words=1200)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p4_found, p5_found, p7_found, p8_mixture, p8_shares, p9_found, p9_pieces)}
 SQL: dict[str, str] = {}
