@@ -43,6 +43,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return disguised_fields(table(spark, d, "books"), "rec_no", ["title", "author"])
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    from folioframe.llm.names import variant_pairs
+
+    entries = table(spark, d, "books").select("rec_no", "author").dropDuplicates()
+    return variant_pairs(entries, "author")
+
+
 def passages(spark: SparkSession, d: str) -> DataFrame:
     """The passage line of each evaluation item (the second of its four lines)."""
     return table(spark, d, "eval_items").select("item_id", F.get(F.split("text", "\n"), F.lit(1)).alias("passage"))
@@ -93,5 +100,5 @@ def _pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(table(spark, d, "documents"), max_tokens=1024, overlap=64, above_words=1200)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p4_found, p5_found, p7_found, p8_mixture, p8_shares, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p4_found, p5_found, p6_found, p7_found, p8_mixture, p8_shares, p9_found, p9_pieces)}
 SQL: dict[str, str] = {}
