@@ -26,6 +26,24 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines(sourced_documents(spark, d, "text")).select("doc_id", "line_no")
 
 
+def catalogue_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of the three catalogues in one shape."""
+    one = lambda name, side: table(spark, d, name).select(F.lit(side).alias("side"), F.col("rec_no").alias("rec"), "title", F.array("author").alias("authors"))
+    hits = table(spark, d, "search_hits").select(F.lit(2).alias("side"), F.col("rec_no").alias("rec"), "title", F.col("authors.name").alias("authors"))
+    return one("books", 0).unionByName(one("wanted_list", 1)).unionByName(hits)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_links(spark, d).select("rec_a", "rec_b")
+
+
+def p2_links(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs with their confidence."""
+    from folioframe.llm.linkage import link_sources
+
+    return link_sources(catalogue_entries(spark, d))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     from folioframe.llm.langid import detect_languages, fit_language_model, relabelled
     from folioframe.llm.lines import repeated_lines, without_repeated_lines
@@ -100,5 +118,5 @@ def _pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(table(spark, d, "documents"), max_tokens=1024, overlap=64, above_words=1200)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p4_found, p5_found, p6_found, p7_found, p8_mixture, p8_shares, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_links, p4_found, p5_found, p6_found, p7_found, p8_mixture, p8_shares, p9_found, p9_pieces)}
 SQL: dict[str, str] = {}
