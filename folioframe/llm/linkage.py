@@ -96,8 +96,9 @@ def author_reading(authors: list[str] | None) -> dict:
     return out
 
 
-def blocking_keys(main: list[str], whole: list[str], numbers: list[str], author: str | None) -> list[str]:
+def blocking_keys(main: list[str], whole: list[str], numbers: list[str], author: str | None, given: list[str]) -> list[str]:
     """Keys under which a wording looks for its like; see the module text."""
+    first = {w[0] for w in (author, *given[:1]) if w} if author else set()
     keys = {"f " + " ".join(whole), "f " + " ".join(main)}
     a, n = author or "", len(main)
     for left in range(-1, n):
@@ -106,6 +107,8 @@ def blocking_keys(main: list[str], whole: list[str], numbers: list[str], author:
             keys.add("l " + " ".join(rest))
         elif rest and a:
             keys.add(" ".join(["a", a, *(numbers if len(rest) == 1 else ()), *rest]))
+            if len(rest) == 2:
+                keys.update(" ".join(["i", c, *rest]) for c in first)
     if n <= 3:
         for i, w in enumerate(main):
             if letters(w) >= 5:
@@ -130,7 +133,7 @@ def _read_udf(titles: pa.Array, authors: pa.Array) -> pa.Array:
         a = author_reading(names[at : at + k])
         at += k
         t = parse_title(title)
-        out.append(None if t is None else t | a | {"keys": blocking_keys(t["main"], t["whole"], t["numbers"], a["sur"])})
+        out.append(None if t is None else t | a | {"keys": blocking_keys(t["main"], t["whole"], t["numbers"], a["sur"], a["given"])})
     return pa.array(out, _NODE_ARROW)
 
 
