@@ -27,6 +27,7 @@ CHAPTER = (
 SCENE = r"^\s*(?:\*\s*\*\s*\*|\*\*\*|—\s*—\s*—|·\s*·\s*·)\s*$"
 DIVIDER = r"^[\[\]_*\-=]{1,4}$"
 CONTENTS = r"(?iU)^\s*(?:CONTENTS|TABLE OF CONTENTS)\s*$"
+CONTENTS_IN_TEXT = r"(?imU)^\s*(?:CONTENTS|TABLE OF CONTENTS)\s*$"
 INDENTED = r"(?U)^\s{4,}\S"
 # Lengths.
 HEADING_MOST, LIKELY_MOST, CONTENTS_LINE_MOST, FRONT_LINES, PROSE_LEAST, PROSE_SURE = 100, 80, 80, 200, 80, 140
@@ -103,20 +104,25 @@ def _first(lines: Column, test) -> Column:
     return F.array_min(hits)
 
 
-def strip_contents(text: Column) -> Column:
-    """Text from the first strong heading after a contents line on.
+def strip_contents(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with ``text`` from the first strong heading after a contents line on.
 
     Only within the first third or so; not if under a fifth of the text would be left.
+    Steps are columns of their own, so that nothing is computed again for each line.
     """
-    lines = F.split(text, r"\r?\n")
-    start = _first(lines, lambda x, i: F.regexp_like(x, F.lit(CONTENTS)))
-    until = start + F.ceil(F.size(lines) * CONTENTS_SHARE) + CONTENTS_LINES
-    strong = _first(
-        lines,
-        lambda x, i: (i > start) & (i < until) & (F.length(x) < CONTENTS_LINE_MOST) & F.regexp_like(strip(x), F.lit(rf"(?i)^\s*(?:{_KEYWORDS})\b")) & is_likely_heading(strip(x)),
-    )
-    cut = F.array_join(F.slice(lines, strong + 1, F.size(lines)), "\n")
-    return F.when(strong.isNull() | (F.length(cut) < F.length(text) * KEEP_SHARE), text).otherwise(cut)
+    keep = docs.columns
+    t = F.col(text)
+    has = F.regexp_like(t, F.lit(CONTENTS_IN_TEXT))
+    d = docs.withColumn("__l", F.when(has, F.split(t, r"\r?\n")))
+    d = d.withColumn("__s", _first(F.col("__l"), lambda x, i: F.regexp_like(x, F.lit(CONTENTS))))
+    until = F.ceil(F.size("__l") * CONTENTS_SHARE) + CONTENTS_LINES
+    d = d.withColumn("__w", F.when(F.col("__s").isNotNull(), F.slice("__l", F.col("__s") + 2, (until - 1).cast("int"))))
+    opens = lambda x: (F.length(x) < CONTENTS_LINE_MOST) & F.regexp_like(x, F.lit(rf"(?i)^\s*(?:{_KEYWORDS})\b")) & is_likely_heading(strip(x))
+    d = d.withColumn("__h", _first(F.col("__w"), lambda x, i: opens(x)))
+    cut = F.when(F.col("__h").isNotNull(), F.array_join(F.slice("__l", F.col("__s") + F.col("__h") + 2, F.size("__l")), "\n"))
+    d = d.withColumn("__c", cut)
+    good = F.col("__c").isNotNull() & (F.length("__c") >= F.length(text) * KEEP_SHARE)
+    return d.withColumn(text, F.when(good, F.col("__c")).otherwise(t)).select(*keep)
 
 
 def _ordered(value: str, by: str, sep: str) -> Column:
@@ -130,15 +136,17 @@ def format_text(docs: DataFrame, key: str, text: str) -> DataFrame:
     ``key`` is unique.  Words are counted before front matter is skipped.  A text without
     blocks has empty html; null text gives null html and no words.
     """
-    body = docs.select(F.col(key).alias("k"), strip_contents(strip_illustrations(strip_wrapper(F.col(text)))).alias("body"))
-    lines = F.split("body", r"\r?\n")
-    from_ = F.coalesce(_first(lines, lambda x, i: (i < FRONT_LINES) & (is_chapter(strip(x)) | looks_like_prose(strip(x)))), F.lit(0))
-    each = body.select("k", F.posexplode(F.slice(lines, from_ + 1, F.greatest(F.size(lines), F.lit(1)))).alias("i", "line"))
+    body = strip_contents(docs.select(F.col(key).alias("k"), strip_illustrations(strip_wrapper(F.col(text))).alias("body")), "body")
+    # Front matter: lines before the first heading or prose among the first lines.
+    each = body.select("k", F.posexplode(F.split("body", r"\r?\n")).alias("i", "line"))
     each = each.withColumn("t", strip(F.col("line"))).withColumn("ind", F.regexp_like("line", F.lit(INDENTED)).cast("int"))
+    each = each.withColumn("ch", is_chapter(F.col("t")))
+    opens = (F.col("i") < FRONT_LINES) & (F.col("ch") | looks_like_prose(F.col("t")))
+    each = each.withColumn("from", F.coalesce(F.min(F.when(opens, F.col("i"))).over(W.partitionBy("k")), F.lit(0))).where(F.col("i") >= F.col("from"))
     w = W.partitionBy("k").orderBy("i")
     near = F.sum("ind").over(w.rowsBetween(-4, 4)) - F.col("ind")
     kind = (
-        F.when(F.regexp_like("t", F.lit(SCENE)), "hr").when(is_chapter(F.col("t")), "h2").when((F.col("ind") == 1) & (near >= 2), "pre")
+        F.when(F.regexp_like("t", F.lit(SCENE)), "hr").when(F.col("ch"), "h2").when((F.col("ind") == 1) & (near >= 2), "pre")
         .when(F.col("t") == "", "blank").when(F.regexp_like("t", F.lit(DIVIDER)), "divider").otherwise("p")
     )
     each = each.withColumn("kind", kind)

@@ -47,12 +47,13 @@ def current_entries(books: DataFrame, key: str = "rec_no") -> DataFrame:
     return latest.select(key, *[F.col(f"r.{c}").alias(c) for c in names])
 
 
-def all_books(cat: DataFrame) -> DataFrame:
-    return cat.orderBy(F.desc("isFeatured"), F.expr(TITLE_ORDER), "ord")
+def all_books(cat: DataFrame, title_order: str = TITLE_ORDER) -> DataFrame:
+    """Featured first, then by title (an SQL expression), then by position."""
+    return cat.orderBy(F.desc("isFeatured"), F.expr(title_order), "ord")
 
 
-def featured_books(cat: DataFrame, limit: int = 12) -> DataFrame:
-    return cat.where("isFeatured").orderBy(F.expr(TITLE_ORDER), "ord").limit(limit)
+def featured_books(cat: DataFrame, limit: int = 12, title_order: str = TITLE_ORDER) -> DataFrame:
+    return cat.where("isFeatured").orderBy(F.expr(title_order), "ord").limit(limit)
 
 
 def popular_books(cat: DataFrame, slugs: tuple[str, ...] = POPULAR, limit: int = 12) -> DataFrame:

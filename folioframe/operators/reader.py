@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from folioframe.functions.text import strip, strip_tags
 from folioframe.operators.clean import html_blocks
 from folioframe.operators.wiki import unescape_text
+from folioframe.schema import HIGHLIGHTS
 
 MOST_PAGES = 30_000  # fixed value
 
@@ -133,7 +134,7 @@ def jump_page(pages: DataFrame, key: str, ai: int, spread: bool = False) -> Data
 
 def parse_highlights(raw: Column) -> Column:
     """Stored highlights; an empty array for null or broken text."""
-    return F.coalesce(F.from_json(raw, "array<struct<atomIndex:int,start:int,`end`:int,color:string>>"), F.array().cast("array<struct<atomIndex:int,start:int,`end`:int,color:string>>"))
+    return F.coalesce(F.from_json(raw, HIGHLIGHTS), F.array().cast(HIGHLIGHTS))
 
 
 def paint(atom_rows: DataFrame, highlights: DataFrame, key: str) -> DataFrame:

@@ -1,17 +1,38 @@
-"""Core queries and their SQL, for ``__spark_entry__``."""
+"""Core queries and their SQL, for ``__spark_entry__``.
+
+Each query runs over its whole tables.  Where SQL can't say an operator (rounds, state
+machines, Unicode decomposition) it has none and is held against brute force in ``tests``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from folioframe.functions import text as X
+from folioframe.operators import blocks, catalog, clean, dedup, reader, resolve, state, wiki
 from folioframe.operators.packed import explode_packed
+from folioframe.plans import pipelines
 from folioframe.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+# The entries of the catalogue as the SQL of every query sees them.
+CAT = """cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rec_no ORDER BY updatedAt DESC NULLS LAST, wordCount DESC NULLS LAST) AS rn FROM books) WHERE rn = 1),
+cat AS (SELECT rec_no AS ord, id, coalesce(nullif(title, ''), 'Untitled') AS title, coalesce(nullif(author, ''), 'Unknown') AS author,
+ coalesce(nullif(language, ''), 'en') AS language, coalesce(nullif(category, ''), 'Fiction') AS category, coalesce(nullif(subjectsCsv, ''), '') AS subjectsCsv,
+ summary, coverUrl, coalesce(nullif(contentPath, ''), id || '/content.html') AS contentPath, coalesce(wordCount, 0) AS wordCount, coalesce(isFeatured, false) AS isFeatured,
+ coalesce(nullif(source, ''), 'gutenberg') AS source, coalesce(sourceId, CAST(gutenbergId AS VARCHAR)) AS sourceId, gutenbergId FROM cur)"""
+LATEST = """ok AS (SELECT * FROM client_progress WHERE userId IS NOT NULL AND bookId IS NOT NULL AND percent IS NOT NULL),
+lp AS (SELECT userId, bookId, percent, updatedAt FROM (SELECT *, row_number() OVER (PARTITION BY userId, bookId ORDER BY updatedAt DESC NULLS LAST, percent DESC) AS rn FROM ok) WHERE rn = 1),
+rc AS (SELECT userId, bookId, row_number() OVER (PARTITION BY userId ORDER BY seen DESC NULLS LAST, bookId) - 1 AS ord FROM (SELECT userId, bookId, max(updatedAt) AS seen FROM client_progress WHERE userId IS NOT NULL AND bookId IS NOT NULL GROUP BY 1, 2))"""
+SHELF = """tg AS (SELECT user_id AS userId, id AS bookId, ts, event_type = 'signup' AS added FROM events JOIN cat ON cat.ord = 500000001 + event_id % 50 WHERE event_type IN ('signup', 'error')),
+sl AS (SELECT userId, bookId, max(CASE WHEN added THEN ts END) AS since, arg_max(added, (ts, added)) AS is_on FROM tg GROUP BY 1, 2),
+sh AS (SELECT userId, bookId, row_number() OVER (PARTITION BY userId ORDER BY since, bookId) - 1 AS ord FROM sl WHERE is_on)"""
+
 
 def query(sql: str | None = None) -> Callable:
     """Register a function under its own name, with the SQL that gives the same rows."""
@@ -25,7 +46,355 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
+def books(spark: SparkSession, d: str) -> DataFrame:
+    """The catalogue: one row per entry, typed, with its position."""
+    return catalog.catalog(catalog.current_entries(table(spark, d, "books")), F.col("rec_no"))
+
+
+def documents_html(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as stored markup: their lines are the blocks of an article."""
+    text = F.replace("text", F.lit("\r"), F.lit(""))
+    line = lambda x: F.when(F.startswith(x, F.lit("<")), x).otherwise(F.concat(F.lit("<p>"), X.escape_markup(x), F.lit("</p>")))
+    body = F.array_join(F.transform(F.filter(F.split(text, "\n"), lambda x: x != ""), line), "\n")
+    return table(spark, d, "documents").select("doc_id", F.concat(F.lit("<article>\n"), body, F.lit("\n</article>")).alias("html"))
+
+
+def shelf_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Shelves made of the event stream: sign-ups add a book, errors remove it."""
+    ids = books(spark, d).select("ord", F.col("id").alias("bookId"))
+    e = table(spark, d, "events").where(F.col("event_type").isin("signup", "error"))
+    t = e.withColumn("ord", F.lit(500000001) + F.col("event_id") % 50).join(ids, "ord")
+    return state.shelf(t.select(F.col("user_id").alias("userId"), "bookId", F.col("ts").alias("at"), (F.col("event_type") == "signup").alias("added")))
+
+
 @query()
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     entries = table(spark, d, "books").select("rec_no", "subjectsCsv").dropDuplicates()
     return explode_packed(entries, "subjectsCsv", "subject").select("rec_no", "pos", "subject").dropDuplicates()
+
+
+# -- catalogue
+
+
+@query(f"WITH {CAT} SELECT ord, id, title, author, language, category, subjectsCsv, summary, coverUrl, contentPath, wordCount, isFeatured, source, sourceId, gutenbergId FROM cat")
+def q_catalog(spark, d):
+    return books(spark, d).select("ord", "id", "title", "author", "language", "category", "subjectsCsv", "summary", "coverUrl", "contentPath", "wordCount", "isFeatured", "source", "sourceId", "gutenbergId")
+
+
+@query(f"WITH {CAT} SELECT id, title, author, isFeatured FROM cat ORDER BY isFeatured DESC, lower(title), ord")
+def q_all_books(spark, d):
+    return catalog.all_books(books(spark, d), "lower(title)").select("id", "title", "author", "isFeatured")
+
+
+@query(f"WITH {CAT} SELECT id, title, author FROM cat WHERE isFeatured ORDER BY lower(title), ord LIMIT 12")
+def q_featured(spark, d):
+    return catalog.featured_books(books(spark, d), 12, "lower(title)").select("id", "title", "author")
+
+
+@query(f"WITH {CAT}, p AS (SELECT * FROM (VALUES ('the-evening-miscellany', 1), ('hindi-1', 2), ('no-such-book', 3), ('hindi-5', 4), ('hindi-a', 5), ('hindi-d', 6)) v(id, rank)) SELECT id, title, rank FROM (SELECT id, title, rank, row_number() OVER (PARTITION BY id ORDER BY ord DESC) AS n FROM cat JOIN p USING (id)) WHERE n = 1 ORDER BY rank LIMIT 4")
+def q_popular(spark, d):
+    slugs = ("the-evening-miscellany", "hindi-1", "no-such-book", "hindi-5", "hindi-a", "hindi-d")
+    return catalog.popular_books(books(spark, d), slugs, 4).select("id", "title", F.col("rank").cast("int").alias("rank"))
+
+
+@query(f"WITH {CAT} SELECT id, title, author FROM cat WHERE category = 'Poetry'")
+def q_by_category(spark, d):
+    return catalog.books_by_category(books(spark, d), "Poetry").select("id", "title", "author")
+
+
+@query(
+    f"WITH {CAT}, h AS (SELECT *, list_reduce(list_prepend(0::BIGINT, list_transform(str_split(id, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda a, c: (a * 31 + c) % 999) AS f, "
+    "list_reduce(list_prepend(0::BIGINT, list_transform(str_split(id, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda a, c: (a * 31 + c) % 8) AS palette FROM cat) "
+    "SELECT id, title, author, category, upper(language) AS language, source, CAST(wordCount AS BIGINT) AS words, greatest(1, CAST(floor(wordCount / 220.0::DOUBLE + 0.5) AS BIGINT)) AS minutes, "
+    "round(greatest(1, CAST(floor(wordCount / 220.0::DOUBLE + 0.5) AS BIGINT)) / 60.0::DOUBLE, 1) AS hours, upper(substr(category, 1, 3)) || '-' || CASE WHEN f + 100 > 999 THEN CAST(f + 100 AS VARCHAR) ELSE lpad(CAST(f + 100 AS VARCHAR), 3, '0') END AS callNumber, summary, palette FROM h"
+)
+def q_cards(spark, d):
+    cat = books(spark, d)
+    return catalog.catalog_card(cat).join(cat.select("id", X.palette_index(F.col("id")).alias("palette")), "id")
+
+
+@query(f"WITH {CAT} SELECT * EXCLUDE (ord) FROM (SELECT ord, id, title, author, category FROM cat WHERE contains(lower(title), 'the ra') OR contains(lower(author), 'the ra') OR contains(lower(category), 'the ra') OR contains(lower(subjectsCsv), 'the ra') ORDER BY ord LIMIT 20)")
+def q_search(spark, d):
+    return catalog.search_response(books(spark, d), "  The Ra ")
+
+
+@query(f"WITH {CAT} SELECT d.ord, d.id, d.label, d.blurb, d.accent, d.emoji, n FROM category_dim d JOIN (SELECT category, count(*) AS n FROM cat GROUP BY 1) c ON c.category = d.label")
+def q_category_tiles(spark, d):
+    return catalog.category_tiles(books(spark, d), table(spark, d, "category_dim"))
+
+
+@query(f"WITH {CAT} SELECT category, count(*) AS n FROM cat WHERE category NOT IN (SELECT label FROM category_dim) GROUP BY 1")
+def q_unmatched_categories(spark, d):
+    return catalog.unmatched_categories(books(spark, d), table(spark, d, "category_dim"))
+
+
+@query(f"WITH {CAT} SELECT category, count(*) AS n FROM cat GROUP BY 1 ORDER BY n DESC, min(ord)")
+def q_category_counts(spark, d):
+    return catalog.category_counts(books(spark, d)).orderBy(F.desc("n"), "first").select("category", "n")
+
+
+@query(f"WITH {CAT} SELECT id, category, accent, emoji FROM cat LEFT JOIN category_dim d ON lower(cat.category) = lower(d.label)".replace("SELECT id,", "SELECT cat.id,"))
+def q_with_category(spark, d):
+    return catalog.with_category(books(spark, d), table(spark, d, "category_dim")).select("id", "category", "accent", "emoji")
+
+
+@query("SELECT ord, id, label FROM category_dim WHERE lower(label) = 'poetry' UNION ALL SELECT ord, id, label FROM category_dim WHERE id = 'drama'")
+def q_find_category(spark, d):
+    dim = table(spark, d, "category_dim")
+    return catalog.find_category(dim, "pOETRY").unionByName(catalog.find_category_by_id(dim, "drama")).select("ord", "id", "label")
+
+
+@query(f"WITH {CAT} SELECT count(*) AS books, count(DISTINCT category) AS categories, count(DISTINCT author) AS authors, count(*) FILTER (WHERE isFeatured) AS featured, CAST(coalesce(sum(wordCount), 0) AS BIGINT) AS words, CAST(floor(coalesce(sum(wordCount), 0) / 220.0::DOUBLE / 60.0::DOUBLE + 0.5) AS BIGINT) AS hours FROM cat")
+def q_totals(spark, d):
+    return catalog.totals(books(spark, d))
+
+
+@query(f"WITH {CAT} SELECT count(*) - count(DISTINCT gutenbergId) - CAST(bool_or(gutenbergId IS NULL) AS BIGINT) AS dupNumbers, count(*) - count(DISTINCT id) - CAST(bool_or(id IS NULL) AS BIGINT) AS dupSlugs FROM cat")
+def q_duplicate_metrics(spark, d):
+    return catalog.duplicate_metrics(books(spark, d))
+
+
+# -- text functions
+
+_WS = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}\x0b]"
+
+
+@query(
+    "WITH b AS (SELECT DISTINCT title, author FROM books WHERE title IS NOT NULL) SELECT DISTINCT title, author, "
+    rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(title), '[^a-z0-9 ]', ' ', 'g'), '\b(the|a|an|of|and|or|in|to)\b', ' ', 'g'), '{_WS}+', ' ', 'g'), '^{_WS}+|{_WS}+$', '', 'g') AS norm, "
+    "array_to_string(list_slice(str_split(title, ' '), 1, 3), ' ') AS head FROM b"
+)
+def q_norm_title(spark, d):
+    b = table(spark, d, "books").where("title is not null").select("title", "author").distinct()
+    return b.select("title", "author", X.norm_title(F.col("title")).alias("norm"), X.first_words(F.col("title")).alias("head"))
+
+
+@query(
+    "WITH b AS (SELECT DISTINCT title, author FROM books), w AS (SELECT *, list_filter(str_split(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9 ]', ' ', 'g'), ' '), lambda x: length(x) > 3 AND x NOT IN ('the','a','an','of','and','or','in','to','on','with','for','de','la','le','vol','part','book','volume','complete','selected')) AS kw, "
+    "list_filter(str_split(regexp_replace(lower(coalesce(author, '')), '[^a-z ]', '', 'g'), ' '), lambda x: x <> '') AS parts FROM b) "
+    "SELECT title, author, CASE WHEN regexp_matches(lower(coalesce(author, '')), 'anon|unknown|various|traditional') OR len(parts) = 0 THEN '' ELSE parts[-1] END AS surname, array_to_string(list_slice(list_sort(kw), 1, 3), ' ') AS kws FROM w"
+)
+def q_work_key(spark, d):
+    b = table(spark, d, "books").select("title", "author").distinct()
+    k = X.work_key(F.col("title"), F.col("author"))
+    return b.select("title", "author", k["surname"].alias("surname"), F.array_join(k["kws"], " ").alias("kws"))
+
+
+@query(
+    "WITH b AS (SELECT DISTINCT author, trim(regexp_replace(author, '\\([^)]*\\)', '', 'g')) AS bare FROM books WHERE author IS NOT NULL AND NOT regexp_matches(author, '[\\x{00A0}\\x{2000}-\\x{206F}\\x{3000}\\x{FEFF}\\x{00AD}]')), "
+    "p AS (SELECT *, list_filter(list_transform(str_split(bare, ','), lambda x: trim(x)), lambda x: x <> '') AS parts FROM b) "
+    "SELECT author, trim(regexp_replace(CASE WHEN contains(bare, ',') THEN CASE WHEN len(parts) >= 2 THEN parts[2] || ' ' || parts[1] ELSE coalesce(parts[1], '') END ELSE bare END, '\\s+', ' ', 'g')) AS cleaned FROM p"
+)
+def q_clean_author(spark, d):
+    a = table(spark, d, "books").where(F.col("author").isNotNull() & ~F.regexp_like("author", F.lit(r"[\x{00A0}\x{2000}-\x{206F}\x{3000}\x{FEFF}\x{00AD}]"))).select("author").distinct()
+    return a.select("author", X.clean_author(F.col("author")).alias("cleaned"))
+
+
+@query(
+    "SELECT rec_no, title, CASE WHEN contains(s, 'poetry') THEN CASE WHEN regexp_matches(c, 'drama|play|theatre|theater|tragedy|comedy') THEN 'Drama' ELSE 'Poetry' END WHEN contains(s, 'young readers') THEN 'Children' "
+    "WHEN contains(s, 'life writing') THEN CASE WHEN regexp_matches(c, 'memoir|auto|biograph|diary|letters|life') THEN 'Memoir' ELSE 'Essays' END WHEN contains(s, 'science, mind') THEN 'Science' "
+    "WHEN contains(s, 'ideas, belief') THEN CASE WHEN contains(c, 'histor') THEN 'History' ELSE 'Philosophy' END WHEN contains(s, 'arts, culture') THEN 'Essays' "
+    "WHEN contains(s, 'foundational') THEN CASE WHEN regexp_matches(c, 'epic|myth|premodern') THEN 'Global' ELSE 'Fiction' END "
+    "WHEN contains(s, 'literary & genre') THEN CASE WHEN regexp_matches(c, 'myster|crime|detective') THEN 'Mystery' WHEN regexp_matches(c, 'science fiction|sci-fi|dystop') THEN 'Sci-Fi' WHEN contains(c, 'adventure') THEN 'Adventure' ELSE 'Fiction' END ELSE 'Fiction' END AS mapped "
+    "FROM (SELECT *, lower(coalesce(shelf, '')) AS s, lower(coalesce(cat, '')) AS c FROM wanted_list)"
+)
+def q_map_category(spark, d):
+    return table(spark, d, "wanted_list").select("rec_no", "title", X.map_category(F.col("shelf"), F.col("cat")).alias("mapped"))
+
+
+@query("SELECT rec_no, array_to_string(list_slice(list_filter(subjects, lambda x: x <> ''), 1, 6), ', ') AS subjectsCsv, coalesce(list_contains(languages, 'en'), false) AS english, regexp_matches(lower(title), 'index of|complete works|collected works|^works of|linked') AS bundle FROM search_hits")
+def q_hit_features(spark, d):
+    h = table(spark, d, "search_hits")
+    return h.select("rec_no", X.subjects_csv(F.col("subjects"), 6).alias("subjectsCsv"), catalog.is_english(F.col("languages")).alias("english"), X.is_bundle_title(F.col("title"), True).alias("bundle"))
+
+
+@query(
+    rf"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '{_WS}+'), lambda w: w <> '')) AS BIGINT) AS text_words, "
+    rf"CAST(len(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '&[a-z]+;', ' ', 'g'), '{_WS}+'), lambda w: w <> '')) AS BIGINT) AS html_words, CAST(length(text) AS BIGINT) AS n FROM documents"
+)
+def q_word_counts(spark, d):
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", X.count_text_words(t).alias("text_words"), X.count_html_words(t).alias("html_words"), F.length(t).cast("bigint").alias("n"))
+
+
+@query(
+    r"SELECT doc_id, regexp_replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '_([^_\n]{1,120}?)_', '<em>\1</em>', 'g') AS escaped, regexp_replace(text, '<[^>]+>', '', 'g') AS bare FROM documents"
+)
+def q_escape(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.escape_block(F.col("text")).alias("escaped"), X.strip_tags(F.col("text")).alias("bare"))
+
+
+@query("SELECT rec_no, CAST(nullif(regexp_extract(translate(coalesce(title, ''), '०१२३४५६७८९', '0123456789'), '([0-9]+)', 1), '') AS INTEGER) AS number, substr(regexp_replace(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 60) AS heading FROM wanted_list")
+def q_heading_slug(spark, d):
+    t = F.coalesce("title", F.lit(""))
+    return table(spark, d, "wanted_list").select("rec_no", X.devanagari_int(t).alias("number"), X.heading_slug(t).alias("heading"))
+
+
+@query()
+def q_slugs(spark, d):
+    b = books(spark, d).select("ord", "title", X.slug_base(F.col("title")).alias("latin"), X.hindi_slug_base(F.col("title")).alias("romanised"))
+    b = b.withColumn("base", F.when(F.col("latin") != "", F.col("latin")).otherwise(F.col("romanised")))
+    return dedup.allocate_slugs(b.select("ord", "base"), "ord", "base")
+
+
+# -- sets and joins
+
+
+@query(f"WITH {CAT} SELECT 'book without document' AS what, id FROM cat WHERE id NOT IN (SELECT bookId FROM documents WHERE bookId IS NOT NULL) UNION ALL SELECT 'document without book', b FROM (SELECT DISTINCT bookId AS b FROM documents) WHERE b NOT IN (SELECT id FROM cat)")
+def q_orphans(spark, d):
+    b, docs = books(spark, d).select("id"), table(spark, d, "documents").select(F.col("bookId").alias("id")).distinct()
+    one = dedup.missing_from(b, docs).select(F.lit("book without document").alias("what"), "id")
+    return one.unionByName(dedup.missing_from(docs, b).select(F.lit("document without book").alias("what"), "id"))
+
+
+@query(f"WITH {CAT} SELECT bookId, progressPercent, lastLocation FROM reading_progress WHERE bookId IN (SELECT id FROM cat)")
+def q_bookmarks(spark, d):
+    return state.bookmarks_of_books(table(spark, d, "reading_progress"), books(spark, d)).select("bookId", "progressPercent", "lastLocation")
+
+
+@query(f"WITH {CAT} SELECT id, coalesce(p, 'new') AS origin FROM (SELECT cat.id, CASE WHEN contains(lower(title), 'lantern') THEN 'new' ELSE 'old' END AS p FROM cat)")
+def q_upsert(spark, d):
+    from folioframe.sources.io import upsert
+
+    b = books(spark, d).select("id", "title", F.lit("old").alias("origin"))
+    new = b.where(F.contains(F.lower("title"), F.lit("lantern"))).withColumn("origin", F.lit("new"))
+    return upsert(b, new, touched=None).select("id", "origin")
+
+
+@query()
+def q_merge(spark, d):
+    rows = table(spark, d, "books").withColumn("ord", F.row_number().over(_by_time()))
+    return pipelines.merge(rows, "ord").select("ord", "rec_no", "id", "kept", "reason")
+
+
+def _by_time():
+    from pyspark.sql import Window
+
+    return Window.partitionBy("source").orderBy("createdAt", "rec_no", "updatedAt", "wordCount")
+
+
+@query()
+def q_resolve(spark, d):
+    want = table(spark, d, "wanted_list").select("rec_no", "title", "author").dropDuplicates(["rec_no"])
+    f = resolve.wanted_features(want, "rec_no")
+    hits = table(spark, d, "search_hits").dropDuplicates(["rec_no"]).select("id", "title", F.col("authors.name").alias("authors"), "languages", F.col("rec_no").alias("cand_ord"))
+    names = F.array_distinct(X.words(F.regexp_replace(F.lower(F.array_join("authors", " ")), "[^a-z ]", "")))
+    kws = F.array_distinct(X.words(F.regexp_replace(F.lower("title"), "[^a-z0-9 ]", " ")))
+    # Candidates, in place of a search service: a shared author word and title word, or for nobody's works two title words.
+    named = f.where("surname is not null").select("want", F.col("surname").alias("a"), F.explode("kws").alias("k"))
+    bare = f.where("surname is null").select("want", F.explode(F.transform(F.slice("kws", 2, 4), lambda x: F.concat(F.get("kws", F.lit(0)), F.lit(" "), x))).alias("k"))
+    by_name = hits.select("*", F.explode(names).alias("a")).select("*", F.explode(kws).alias("k"))
+    by_title = hits.select("*", F.explode(kws).alias("k1")).select("*", F.explode(kws).alias("k2")).select(*hits.columns, F.concat("k1", F.lit(" "), "k2").alias("k"))
+    cols = ["want", *hits.columns]
+    cand = named.join(by_name, ["a", "k"]).select(*cols).unionByName(bare.join(by_title, "k").select(*cols)).dropDuplicates(["want", "cand_ord"])
+    used = table(spark, d, "books").where("gutenbergId is not null").select(F.col("gutenbergId").alias("id"))
+    return resolve.resolve(f, cand, used)
+
+
+# -- documents
+
+
+@query()
+def q_clean(spark, d):
+    return clean.clean_documents(documents_html(spark, d)).drop("html")
+
+
+@query()
+def q_clean_report(spark, d):
+    return clean.clean_report(clean.clean_documents(documents_html(spark, d)))
+
+
+@query()
+def q_format_text(spark, d):
+    return blocks.format_text(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query()
+def q_to_html(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", F.col("bookId").alias("title"), F.coalesce("source", F.lit("")).alias("author"))
+    return blocks.to_html(docs, "doc_id", "text", "title", "author")
+
+
+@query()
+def q_atoms(spark, d):
+    return reader.atoms(documents_html(spark, d), "doc_id", "html").select("doc_id", "ai", "type", "id", "text", "verse")
+
+
+@query()
+def q_pages(spark, d):
+    return reader.paginate(reader.atoms(documents_html(spark, d), "doc_id", "html"), "doc_id")
+
+
+@query()
+def q_toc(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", F.col("bookId").alias("title"), F.lit("").alias("author"))
+    return reader.contents(reader.atoms(blocks.to_html(docs, "doc_id", "text", "title", "author"), "doc_id", "html"), "doc_id")
+
+
+@query()
+def q_paint(spark, d):
+    a = reader.atoms(documents_html(spark, d), "doc_id", "html")
+    n = F.col("event_id")
+    e = table(spark, d, "events").select(
+        (n % 1000 + 1).alias("doc_id"), n.alias("seq"), (n % 3).cast("int").alias("atomIndex"), (n % 40).cast("int").alias("start"), (n % 40 + 5 + n % 17).cast("int").alias("end"),
+        F.when(n % 5 > 0, F.element_at(F.array(F.lit("yellow"), F.lit("pink")), (n % 2 + 1).cast("int"))).alias("color"),
+    )
+    return reader.paint(a, e, "doc_id")
+
+
+@query()
+def q_wiki_plan(spark, d):
+    docs = table(spark, d, "documents").where("bookId is not null").select("doc_id", F.col("bookId").alias("work"), F.concat("bookId", F.lit("/"), F.col("partNo").cast("string")).alias("sub"))
+    ordered = wiki.ordered_subpages(docs.select("work", "sub"), docs.select("work", "sub", F.col("doc_id").alias("link")))
+    return wiki.plan_books(docs.select("work"), ordered)
+
+
+@query()
+def q_wiki_blocks(spark, d):
+    return documents_html(spark, d).select("doc_id", F.posexplode(wiki.page_blocks(F.col("html"))).alias("pos", "b")).select("doc_id", "pos", "b.kind", "b.text")
+
+
+# -- reader state
+
+
+@query(f"WITH {LATEST} SELECT * FROM lp")
+def q_latest_progress(spark, d):
+    return state.latest_progress(table(spark, d, "client_progress"))
+
+
+@query(f"WITH {LATEST} SELECT userId, bookId, CAST(ord AS INTEGER) AS ord FROM rc")
+def q_recents(spark, d):
+    return state.recents(table(spark, d, "client_progress"))
+
+
+@query(f"WITH {CAT}, {LATEST}, {SHELF} SELECT sh.userId, CAST(sh.ord AS INTEGER) AS ord, sh.bookId, title, percent, CASE WHEN percent >= 99 THEN 'done' WHEN percent > 0 THEN 'reading' WHEN percent IS NULL OR percent = 0 THEN 'unread' END AS bucket FROM sh JOIN cat ON cat.id = sh.bookId LEFT JOIN lp USING (userId, bookId)")
+def q_my_shelf(spark, d):
+    return state.my_shelf(shelf_rows(spark, d), state.latest_progress(table(spark, d, "client_progress")), books(spark, d))
+
+
+@query(
+    f"WITH {CAT}, {LATEST}, {SHELF}, a AS (SELECT userId, bookId, percent, 0 AS tier, -updatedAt AS k FROM lp WHERE percent > 0 AND percent < 99 AND bookId IN (SELECT id FROM cat)), n AS (SELECT userId, count(*) AS n FROM a GROUP BY 1), "
+    "m0 AS (SELECT rc.userId, rc.bookId, rc.ord, row_number() OVER (PARTITION BY rc.userId ORDER BY rc.ord, rc.bookId) AS r FROM rc WHERE bookId IN (SELECT id FROM cat) AND NOT EXISTS (SELECT 1 FROM a WHERE a.userId = rc.userId AND a.bookId = rc.bookId)), "
+    "m AS (SELECT m0.userId, m0.bookId, coalesce(lp.percent, 0.0) AS percent, 1 AS tier, m0.ord AS k FROM m0 LEFT JOIN n ON n.userId = m0.userId LEFT JOIN lp ON lp.userId = m0.userId AND lp.bookId = m0.bookId WHERE m0.r <= 8 - coalesce(n.n, 0)), "
+    "s AS (SELECT * FROM a UNION ALL SELECT * FROM m), z AS (SELECT sh.userId, sh.bookId, coalesce(lp.percent, 0.0) AS percent, 2 AS tier, sh.ord AS k FROM sh LEFT JOIN lp ON lp.userId = sh.userId AND lp.bookId = sh.bookId WHERE sh.ord < 6 AND sh.userId NOT IN (SELECT userId FROM s) AND sh.bookId IN (SELECT id FROM cat)) "
+    "SELECT userId, CAST(row_number() OVER (PARTITION BY userId ORDER BY tier, k, bookId) AS INTEGER) AS pos, bookId, percent FROM (SELECT * FROM s UNION ALL SELECT * FROM z)"
+)
+def q_continue_reading(spark, d):
+    p = table(spark, d, "client_progress")
+    return state.continue_reading(state.latest_progress(p), state.recents(p), shelf_rows(spark, d), books(spark, d))
+
+
+@query("SELECT bookId, date_trunc('day', make_timestamp(updatedAt * 1000)) AS day, count(*) AS n, max(percent) AS furthest FROM client_progress WHERE bookId IS NOT NULL GROUP BY 1, 2")
+def q_reading_activity(spark, d):
+    from folioframe.streaming.progress import reading_activity
+
+    e = table(spark, d, "client_progress").withColumn("at", F.timestamp_millis("updatedAt"))
+    return reading_activity(e).select("bookId", F.col("window.start").cast("timestamp_ntz").alias("day"), "n", "furthest")
+
+
+@query("SELECT bookId, progressPercent, CAST(floor(least(1.0::DOUBLE, (CAST(floor(progressPercent) AS INTEGER) + 2) / 100.0::DOUBLE) * 100 + 0.5) AS INTEGER) AS after, CAST(CASE WHEN floor(progressPercent / 100.0::DOUBLE * 100 + 0.5) > 99 THEN 98 ELSE floor(progressPercent + 0.5) - floor(progressPercent + 0.5) % 2 END AS INTEGER) AS resume FROM reading_progress WHERE progressPercent >= 0")
+def q_page_math(spark, d):
+    p, total, spread = F.col("progressPercent"), F.lit(100), F.lit(True)
+    return table(spark, d, "reading_progress").where("progressPercent >= 0").select(
+        "bookId", p, state.progress_percent(F.floor(p).cast("int"), total, spread).alias("after"), state.resume_page(p, total, spread).alias("resume")
+    )

@@ -1,17 +1,13 @@
-"""Schemas of the engine's tables; sources are read with them, never by inference."""
+"""Schemas of the engine's tables as DDL; sources are read with them, never by inference."""
 
-from pyspark.sql import types as T
-
-CATALOG = T.StructType.fromDDL(
-    "id string, title string, author string, language string, category string, subjectsCsv string, summary string, coverUrl string, "
+CATALOG = ("id string, title string, author string, language string, category string, subjectsCsv string, summary string, coverUrl string, "
     "contentPath string, wordCount int, isFeatured boolean, source string, sourceId string, gutenbergId bigint"
 )
-PROGRESS = T.StructType.fromDDL("bookId string, progressPercent double, lastLocation string, updatedAt timestamp")
-CLIENT_PROGRESS = T.StructType.fromDDL("userId bigint, bookId string, percent double, updatedAt bigint, receivedAt timestamp_ntz")
-CATEGORY = T.StructType.fromDDL("ord int, id string, label string, blurb string, accent string, emoji string")
-IMPORT_SPEC = T.StructType.fromDDL("id string, title string, author string, category string, language string, gutenbergId bigint, isFeatured boolean")
-SEARCH_PAGE = T.StructType.fromDDL(
-    "results array<struct<id bigint, title string, authors array<struct<name string>>, languages array<string>, subjects array<string>>>, next string"
+PROGRESS = ("bookId string, progressPercent double, lastLocation string, updatedAt timestamp")
+CLIENT_PROGRESS = ("userId bigint, bookId string, percent double, updatedAt bigint, receivedAt timestamp_ntz")
+CATEGORY = ("ord int, id string, label string, blurb string, accent string, emoji string")
+IMPORT_SPEC = ("id string, title string, author string, category string, language string, gutenbergId bigint, isFeatured boolean")
+SEARCH_PAGE = ("results array<struct<id bigint, title string, authors array<struct<name string>>, languages array<string>, subjects array<string>>>, next string"
 )
-WANTED = T.StructType.fromDDL("title string, author string, shelf string, cat string, core100 boolean")
-HIGHLIGHTS = T.ArrayType(T.StructType.fromDDL("atomIndex int, start int, `end` int, color string"))
+WANTED = ("title string, author string, shelf string, cat string, core100 boolean")
+HIGHLIGHTS = "array<struct<atomIndex:int,start:int,`end`:int,color:string>>"
