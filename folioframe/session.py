@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,3 +69,34 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
+    """Redistribute few but costly rows (Python work ahead) over all cores.
+
+    Adaptive execution sizes partitions by bytes and would leave such rows in a handful.
+    """
+    sc = df.sparkSession.sparkContext
+    n = max(sc.defaultParallelism * per_core, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application.
+
+    Python workers import the functions they run; on a cluster nothing else puts the package
+    on their path.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_folioframe_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="folioframe-code-"), "folioframe_code.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("folioframe", os.path.relpath(full, here)))
+    sc.addPyFile(path)
+    sc._folioframe_shipped = True

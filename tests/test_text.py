@@ -1,0 +1,61 @@
+from pyspark.sql import functions as F
+
+from folioframe.functions import text as X
+
+
+def col(spark, values, f, kind="string"):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {kind}")
+    return [r.o for r in df.select("i", f(F.col("v")).alias("o")).orderBy("i").collect()]
+
+
+def test_names_and_titles(spark):
+    assert col(spark, ["Wells, H. G. (Herbert George)", "Plato", "Dumas, Alexandre, pere", None, ","], X.clean_author) == ["H. G. Wells", "Plato", "Alexandre Dumas", None, ""]
+    assert col(spark, ["The Return of Sherlock Holmes", "", None], X.norm_title) == ["return sherlock holmes", "", None]
+    assert col(spark, ["A : B — C", "A — C", "x"], X.title_head) == ["A", "A", "x"]
+
+
+def test_work_key(spark):
+    rows = [("Moby-Dick; or, The Whale", "Herman Melville"), ("The Arabian Nights", "Anonymous"), ("कबीर", "प्रेमचंद"), ("Republic", "Plato"), (None, None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, a string")
+    got = [(r.k.surname, list(r.k.kws)) for r in df.select("i", X.work_key(F.col("t"), F.col("a")).alias("k")).orderBy("i").collect()]
+    assert got == [("melville", ["dick", "moby", "whale"]), ("", ["arabian", "nights"]), ("", []), ("plato", ["republic"]), ("", [])]
+
+
+def test_slugs(spark):
+    titles = ["Les Misérables", "Crime & Punishment", "The Privateer's-Man, One hundred Years Ago", "कबीर", None]
+    assert col(spark, titles, X.slug_base) == ["les-miserables", "crime-and-punishment", "the-privateer-s-man-one-hundred", "", None]
+    assert col(spark, ["CHAPTER I. — Of Things"], X.heading_slug) == ["chapter-i-of-things"]
+    assert col(spark, ["CHAPTER I", "prefACE x", "Hello"], X.pretty_heading) == ["Chapter I", "Preface x", "Hello"]
+
+
+def test_devanagari(spark):
+    assert col(spark, ["कबीर", "राम १२", "क्या", "abc"], X.transliterate) == ["kabira", "rama 12", "kya", ""]
+    assert col(spark, ["क़लम"], X.transliterate) == ["klama"]  # the dot eats the vowel
+    assert col(spark, ["क़लम"], X.transliterate_strict) == ["qalama"]
+    assert col(spark, ["भाग १२", "x", "7b"], X.devanagari_int) == [12, None, 7]
+    assert col(spark, ["१- कथा", "12) x", "y"], X.clean_part) == ["कथा", "x", "y"]
+
+
+def test_markup(spark):
+    assert col(spark, ["a _b_ c <&>", "x_y_z"], X.escape_line) == ["a <em>b</em> c &lt;&amp;&gt;", "x_y_z"]
+    assert col(spark, ["x_y_z"], X.escape_block) == ["x<em>y</em>z"]
+    assert col(spark, ["&eacute;&#39;", "a"], X.unescape_entities) == ["é'", "a"]
+    assert col(spark, ["<p>a b&nbsp;c</p>", "", None], X.count_html_words) == [3, 0, None]
+    assert col(spark, ["a b　c", ""], X.count_text_words) == [3, 0]
+
+
+def test_display(spark):
+    df = spark.createDataFrame([("pride-and-prejudice", "Fiction", 74673), ("hamlet", "Drama", 0), ("x", "Fi", 110)], "id string, c string, w int")
+    got = df.select(X.call_number(F.col("c"), F.col("id")).alias("n"), X.palette_index(F.col("id")).alias("p"), X.reading_minutes(F.col("w")).alias("m"), X.reading_hours(F.col("w")).alias("h")).collect()
+    assert [(r.n, r.p, r.m, r.h) for r in got[:2]] == [("FIC-277", 2, 339, 5.7), ("DRA-1035", 7, 1, 0.0)]
+    assert got[2].m == 1
+
+
+def test_categories_and_acceptance(spark):
+    df = spark.createDataFrame([("Poetry & Drama", "a play"), ("Poetry & Drama", None), ("Literary & genre", "crime"), (None, None)], "s string, c string")
+    assert [r.o for r in df.select(X.map_category(F.col("s"), F.col("c")).alias("o")).collect()] == ["Drama", "Poetry", "Mystery", "Fiction"]
+    marker = "start of the book"
+    assert col(spark, ["x" * 1501 + marker.upper(), "x" * 1501, "word" + "x" * 40001, "short " + marker], lambda c: X.accepts_text(c, marker, "word")) == [True, False, True, False]
+    assert col(spark, ["The Complete Works of X", "Linked tales", "Tales"], X.is_bundle_title) == [True, False, False]
+    df = spark.createDataFrame([(None, "bad", "good1", "good2")], "a string, b string, c string, d string")
+    assert df.select(X.first_accepted([F.col(c) for c in "abcd"], lambda t: F.startswith(t, F.lit("good"))).alias("o")).first().o == "good1"
