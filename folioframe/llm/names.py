@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -87,6 +88,20 @@ def near(a: str, b: str, most: int) -> int:
     return row[-1]
 
 
+@lru_cache(500_000)
+def _org_word(w: str) -> bool:
+    """An organisation's word, perhaps mistyped."""
+    return w in _ORG_WORDS or letters(w) > 5 and any(near(w, full, 2) <= 2 for full in ORGANISATION if len(full) > 6)
+
+
+@lru_cache(500_000)
+def _long_form(w: str) -> str:
+    """The full word of a mistyped abbreviation; other words stay."""
+    if w in _ORG_WORDS or len(w) < 4:
+        return w
+    return next((f for a, f in _LONG_SHORT.items() if w[0] == a[0] and w[-1] == a[-1] and near(w, a, 1) <= 1), w)
+
+
 def parse_name(name: str | None) -> dict | None:
     """The reading of a folded name: ``org`` words, or ``sur`` and ``given``; else None.
 
@@ -105,11 +120,9 @@ def parse_name(name: str | None) -> dict | None:
         return None
     extra = [w.strip("'’`\".") for h in hint for w in re.split(r"[\s.]+", bare(h)) if w.strip("'’`\".")]
     org = [w.replace("’", "'").removesuffix("'s").rstrip("'") for w in words + extra]
-    if len(org) > 1:  # a mistyped abbreviation
-        org = [next((f for a, f in _LONG_SHORT.items() if w not in _ORG_WORDS and len(w) > 3 and w[0] == a[0] and w[-1] == a[-1] and near(w, a, 1) <= 1), w) for w in org]
-    if any(w in _ORG_WORDS for w in org) or len(words) > 1 and any(
-        letters(w) > 5 and any(near(w, full, 2) <= 2 for full in ORGANISATION if len(full) > 6) for w in org
-    ):
+    if len(org) > 1:
+        org = [_long_form(w) for w in org]
+    if any(w in _ORG_WORDS for w in org) or len(words) > 1 and any(_org_word(w) for w in org):
         kept = [WORD_FORMS.get(w, _ORG_WORDS.get(w, w)) for w in org if w not in SMALL]
         return {"org": sorted(set(kept))}
     if len(parts) > 1:
