@@ -73,6 +73,12 @@ def words_of(text: str) -> list[str]:
     return text.lower().translate(_MARKS).split()
 
 
+def _grams(word: str, n: int) -> list[str]:
+    """Character n-grams of a word with its edges marked by spaces."""
+    padded = f" {word} " if n > 1 else word
+    return [padded[i : i + n] for i in range(len(padded) - n + 1)]
+
+
 class LanguageModel:
     """Word and n-gram scores of each language; pickled to the executors."""
 
@@ -101,18 +107,16 @@ class LanguageModel:
         for n in range(1, self.top_n + 1):
             tally: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(self.languages)))
             for w, c in counts.items():
-                padded = f" {w} "
-                for i in range(len(padded) - n + 1):
-                    tally[padded[i : i + n]] += c
+                for g in _grams(w, n):
+                    tally[g] += c
             self.grams.append(self._scores(tally, self.least_gram))
         return self
 
     def score(self, word: str) -> np.ndarray:
         if (known := self.words.get(word)) is not None:
             return known
-        padded = f" {word} "
         for n in range(self.top_n, 0, -1):
-            found = [g for i in range(len(padded) - n + 1) if (g := self.grams[n - 1].get(padded[i : i + n])) is not None]
+            found = [s for g in _grams(word, n) if (s := self.grams[n - 1].get(g)) is not None]
             if found:
                 return np.mean(found, axis=0, dtype=np.float32)
         return np.zeros(len(self.languages), np.float32)
