@@ -130,14 +130,15 @@ def repeated_lines(
     min_share: float = 0.1,
     slot_words: int = 24,
 ) -> DataFrame:
-    """``(key, source, line_no, line_id)`` of each line repeated within its source.
+    """``(key, source, line_no, line_id, need)`` of each line repeated within its source.
 
     A line is repeated when it stands in at least ``min_docs`` documents and in at least
     ``min_share`` of the source's documents.  Each row of ``docs`` is a document, also
     with null or empty text; a null source is the source ''.  A line that stands twice in
     a document counts once and is returned twice.  Lines without letters never count.
     ``slot_words`` bounds the words of a line in capitals that is tried against templates
-    with name slots; longer ones match word by word.  Other columns are ignored.
+    with name slots; longer ones match word by word.  Other columns are ignored.  ``need`` is
+    the number of documents that made the source's lines repeated ones.
     """
     per_source = docs.groupBy(F.coalesce(F.col(f"`{source}`"), F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("n_docs"))
     lines = materialise(document_lines(docs, key, text, source, slot_words), "lines")
@@ -169,39 +170,42 @@ def repeated_lines(
     frequent = (
         counts.join(added, ["source", "line_id"], "left")
         .where(F.col("n") + F.coalesce("more", F.lit(0)) >= F.col("need"))
-        .select("source", "line_id")
+        .select("source", "line_id", "need")
     )
     frequent = broadcast_if_small(materialise(frequent, "frequent-lines"))
     plain = lines.select(key, "source", "line_no", "line_id").join(frequent, ["source", "line_id"])
     slots = (
         moved.select(key, "source", "line_no", F.col("to_id").alias("line_id"), F.col("line_id").alias("own"))
         .join(frequent, ["source", "line_id"])
-        .join(frequent.withColumnRenamed("line_id", "own"), ["source", "own"], "left_anti")
+        .join(frequent.select("source", F.col("line_id").alias("own")), ["source", "own"], "left_anti")
     )
-    return plain.unionByName(slots, allowMissingColumns=True).select(key, "source", "line_no", "line_id")
+    return plain.unionByName(slots, allowMissingColumns=True).select(key, "source", "line_no", "line_id", "need")
 
 
-def repeated_blocks(lines: DataFrame, key: str = "doc_id", min_docs: int = 3, rounds: int = 3) -> DataFrame:
-    """``(source, size, block, n_docs)``: blocks of 1, 2, 4 ... ``2**rounds`` repeated lines.
+def repeated_blocks(lines: DataFrame, key: str = "doc_id", rounds: int = 3) -> DataFrame:
+    """``lines`` with ``block``: the lines of the largest repeated block that covers each.
 
-    ``lines`` is the result of ``repeated_lines``.  Round k joins the group of a suffix with
-    the group of the suffix 2**k lines on, the doubling step of suffix-array construction.
+    ``lines`` is the result of ``repeated_lines``: the places of the suffix array whose first
+    identifier is repeated; all others begin no repeated block.  Round k doubles the prefix:
+    the group of a suffix (its common prefix of ``2**k`` identifiers) and the group of the
+    suffix ``2**k`` lines on name the group of twice the length.  A group that spans as many
+    documents as a repeated line must is a repeated block.  Blocks have 1, 2, 4 ...
+    ``2**rounds`` lines; longer notices are several of them.
     """
-    ranks = lines.select(key, "source", "line_no", F.col("line_id").alias("rank"))
-    out = None
-    for k in range(rounds + 1):
-        groups = (
-            ranks.select("source", "rank", key).distinct().groupBy("source", "rank").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs)
-        )
-        part = groups.select("source", F.lit(2**k).alias("size"), F.col("rank").alias("block"), "n_docs")
-        out = part if out is None else out.unionByName(part)
+    w = W.partitionBy(key).orderBy("line_no")
+    at = lines.withColumn("rank", F.col("line_id")).withColumn("block", F.lit(1))
+    for k in range(rounds):
         step = 2**k
-        w = W.partitionBy(key).orderBy("line_no").rangeBetween(step, step)
-        ranks = (
-            ranks.withColumn("next", F.max("rank").over(w)).where(F.col("next").isNotNull())
-            .select(key, "source", "line_no", F.xxhash64("rank", "next").alias("rank"))
+        at = at.withColumn("next", F.max("rank").over(w.rangeBetween(step, step)))
+        at = materialise(at.withColumn("rank", F.when(F.col("rank").isNotNull() & F.col("next").isNotNull(), F.xxhash64("rank", "next"))).drop("next"), "suffix-ranks")
+        groups = (
+            at.where("rank is not null").select("source", "rank", key, "need").distinct().groupBy("source", "rank")
+            .agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("least")).where(F.col("n") >= F.col("least")).select("source", "rank", F.lit(True).alias("kept"))
         )
-    return out
+        at = at.join(broadcast_if_small(materialise(groups, "suffix-groups")), ["source", "rank"], "left")
+        covered = F.max("kept").over(w.rangeBetween(-(2 * step - 1), 0))
+        at = at.withColumn("block", F.when(covered, 2 * step).otherwise(F.col("block"))).withColumn("rank", F.when(F.col("kept"), F.col("rank"))).drop("kept")
+    return at.select(key, "source", "line_no", "line_id", "block")
 
 
 def without_repeated_lines(docs: DataFrame, lines: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -21,9 +21,18 @@ def sourced_documents(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    from folioframe.llm.lines import repeated_lines
+    """The lines that repeated blocks (of one line or more) cover."""
+    from folioframe.llm.lines import repeated_blocks, repeated_lines
 
-    return repeated_lines(sourced_documents(spark, d, "text")).select("doc_id", "line_no")
+    return repeated_blocks(repeated_lines(sourced_documents(spark, d, "text"))).select("doc_id", "line_no")
+
+
+def p1_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Each document without the lines of its source's repeated blocks."""
+    from folioframe.llm.lines import repeated_blocks, repeated_lines, without_repeated_lines
+
+    docs = sourced_documents(spark, d, "text")
+    return without_repeated_lines(docs, repeated_blocks(repeated_lines(docs))).select("doc_id", "source", "text", "n_cut")
 
 
 def catalogue_entries(spark: SparkSession, d: str) -> DataFrame:
@@ -55,6 +64,22 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return relabelled(detect_languages(clean, model, keep=("lang",)), "lang")
 
 
+def p4_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's languages and segments with their confidence."""
+    from folioframe.llm.langid import detect_languages, fit_language_model
+
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    return detect_languages(docs, fit_language_model(docs, "doc_id", "text", "lang"))
+
+
+def p5_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Title and author of each entry in the consistent form."""
+    from folioframe.llm.fold import fold_text
+
+    entries = table(spark, d, "books").select("rec_no", "title", "author").dropDuplicates()
+    return entries.select("rec_no", fold_text("title").alias("title"), fold_text("author").alias("author"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from folioframe.llm.fold import disguised_fields
 
@@ -118,5 +143,5 @@ def _pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(table(spark, d, "documents"), max_tokens=1024, overlap=64, above_words=1200)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_links, p4_found, p5_found, p6_found, p7_found, p8_mixture, p8_shares, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_links, p4_found, p4_languages, p5_found, p5_forms, p6_found, p7_found, p8_mixture, p8_shares, p9_found, p9_pieces)}
 SQL: dict[str, str] = {}

@@ -38,9 +38,39 @@ def test_cut_and_blocks(spark):
     found = lines.repeated_lines(docs)
     cut = {r.doc_id: r for r in lines.without_repeated_lines(docs, found).collect()}
     assert cut[0].text == "own line " and cut[0].n_cut == 3 and cut[3].line_no == "clash"
-    blocks = lines.repeated_blocks(found)
-    two = [r for r in blocks.where("size = 2 and source = 'a'").collect()]
-    assert max(r.n_docs for r in two) >= 8 and {r["size"] for r in blocks.collect()} >= {1, 2}
+    rows = {(r.doc_id, r.line_no): r.block for r in lines.repeated_blocks(found).collect()}
+    assert set(rows) == {(r.doc_id, r.line_no) for r in found.collect()}
+    assert {rows[i, n] for i in range(0, 8) for n in (3, 4)} == {2} and rows[20, 2] == 2
     plain = spark.createDataFrame([(1, None, "s"), (2, "a\r\nb", "s")], "doc_id long, text string, source string")
     same = {r.doc_id: r.text for r in lines.without_repeated_lines(plain, found.where("false")).collect()}
     assert same == {1: None, 2: "a\r\nb"}
+
+
+def test_blocks_against_all_substrings(spark):
+    import random
+
+    rnd = random.Random(6)
+    docs = []
+    for i in range(12):
+        parts = [[("alpha", "beta", "gamma", "delta")[: rnd.randrange(1, 5)], ("own", f"own{i}{k}")][rnd.random() < 0.4] for k in range(5)]
+        docs.append((i, "\n".join(f"line {w} {'x' * (i if 'own' in w else 0)}" for p in parts for w in p), "s"))
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    found = lines.repeated_lines(df, min_share=0.3)
+    need = max(3.0, 12 * 0.3)
+    ids = {}
+    for r in found.collect():
+        ids[r.doc_id, r.line_no] = r.line_id
+    best = {}
+    for size in (1, 2, 4, 8):
+        spans = {}
+        for d, n in ids:
+            block = tuple(ids.get((d, n + k)) for k in range(size))
+            if None not in block:
+                spans.setdefault(block, []).append((d, n))
+        for places in spans.values():
+            if len({d for d, _ in places}) >= need:
+                for d, n in places:
+                    for k in range(size):
+                        best[d, n + k] = size
+    got = {(r.doc_id, r.line_no): r.block for r in lines.repeated_blocks(found).collect()}
+    assert got == best and max(got.values()) >= 2
