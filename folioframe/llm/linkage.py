@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from folioframe.llm.fold import fold_array
 from folioframe.llm.names import bare, deletions, given_likelihood, letters, near, parse_name
-from folioframe.session import materialise
+from folioframe.session import materialise, spread
 
 # Words of a title that carry no identity.
 SMALL = frozenset("the a an and or of in on to by at for with from de la le les un une des du et d l der die das den dem ein eine einen und von vom zu el los las una unos y en o os as um uma e do da dos das em no na और व का की के में से".split())
@@ -287,7 +287,7 @@ def link_sources(entries: DataFrame, least: float = 0.5) -> DataFrame:
     e = entries.select("side", "rec", "title", F.coalesce("authors", F.array().cast("array<string>")).alias("authors")).where(F.col("rec").isNotNull())
     members = materialise(e.withColumn("node", F.xxhash64("side", "title", "authors")).dropDuplicates(["rec", "node"]), "link-entries")
     nodes = materialise(
-        members.dropDuplicates(["node"]).select("node", "side", _read_udf("title", "authors").alias("r")).where("r is not null").select("node", "side", "r.*"),
+        spread(members.dropDuplicates(["node"])).select("node", "side", _read_udf("title", "authors").alias("r")).where("r is not null").select("node", "side", "r.*"),
         "link-nodes",
     )
     keyed = nodes.select("node", "side", F.explode("keys").alias("k")).select("node", "side", F.xxhash64("k").alias("k"))
@@ -297,7 +297,7 @@ def link_sources(entries: DataFrame, least: float = 0.5) -> DataFrame:
     )
     body = F.struct("main", "whole", "order", "numbers", "given", "words", "sur")
     voted = materialise(
-        pairs.join(nodes.select(F.col("node").alias("a"), body.alias("x")), "a").join(nodes.select(F.col("node").alias("b"), body.alias("y")), "b")
+        spread(pairs.join(nodes.select(F.col("node").alias("a"), body.alias("x")), "a").join(nodes.select(F.col("node").alias("b"), body.alias("y")), "b"))
         .select("a", "b", _votes_udf("x", "y").alias("votes")),
         "link-votes",
     )
