@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioframe.llm.fold import fold_array
-from folioframe.session import materialise
+from folioframe.session import materialise, spread
 
 # Words that name nobody.
 NOBODY = frozenset("anon anonymous anonym anonyme anonimo anónimo anonymus unknown various varied traditional none nobody na n/a nil null unattributed unsigned author authors several collective misc miscellaneous tbd trad unbekannt inconnu desconocido desconhecido अज्ञात विविध लोक".split())
@@ -215,7 +215,7 @@ def person_keys(spellings: DataFrame, name: str = "name", n: str = "n") -> DataF
     ``spellings`` has one row per distinct ``name`` and its frequency ``n``.
     """
     read = materialise(
-        spellings.select(F.col(name).alias("name"), F.col(n).cast("double").alias("n"), parsed_name(name).alias("r")).where("r is not null").select("name", "n", "r.*"),
+        spread(spellings).select(F.col(name).alias("name"), F.col(n).cast("double").alias("n"), parsed_name(name).alias("r")).where("r is not null").select("name", "n", "r.*"),
         "names-read",
     )
     people = _people(read.where("sur is not null"))
@@ -276,7 +276,7 @@ def _people(read: DataFrame) -> DataFrame:
         .where((F.col("v_i") != F.col("c_i")) & (F.col("c_freq") > F.col("v_freq")) & (F.levenshtein(F.col("v_given")[0], F.col("c_given")[0], 2) >= 0))
     )
     scored = (
-        typed.unionByName(first.select(typed.columns)).distinct()
+        spread(typed.unionByName(first.select(typed.columns)).distinct())
         .withColumn("ll", _channel_udf("v_sur", "c_sur", "v_given", "c_given"))
         .withColumn("gain", F.col("ll") + F.log("c_freq") - F.log("v_freq"))
         .where(F.col("ll") > -11.0)
