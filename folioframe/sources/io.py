@@ -41,12 +41,12 @@ def read_fragments(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, root: str, name: str = "content.html") -> DataFrame:
     """``(id, html)`` of ``<root>/<id>/<name>``, whole files."""
-    df = spark.read.option("wholetext", True).text(os.path.join(root, "*", name))
+    df = spark.read.text(os.path.join(root, "*", name), wholetext=True)
     return df.select(F.regexp_extract("_metadata.file_path", rf"([^/]+)/{name}$", 1).alias("id"), F.col("value").alias("html"))
 
 
 def list_documents(spark: SparkSession, root: str, name: str = "content.html") -> DataFrame:
-    """``(id, length, modified)`` of the stored documents, without reading them."""
+    """``(id, length, modified)`` of the stored documents, without reading them; empty ones aren't listed."""
     df = spark.read.format("binaryFile").load(os.path.join(root, "*", name))
     return df.select(F.regexp_extract("path", rf"([^/]+)/{name}$", 1).alias("id"), "length", F.col("modificationTime").alias("modified"))
 
