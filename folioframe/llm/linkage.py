@@ -137,6 +137,10 @@ def _read_udf(titles: pa.Array, authors: pa.Array) -> pa.Array:
     return pa.array(out, _NODE_ARROW)
 
 
+# Else a filter on the result would run the function a second time, before the rows are spread.
+_read_udf = _read_udf.asNondeterministic()
+
+
 def _aligned(a: list[str], b: list[str]) -> tuple[int, int, int]:
     """Words left over in a and in b after equal ones and mistyped ones are paired; edits."""
     left, right, edits = [w for w in a if w not in b], [w for w in b if w not in a], 0
