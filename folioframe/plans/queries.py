@@ -263,14 +263,15 @@ def q_upsert(spark, d):
 
 @query()
 def q_merge(spark, d):
-    rows = table(spark, d, "books").withColumn("ord", F.row_number().over(_by_time()))
-    return pipelines.merge(rows, "ord").select("ord", "rec_no", "id", "kept", "reason")
+    return pipelines.merge(books(spark, d), "ord").select("ord", "id", "kept", "reason")
 
 
-def _by_time():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("source").orderBy("createdAt", "rec_no", "updatedAt", "wordCount")
+@query()
+def q_import_quota(spark, d):
+    """The first twenty new books of each category that an import would keep."""
+    b = books(spark, d)
+    old = F.col("ord") % 2 == 0
+    return pipelines.import_with_quota(b.where(~old), "ord", b.where(old), "category", 20).select("ord", "id", "category")
 
 
 @query()
