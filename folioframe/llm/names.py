@@ -167,6 +167,10 @@ def _parse_udf(names: pa.Array) -> pa.Array:
     return pa.array([none | r if (r := parse_name(n)) else None for n in fold_array(names).to_pylist()], _NAME_ARROW)
 
 
+# Else a filter on the result would run the function a second time, before the rows are spread.
+_parse_udf = _parse_udf.asNondeterministic()
+
+
 def parsed_name(column: Column | str) -> Column:
     """Struct ``(org, sur, given, sure)`` of a name column, null where it names nobody."""
     return _parse_udf(column)
@@ -311,6 +315,9 @@ def _channel_udf(v_sur: pa.Array, c_sur: pa.Array, v_given: pa.Array, c_given: p
     return pa.array(out, pa.float64())
 
 
+_channel_udf = _channel_udf.asNondeterministic()
+
+
 def _organisations(read: DataFrame) -> DataFrame:
     """Organisations are their words in any order; the rarer form goes to the more frequent."""
     forms = read.groupBy("org").agg(F.sum("n").alias("freq"))
@@ -353,6 +360,9 @@ def _org_udf(v: pa.Array, c: pa.Array) -> pa.Array:
     return pa.array(out, pa.float64())
 
 
+_org_udf = _org_udf.asNondeterministic()
+
+
 def variant_pairs(df: DataFrame, name: str, left: str = "author_a", right: str = "author_b") -> DataFrame:
     """``(left, right)``: pairs of different strings of ``name`` for one person, left < right.
 
