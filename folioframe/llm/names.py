@@ -327,12 +327,14 @@ def _organisations(read: DataFrame) -> DataFrame:
         .agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("df", "w"))), 1, 2), lambda x: x["w"]).alias("keys"))
     )
     forms = materialise(forms.join(rarest, "org"), "organisations")
-    keyed = forms.select("org", "freq", F.explode("keys").alias("w")).select("org", "freq", F.explode(_near_keys("w")).alias("k"))
-    a = keyed.select("k", F.col("org").alias("v"), F.col("freq").alias("vf"))
-    b = keyed.select("k", F.col("org").alias("c"), F.col("freq").alias("cf"))
+    # A canonical form is found by its rarest word, its place or name; a variant looks under its
+    # two rarest, as one of them may be mistyped.  Common words bring nothing together.
+    keyed = lambda words: forms.select("org", "freq", F.explode(words).alias("w")).select("org", "freq", F.explode(_near_keys("w")).alias("k"))
+    a = keyed(F.col("keys")).select("k", F.col("org").alias("v"), F.col("freq").alias("vf"))
+    b = keyed(F.slice("keys", 1, 1)).select("k", F.col("org").alias("c"), F.col("freq").alias("cf"))
     pairs = (
         a.join(b, "k").where((F.size("v") == F.size("c")) & (F.col("v") != F.col("c")) & ((F.col("cf") > F.col("vf")) | ((F.col("cf") == F.col("vf")) & (F.col("c").cast("string") < F.col("v").cast("string")))))
-        .select("v", "vf", "c", "cf").distinct().withColumn("ll", _org_udf("v", "c")).where(F.col("ll") > -13.0)
+        .select("v", "vf", "c", "cf").distinct().transform(spread).withColumn("ll", _org_udf("v", "c")).where(F.col("ll") > -13.0)
     )
     parent = materialise(pairs.groupBy("v").agg(F.max_by("c", F.struct(F.col("ll") + F.log("cf"), F.col("c").cast("string"))).alias("to")), "organisation-parents")
     step = parent
