@@ -19,7 +19,8 @@ def catalog(raw: DataFrame, ord_: Column) -> DataFrame:
     """The typed catalogue: defaults filled in and the catalogue position ``ord`` added.
 
     Empty and null text take the default, but ``summary`` and ``coverUrl`` stay as they are
-    when empty.  Further columns are kept; ``ord`` must order the rows totally.
+    when empty.  Columns that ``raw`` doesn't have are left out, so a query reads only what it
+    names; further columns are kept.  ``ord`` must order the rows totally.
     """
     lit = F.lit
     fixed = {
@@ -28,21 +29,22 @@ def catalog(raw: DataFrame, ord_: Column) -> DataFrame:
         "language": falsy(F.col("language"), lit("en")),
         "category": falsy(F.col("category"), lit("Fiction")),
         "subjectsCsv": falsy(F.col("subjectsCsv"), lit("")),
-        "contentPath": falsy(F.col("contentPath"), F.concat("id", lit("/content.html"))),
+        "contentPath": falsy(F.col("contentPath"), F.concat(F.col("id"), lit("/content.html"))),
         "wordCount": F.coalesce("wordCount", lit(0)),
         "isFeatured": F.coalesce("isFeatured", lit(False)),
         "source": falsy(F.col("source"), lit("gutenberg")),
         "sourceId": F.coalesce("sourceId", F.col("gutenbergId").cast("string")),
     }
-    return raw.withColumns({"ord": ord_}).withColumns(fixed)
+    return raw.withColumns({"ord": ord_}).withColumns({c: e for c, e in fixed.items() if c in raw.columns})
 
 
-def current_entries(books: DataFrame, key: str = "rec_no") -> DataFrame:
+def current_entries(books: DataFrame, key: str = "rec_no", columns: tuple[str, ...] = ()) -> DataFrame:
     """One row per entry: the one with the latest ``updatedAt`` (repeats collapse).
 
-    A map-side ``max_by`` aggregate, so a hot key never gathers its rows.
+    A map-side ``max_by`` aggregate, so a hot key never gathers its rows.  ``columns`` names
+    what to keep (all by default); the others are neither read nor shuffled.
     """
-    names = [c for c in books.columns if c != key]
+    names = [c for c in books.columns if c != key and (not columns or c in columns)]
     latest = books.groupBy(key).agg(F.max_by(F.struct(*names), F.struct("updatedAt", "wordCount")).alias("r"))
     return latest.select(key, *[F.col(f"r.{c}").alias(c) for c in names])
 

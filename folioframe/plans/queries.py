@@ -46,9 +46,11 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-def books(spark: SparkSession, d: str) -> DataFrame:
-    """The catalogue: one row per entry, typed, with its position."""
-    return catalog.catalog(catalog.current_entries(table(spark, d, "books")), F.col("rec_no"))
+def books(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The catalogue: one row per entry, typed, with its position; only ``columns`` are read."""
+    needs = {"contentPath": "id", "sourceId": "gutenbergId"}
+    wanted = (*columns, *(needs[c] for c in columns if c in needs))
+    return catalog.catalog(catalog.current_entries(table(spark, d, "books"), columns=wanted), F.col("rec_no"))
 
 
 def documents_html(spark: SparkSession, d: str) -> DataFrame:
@@ -61,7 +63,7 @@ def documents_html(spark: SparkSession, d: str) -> DataFrame:
 
 def shelf_rows(spark: SparkSession, d: str) -> DataFrame:
     """Shelves made of the event stream: sign-ups add a book, errors remove it."""
-    ids = books(spark, d).select("ord", F.col("id").alias("bookId"))
+    ids = books(spark, d, "id").select("ord", F.col("id").alias("bookId"))
     e = table(spark, d, "events").where(F.col("event_type").isin("signup", "error"))
     t = e.withColumn("ord", F.lit(500000001) + F.col("event_id") % 50).join(ids, "ord")
     return state.shelf(t.select(F.col("user_id").alias("userId"), "bookId", F.col("ts").alias("at"), (F.col("event_type") == "signup").alias("added")))
@@ -83,23 +85,23 @@ def q_catalog(spark, d):
 
 @query(f"WITH {CAT} SELECT id, title, author, isFeatured FROM cat ORDER BY isFeatured DESC, lower(title), ord")
 def q_all_books(spark, d):
-    return catalog.all_books(books(spark, d), "lower(title)").select("id", "title", "author", "isFeatured")
+    return catalog.all_books(books(spark, d, "id", "title", "author", "isFeatured"), "lower(title)").select("id", "title", "author", "isFeatured")
 
 
 @query(f"WITH {CAT} SELECT id, title, author FROM cat WHERE isFeatured ORDER BY lower(title), ord LIMIT 12")
 def q_featured(spark, d):
-    return catalog.featured_books(books(spark, d), 12, "lower(title)").select("id", "title", "author")
+    return catalog.featured_books(books(spark, d, "id", "title", "author", "isFeatured"), 12, "lower(title)").select("id", "title", "author")
 
 
 @query(f"WITH {CAT}, p AS (SELECT * FROM (VALUES ('the-evening-miscellany', 1), ('hindi-1', 2), ('no-such-book', 3), ('hindi-5', 4), ('hindi-a', 5), ('hindi-d', 6)) v(id, rank)) SELECT id, title, rank FROM (SELECT id, title, rank, row_number() OVER (PARTITION BY id ORDER BY ord DESC) AS n FROM cat JOIN p USING (id)) WHERE n = 1 ORDER BY rank LIMIT 4")
 def q_popular(spark, d):
     slugs = ("the-evening-miscellany", "hindi-1", "no-such-book", "hindi-5", "hindi-a", "hindi-d")
-    return catalog.popular_books(books(spark, d), slugs, 4).select("id", "title", F.col("rank").cast("int").alias("rank"))
+    return catalog.popular_books(books(spark, d, "id", "title"), slugs, 4).select("id", "title", F.col("rank").cast("int").alias("rank"))
 
 
 @query(f"WITH {CAT} SELECT id, title, author FROM cat WHERE category = 'Poetry'")
 def q_by_category(spark, d):
-    return catalog.books_by_category(books(spark, d), "Poetry").select("id", "title", "author")
+    return catalog.books_by_category(books(spark, d, "id", "title", "author", "isFeatured", "category"), "Poetry").select("id", "title", "author")
 
 
 @query(
@@ -109,33 +111,33 @@ def q_by_category(spark, d):
     "round(greatest(1, CAST(floor(wordCount / 220.0::DOUBLE + 0.5) AS BIGINT)) / 60.0::DOUBLE, 1) AS hours, upper(substr(category, 1, 3)) || '-' || CASE WHEN f + 100 > 999 THEN CAST(f + 100 AS VARCHAR) ELSE lpad(CAST(f + 100 AS VARCHAR), 3, '0') END AS callNumber, summary, palette FROM h"
 )
 def q_cards(spark, d):
-    cat = books(spark, d)
+    cat = books(spark, d, "id", "title", "author", "category", "language", "source", "wordCount", "summary")
     return catalog.catalog_card(cat).join(cat.select("id", X.palette_index(F.col("id")).alias("palette")), "id")
 
 
 @query(f"WITH {CAT} SELECT * EXCLUDE (ord) FROM (SELECT ord, id, title, author, category FROM cat WHERE contains(lower(title), 'the ra') OR contains(lower(author), 'the ra') OR contains(lower(category), 'the ra') OR contains(lower(subjectsCsv), 'the ra') ORDER BY ord LIMIT 20)")
 def q_search(spark, d):
-    return catalog.search_response(books(spark, d), "  The Ra ")
+    return catalog.search_response(books(spark, d, "id", "title", "author", "category", "subjectsCsv"), "  The Ra ")
 
 
 @query(f"WITH {CAT} SELECT d.ord, d.id, d.label, d.blurb, d.accent, d.emoji, n FROM category_dim d JOIN (SELECT category, count(*) AS n FROM cat GROUP BY 1) c ON c.category = d.label")
 def q_category_tiles(spark, d):
-    return catalog.category_tiles(books(spark, d), table(spark, d, "category_dim"))
+    return catalog.category_tiles(books(spark, d, "category"), table(spark, d, "category_dim"))
 
 
 @query(f"WITH {CAT} SELECT category, count(*) AS n FROM cat WHERE category NOT IN (SELECT label FROM category_dim) GROUP BY 1")
 def q_unmatched_categories(spark, d):
-    return catalog.unmatched_categories(books(spark, d), table(spark, d, "category_dim"))
+    return catalog.unmatched_categories(books(spark, d, "category"), table(spark, d, "category_dim"))
 
 
 @query(f"WITH {CAT} SELECT category, count(*) AS n FROM cat GROUP BY 1 ORDER BY n DESC, min(ord)")
 def q_category_counts(spark, d):
-    return catalog.category_counts(books(spark, d)).orderBy(F.desc("n"), "first").select("category", "n")
+    return catalog.category_counts(books(spark, d, "category")).orderBy(F.desc("n"), "first").select("category", "n")
 
 
 @query(f"WITH {CAT} SELECT id, category, accent, emoji FROM cat LEFT JOIN category_dim d ON lower(cat.category) = lower(d.label)".replace("SELECT id,", "SELECT cat.id,"))
 def q_with_category(spark, d):
-    return catalog.with_category(books(spark, d), table(spark, d, "category_dim")).select("id", "category", "accent", "emoji")
+    return catalog.with_category(books(spark, d, "id", "category"), table(spark, d, "category_dim")).select("id", "category", "accent", "emoji")
 
 
 @query("SELECT ord, id, label FROM category_dim WHERE lower(label) = 'poetry' UNION ALL SELECT ord, id, label FROM category_dim WHERE id = 'drama'")
@@ -146,12 +148,12 @@ def q_find_category(spark, d):
 
 @query(f"WITH {CAT} SELECT count(*) AS books, count(DISTINCT category) AS categories, count(DISTINCT author) AS authors, count(*) FILTER (WHERE isFeatured) AS featured, CAST(coalesce(sum(wordCount), 0) AS BIGINT) AS words, CAST(floor(coalesce(sum(wordCount), 0) / 220.0::DOUBLE / 60.0::DOUBLE + 0.5) AS BIGINT) AS hours FROM cat")
 def q_totals(spark, d):
-    return catalog.totals(books(spark, d))
+    return catalog.totals(books(spark, d, "category", "author", "isFeatured", "wordCount"))
 
 
 @query(f"WITH {CAT} SELECT count(*) - count(DISTINCT gutenbergId) - CAST(bool_or(gutenbergId IS NULL) AS BIGINT) AS dupNumbers, count(*) - count(DISTINCT id) - CAST(bool_or(id IS NULL) AS BIGINT) AS dupSlugs FROM cat")
 def q_duplicate_metrics(spark, d):
-    return catalog.duplicate_metrics(books(spark, d))
+    return catalog.duplicate_metrics(books(spark, d, "id", "gutenbergId"))
 
 
 # -- text functions
@@ -232,7 +234,7 @@ def q_heading_slug(spark, d):
 
 @query()
 def q_slugs(spark, d):
-    b = books(spark, d).select("ord", "title", X.slug_base(F.col("title")).alias("latin"), X.hindi_slug_base(F.col("title")).alias("romanised"))
+    b = books(spark, d, "title").select("ord", "title", X.slug_base(F.col("title")).alias("latin"), X.hindi_slug_base(F.col("title")).alias("romanised"))
     b = b.withColumn("base", F.when(F.col("latin") != "", F.col("latin")).otherwise(F.col("romanised")))
     return dedup.allocate_slugs(b.select("ord", "base"), "ord", "base")
 
@@ -242,34 +244,34 @@ def q_slugs(spark, d):
 
 @query(f"WITH {CAT} SELECT 'book without document' AS what, id FROM cat WHERE id NOT IN (SELECT bookId FROM documents WHERE bookId IS NOT NULL) UNION ALL SELECT 'document without book', b FROM (SELECT DISTINCT bookId AS b FROM documents) WHERE b NOT IN (SELECT id FROM cat)")
 def q_orphans(spark, d):
-    b, docs = books(spark, d).select("id"), table(spark, d, "documents").select(F.col("bookId").alias("id")).distinct()
+    b, docs = books(spark, d, "id").select("id"), table(spark, d, "documents").select(F.col("bookId").alias("id")).distinct()
     one = dedup.missing_from(b, docs).select(F.lit("book without document").alias("what"), "id")
     return one.unionByName(dedup.missing_from(docs, b).select(F.lit("document without book").alias("what"), "id"))
 
 
 @query(f"WITH {CAT} SELECT bookId, progressPercent, lastLocation FROM reading_progress WHERE bookId IN (SELECT id FROM cat)")
 def q_bookmarks(spark, d):
-    return state.bookmarks_of_books(table(spark, d, "reading_progress"), books(spark, d)).select("bookId", "progressPercent", "lastLocation")
+    return state.bookmarks_of_books(table(spark, d, "reading_progress"), books(spark, d, "id")).select("bookId", "progressPercent", "lastLocation")
 
 
 @query(f"WITH {CAT} SELECT id, coalesce(p, 'new') AS origin FROM (SELECT cat.id, CASE WHEN contains(lower(title), 'lantern') THEN 'new' ELSE 'old' END AS p FROM cat)")
 def q_upsert(spark, d):
     from folioframe.sources.io import upsert
 
-    b = books(spark, d).select("id", "title", F.lit("old").alias("origin"))
+    b = books(spark, d, "id", "title").select("id", "title", F.lit("old").alias("origin"))
     new = b.where(F.contains(F.lower("title"), F.lit("lantern"))).withColumn("origin", F.lit("new"))
     return upsert(b, new, touched=None).select("id", "origin")
 
 
 @query()
 def q_merge(spark, d):
-    return pipelines.merge(books(spark, d), "ord").select("ord", "id", "kept", "reason")
+    return pipelines.merge(books(spark, d, "id", "title", "author", "gutenbergId"), "ord").select("ord", "id", "kept", "reason")
 
 
 @query()
 def q_import_quota(spark, d):
     """The first twenty new books of each category that an import would keep."""
-    b = books(spark, d)
+    b = books(spark, d, "id", "title", "author", "category", "gutenbergId")
     old = F.col("ord") % 2 == 0
     return pipelines.import_with_quota(b.where(~old), "ord", b.where(old), "category", 20).select("ord", "id", "category")
 
@@ -370,7 +372,7 @@ def q_recents(spark, d):
 
 @query(f"WITH {CAT}, {LATEST}, {SHELF} SELECT sh.userId, CAST(sh.ord AS INTEGER) AS ord, sh.bookId, title, percent, CASE WHEN percent >= 99 THEN 'done' WHEN percent > 0 THEN 'reading' WHEN percent IS NULL OR percent = 0 THEN 'unread' END AS bucket FROM sh JOIN cat ON cat.id = sh.bookId LEFT JOIN lp USING (userId, bookId)")
 def q_my_shelf(spark, d):
-    return state.my_shelf(shelf_rows(spark, d), state.latest_progress(table(spark, d, "client_progress")), books(spark, d))
+    return state.my_shelf(shelf_rows(spark, d), state.latest_progress(table(spark, d, "client_progress")), books(spark, d, "id", "title"))
 
 
 @query(
@@ -382,7 +384,7 @@ def q_my_shelf(spark, d):
 )
 def q_continue_reading(spark, d):
     p = table(spark, d, "client_progress")
-    return state.continue_reading(state.latest_progress(p), state.recents(p), shelf_rows(spark, d), books(spark, d))
+    return state.continue_reading(state.latest_progress(p), state.recents(p), shelf_rows(spark, d), books(spark, d, "id"))
 
 
 @query("SELECT bookId, date_trunc('day', make_timestamp(updatedAt * 1000)) AS day, count(*) AS n, max(percent) AS furthest FROM client_progress WHERE bookId IS NOT NULL GROUP BY 1, 2")
