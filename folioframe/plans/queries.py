@@ -297,12 +297,32 @@ def q_resolve(spark, d):
 # -- documents
 
 
-@query()
+# Stored markup made of documents, and its blocks judged, as SQL sees them.  RE2 has no back
+# references, so the three tags are spelled out.
+_TRIM = r"^[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}\x0b]+|[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}\x0b]+$"
+HTML = r"""h AS (SELECT doc_id, '<article>' || chr(10) || array_to_string(list_transform(list_filter(str_split(replace(text, chr(13), ''), chr(10)), lambda x: x <> ''),
+ lambda x: CASE WHEN starts_with(x, '<') THEN x ELSE '<p>' || replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p>' END), chr(10)) || chr(10) || '</article>' AS html FROM documents),
+b AS (SELECT doc_id, regexp_extract_all(html, '(?is)<h2(?:\s[^>]*)?>.*?</h2>|<p(?:\s[^>]*)?>.*?</p>|<pre(?:\s[^>]*)?>.*?</pre>') AS bs FROM h),
+u AS (SELECT doc_id, generate_subscripts(bs, 1) AS i, unnest(bs) AS x FROM b),
+v AS (SELECT doc_id, i, regexp_extract(x, '^(<[^>]*>)', 1) AS tag, regexp_extract(x, '(</[^>]*>)$', 1) AS close, regexp_replace(regexp_replace(x, '^<[^>]*>', ''), '</[^>]*>$', '') AS inn FROM u),
+t AS (SELECT *, regexp_replace(regexp_replace(inn, '<[^>]+>', '', 'g'), 'TRIM', '', 'g') AS t, regexp_replace(inn, 'TRIM', '', 'g') AS bare,
+ regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(inn, '(?i)\[\s*illustration[^\]]*\]', '', 'g'), '(?i)\(\s*transcriber[''’]?s?\s*note[^)]*\)', '', 'g'), chr(8203), ''), '[ \t]{2,}', ' ', 'g'), 'TRIM', '', 'g') AS new FROM v),
+j AS (SELECT *, t = '' OR regexp_matches(t, 'PHRASES') OR (regexp_matches(t, 'PRODUCED') AND length(t) < 240) OR (regexp_matches(t, 'HEADER') AND length(t) < 160)
+ OR (regexp_matches(t, 'TRANSCRIBER') AND (length(t) < 260 OR regexp_matches(t, '\||\+-{3,}') OR starts_with(ltrim(lower(t), '*'), 'transcriber'))) OR regexp_matches(t, 'ORNAMENT') AS gone,
+ regexp_replace(regexp_replace(new, '<[^>]+>', '', 'g'), 'TRIM', '', 'g') = '' AS emptied FROM t),
+c AS (SELECT h.doc_id, CASE WHEN true THEN '<article>' || chr(10) || coalesce(string_agg(tag || new || close, chr(10) ORDER BY i) FILTER (WHERE NOT gone AND NOT emptied), '') || chr(10) || '</article>' END AS cleaned,
+ count(*) FILTER (WHERE gone OR emptied) AS dropped, count(*) FILTER (WHERE NOT gone AND new <> bare) AS scrubbed, any_value(html) AS html FROM h LEFT JOIN j USING (doc_id) GROUP BY 1)"""
+for _name in ("PHRASES", "PRODUCED", "HEADER", "TRANSCRIBER"):
+    HTML = HTML.replace(f"'{_name}'", "'" + getattr(clean, _name).replace("'", "''") + "'")
+HTML = HTML.replace("'ORNAMENT'", r"'^[\s|+_=*.\-—–~#]+$'").replace("TRIM", _TRIM)
+
+
+@query(f"WITH {HTML} SELECT doc_id, cleaned, dropped, scrubbed FROM c")
 def q_clean(spark, d):
     return clean.clean_documents(documents_html(spark, d)).drop("html")
 
 
-@query()
+@query(f"WITH {HTML} SELECT count(*) AS documents, count(*) FILTER (WHERE cleaned <> html) AS changed, CAST(sum(dropped) AS BIGINT) AS dropped, CAST(sum(scrubbed) AS BIGINT) AS scrubbed FROM c")
 def q_clean_report(spark, d):
     return clean.clean_report(clean.clean_documents(documents_html(spark, d)))
 
@@ -318,7 +338,16 @@ def q_to_html(spark, d):
     return blocks.to_html(docs, "doc_id", "text", "title", "author")
 
 
-@query()
+_BARE = r"regexp_replace(inn, '<[^>]+>', '', 'g')"
+for _entity, _char in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&#160;", "chr(160)"), ("&nbsp;", "chr(160)"), ("&amp;", "'&'")):
+    _BARE = f"replace({_BARE}, '{_entity}', {_char})"
+
+
+@query(
+    rf"""WITH {HTML}, a AS (SELECT doc_id, i, CASE WHEN regexp_matches(tag, '(?i)^<h2') THEN 'h2' ELSE 'p' END AS type, nullif(regexp_extract(tag, '(?i)\sid\s*=\s*"([^"]*)"', 1), '') AS id, {_BARE} AS text,
+ regexp_matches(tag, '(?i)^<pre|^<p\s[^>]*class\s*=\s*"[^"]*\bverse\b') AS verse, contains(tag, 'toc-entry') AS toc FROM v)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS ai, type, id, text, verse FROM a WHERE NOT (type = 'h2' AND toc) AND (type = 'h2' OR regexp_replace(text, '{_TRIM}', '', 'g') <> '')"""
+)
 def q_atoms(spark, d):
     return reader.atoms(documents_html(spark, d), "doc_id", "html").select("doc_id", "ai", "type", "id", "text", "verse")
 
@@ -352,7 +381,12 @@ def q_wiki_plan(spark, d):
     return wiki.plan_books(docs.select("work"), ordered)
 
 
-@query()
+@query(
+    rf"""WITH {HTML}, w AS (SELECT doc_id, generate_subscripts(ps, 1) AS i, unnest(ps) AS x FROM (SELECT doc_id, regexp_extract_all(html, '(?s)<p>.*?</p>') AS ps FROM h)),
+y AS (SELECT doc_id, i, regexp_replace(regexp_replace(x, '^<p>', ''), '</p>$', '') AS inn FROM w),
+z AS (SELECT doc_id, i, regexp_replace(replace({_BARE}, chr(8203), ''), '{_TRIM}', '', 'g') AS text FROM y)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS pos, 'p' AS kind, text FROM z WHERE text <> ''"""
+)
 def q_wiki_blocks(spark, d):
     return documents_html(spark, d).select("doc_id", F.posexplode(wiki.page_blocks(F.col("html"))).alias("pos", "b")).select("doc_id", "pos", "b.kind", "b.text")
 
