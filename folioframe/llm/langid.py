@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioframe.functions.arrow import by_size
+
 LANGUAGES = ("en", "hi", "fr", "de", "es", "pt")
 
 # What a language is called (two letters, three letters, English name).
@@ -272,7 +274,7 @@ def detect_languages(docs: DataFrame, model: LanguageModel, key: str = "doc_id",
     def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = _Vocabulary(shared.value)
         k = len(names)
-        for batch in batches:
+        for batch in by_size(batches, 1):
             if len(vocab) > 2_000_000:
                 vocab = _Vocabulary(shared.value)
             n = batch.num_rows

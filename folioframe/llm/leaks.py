@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from folioframe.functions.arrow import by_size
 from folioframe.session import materialise
 
 _TAG = re.compile(r"<[^>\n]*>")
@@ -93,7 +94,7 @@ def shingle_hits(docs: DataFrame, block: ItemBlock, key: str, text: str) -> Data
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, known, k = shared.value
-        for batch in batches:
+        for batch in by_size(batches, 1):
             tokens = [words_of(t) for t in batch.column(1).to_pylist()]
             sizes = np.array([len(t) for t in tokens], np.int64)
             n = int(sizes.sum())
@@ -244,7 +245,7 @@ def _leaked_block(docs, block: ItemBlock, key, text, item_key, item_type, window
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, items = shared.value
         get = vocabulary.get
-        for batch in batches:
+        for batch in by_size(batches, 1):
             keys, found, words = [], [], []
             for row, (t, cands) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                 doc = [get(w, 0) for w in words_of(t)]

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from folioframe.functions.arrow import by_size
 from folioframe.session import broadcast_if_small, materialise
 
 # Names of months that are filled in beside a number.
@@ -109,7 +110,7 @@ def document_lines(docs: DataFrame, key: str, text: str, source: str, slot_words
     )
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_size(batches, 1):
             found = [text_lines(t, slot_words) for t in batch.column(1).to_pylist()]
             at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
             cols = list(zip(*(x for f in found for x in f))) or [[]] * 5

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioframe.functions.arrow import by_size
 from folioframe.llm.tokens import VOCABULARY, encoding
 
 PARAGRAPH, LINE, SENTENCE, WORD, INSIDE = 0.0, 0.6, 1.0, 6.0, 30.0
@@ -172,7 +173,7 @@ def split_oversized(
                 lengths[i] = len(enc.decode_single_token_bytes(i))
             except KeyError:
                 pass
-        for batch in batches:
+        for batch in by_size(batches, 1):
             rows, cols = [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
                 if above_words is not None:

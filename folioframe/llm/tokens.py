@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioframe.functions.arrow import by_size
+
 #: Where the vocabulary lies on every executor (tiktoken's rank format); a parameter everywhere.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -35,7 +37,7 @@ def with_token_counts(docs: DataFrame, text: str = "text", size: str = "n_tokens
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
-        for batch in batches:
+        for batch in by_size(batches, len(keep)):
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64())], [f.name for f in schema])
 
