@@ -144,4 +144,6 @@ def _pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_links, p4_found, p4_languages, p5_found, p5_forms, p6_found, p7_found, p8_mixture, p8_shares, p9_found, p9_pieces)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p9_found": r"SELECT doc_id FROM documents WHERE len(list_filter(regexp_split_to_array(text, '[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}\x0b]+'), lambda w: w <> '')) > 1200",
+}
