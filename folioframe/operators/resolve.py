@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.functions.text import ANONYMOUS, is_bundle_title, words
+from folioframe.functions.text import is_bundle_title, words
 from folioframe.operators.catalog import is_english
 
 # Authors that stand for nobody here, words of a title that count.
 NOBODY = ("anonymous", "unknown", "various", "traditional")
-assert ANONYMOUS
 
 
 def wanted_features(wanted: DataFrame, key: str) -> DataFrame:
