@@ -15,7 +15,7 @@ from folioframe.functions import text as X
 from folioframe.operators import blocks, catalog, clean, dedup, reader, resolve, state, wiki
 from folioframe.operators.packed import explode_packed
 from folioframe.plans import pipelines
-from folioframe.session import table
+from folioframe.session import table, widen
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -58,7 +58,7 @@ def documents_html(spark: SparkSession, d: str) -> DataFrame:
     text = F.replace("text", F.lit("\r"), F.lit(""))
     line = lambda x: F.when(F.startswith(x, F.lit("<")), x).otherwise(F.concat(F.lit("<p>"), X.escape_markup(x), F.lit("</p>")))
     body = F.array_join(F.transform(F.filter(F.split(text, "\n"), lambda x: x != ""), line), "\n")
-    return table(spark, d, "documents").select("doc_id", F.concat(F.lit("<article>\n"), body, F.lit("\n</article>")).alias("html"))
+    return widen(table(spark, d, "documents")).select("doc_id", F.concat(F.lit("<article>\n"), body, F.lit("\n</article>")).alias("html"))
 
 
 def shelf_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -216,14 +216,14 @@ def q_hit_features(spark, d):
 )
 def q_word_counts(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", X.count_text_words(t).alias("text_words"), X.count_html_words(t).alias("html_words"), F.length(t).cast("bigint").alias("n"))
+    return widen(table(spark, d, "documents")).select("doc_id", X.count_text_words(t).alias("text_words"), X.count_html_words(t).alias("html_words"), F.length(t).cast("bigint").alias("n"))
 
 
 @query(
     r"SELECT doc_id, regexp_replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '_([^_\n]{1,120}?)_', '<em>\1</em>', 'g') AS escaped, regexp_replace(text, '<[^>]+>', '', 'g') AS bare FROM documents"
 )
 def q_escape(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.escape_block(F.col("text")).alias("escaped"), X.strip_tags(F.col("text")).alias("bare"))
+    return widen(table(spark, d, "documents")).select("doc_id", X.escape_block(F.col("text")).alias("escaped"), X.strip_tags(F.col("text")).alias("bare"))
 
 
 @query("SELECT rec_no, CAST(nullif(regexp_extract(translate(coalesce(title, ''), '०१२३४५६७८९', '0123456789'), '([0-9]+)', 1), '') AS INTEGER) AS number, substr(regexp_replace(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 60) AS heading FROM wanted_list")
@@ -329,12 +329,12 @@ def q_clean_report(spark, d):
 
 @query()
 def q_format_text(spark, d):
-    return blocks.format_text(table(spark, d, "documents"), "doc_id", "text")
+    return blocks.format_text(widen(table(spark, d, "documents")), "doc_id", "text")
 
 
 @query()
 def q_to_html(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text", F.col("bookId").alias("title"), F.coalesce("source", F.lit("")).alias("author"))
+    docs = widen(table(spark, d, "documents")).select("doc_id", "text", F.col("bookId").alias("title"), F.coalesce("source", F.lit("")).alias("author"))
     return blocks.to_html(docs, "doc_id", "text", "title", "author")
 
 
@@ -359,7 +359,7 @@ def q_pages(spark, d):
 
 @query()
 def q_toc(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text", F.col("bookId").alias("title"), F.lit("").alias("author"))
+    docs = widen(table(spark, d, "documents")).select("doc_id", "text", F.col("bookId").alias("title"), F.lit("").alias("author"))
     return reader.contents(reader.atoms(blocks.to_html(docs, "doc_id", "text", "title", "author"), "doc_id", "html"), "doc_id")
 
 

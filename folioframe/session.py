@@ -81,6 +81,16 @@ def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     return df.repartition(n)
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """Spread a scan of fewer partitions than cores (one small file) over all cores.
+
+    For scans with costly work ahead.  A table of many files is left as it is; filters and
+    column pruning pass through.  ``df`` must be a plain scan, as its partitions are asked for.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once per application.
 
