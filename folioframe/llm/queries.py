@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.session import table
+from folioframe.session import table, widen
 
 
 def sourced_documents(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -13,7 +13,7 @@ def sourced_documents(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 
     Only the rows without a source of their own go through the join.
     """
-    docs = table(spark, d, "documents").select("doc_id", "bookId", *columns, F.nullif("source", F.lit("")).alias("source"))
+    docs = widen(table(spark, d, "documents")).select("doc_id", "bookId", *columns, F.nullif("source", F.lit("")).alias("source"))
     books = table(spark, d, "books").groupBy(F.col("id").alias("bookId")).agg(F.max(F.nullif("source", F.lit(""))).alias("of_book"))
     bare = docs.where(F.col("source").isNull()).drop("source").join(books, "bookId", "left")
     filled = bare.select("doc_id", "bookId", *columns, F.coalesce("of_book", F.lit("gutenberg")).alias("source"))
@@ -57,7 +57,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     from folioframe.llm.langid import detect_languages, fit_language_model, relabelled
     from folioframe.llm.lines import repeated_lines, without_repeated_lines
 
-    labelled = table(spark, d, "documents").select("doc_id", "text", "lang")
+    labelled = widen(table(spark, d, "documents")).select("doc_id", "text", "lang")
     model = fit_language_model(labelled, "doc_id", "text", "lang")
     site = repeated_lines(sourced_documents(spark, d, "text"))
     clean = without_repeated_lines(labelled, site)
@@ -68,7 +68,7 @@ def p4_languages(spark: SparkSession, d: str) -> DataFrame:
     """Every document's languages and segments with their confidence."""
     from folioframe.llm.langid import detect_languages, fit_language_model
 
-    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    docs = widen(table(spark, d, "documents")).select("doc_id", "text", "lang")
     return detect_languages(docs, fit_language_model(docs, "doc_id", "text", "lang"))
 
 
@@ -101,7 +101,7 @@ def passages(spark: SparkSession, d: str) -> DataFrame:
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     from folioframe.llm.leaks import leaked_items
 
-    return leaked_items(table(spark, d, "documents"), passages(spark, d)).select("doc_id", "item_id")
+    return leaked_items(widen(table(spark, d, "documents")), passages(spark, d)).select("doc_id", "item_id")
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
@@ -140,7 +140,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
     from folioframe.llm.pieces import split_oversized
 
-    return split_oversized(table(spark, d, "documents"), max_tokens=1024, overlap=64, above_words=1200)
+    return split_oversized(widen(table(spark, d, "documents")), max_tokens=1024, overlap=64, above_words=1200)
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_links, p4_found, p4_languages, p5_found, p5_forms, p6_found, p7_found, p8_mixture, p8_shares, p9_found, p9_pieces)}
