@@ -2,7 +2,8 @@
 
 Label-model linkage.  Entries are reduced to distinct wordings.  Candidates share a
 blocking key made of most of a title's words (one word left out, or a word but for a
-letter), with the author where few words remain.  Several matching functions vote on each
+letter), with the author where few words remain; or the author and any one title word but
+for a letter, so that the other words may all be mistyped.  Several matching functions vote on each
 candidate: same words in order, words but for typing errors, same volume or year, same
 surname, fitting given names, shared author words.  A generative model explains the votes
 by a hidden cause: the pair matches, or it is another title, another volume, or another
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -114,6 +116,14 @@ def blocking_keys(main: list[str], whole: list[str], numbers: list[str], author:
             if letters(w) >= 5:
                 rest = " ".join(x for j, x in enumerate(main) if j != i)
                 keys.update(f"d {d} {rest}" for d in deletions(w, 1))
+    if a:
+        # ``votes`` allows an edit per word, or two: one word at least has no more than one, but where there is only one.
+        near_words = {d for w in whole for d in deletions(w, 2 if n == 1 and w == main[0] else 1)}
+        keys.update(f"t {who} {d}" for who in {a, *(g for g in given if len(g) > 1)} for d in near_words)
+        if n >= 4:  # two words left out, and the author mistyped
+            for x, y in combinations(range(n), 2):
+                rest = " ".join(w for i, w in enumerate(main) if i not in (x, y))
+                keys.update(f"j {c} {rest}" for c in first)
     return sorted(keys)
 
 
@@ -230,7 +240,7 @@ def label_model(counts: dict[str, int], rounds: int = 200) -> dict[str, float]:
     Causes: 0 match, and 1 + k "field k is another's".  Each field (between bars) is one
     factor with its own table per cause.  What a cause means is held in place by bounds on
     its tables: votes against a field are rare in matches, votes for field k are rare under
-    cause 1 + k.  Everything else is learned.
+    cause 1 + k.  Everything else is learned.  A pattern with count 0 is judged but teaches nothing.
     """
     if not counts:
         return {}
@@ -294,19 +304,20 @@ def link_sources(entries: DataFrame, least: float = 0.5) -> DataFrame:
         spread(members.dropDuplicates(["node"])).select("node", "side", _read_udf("title", "authors").alias("r")).where("r is not null").select("node", "side", "r.*"),
         "link-nodes",
     )
-    keyed = nodes.select("node", "side", F.explode("keys").alias("k")).select("node", "side", F.xxhash64("k").alias("k"))
+    keyed = nodes.select("node", "side", F.explode("keys").alias("k")).select("node", "side", F.xxhash64("k").alias("k"), F.substring("k", 1, 2).isin("t ", "j ").alias("wide"))
     pairs = (
         keyed.alias("a").join(keyed.alias("b"), "k").where(F.col("a.side") < F.col("b.side"))
-        .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).dropDuplicates()
+        .groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(F.min("a.wide").alias("wide"))
     )
     body = F.struct("main", "whole", "order", "numbers", "given", "words", "sur")
     voted = materialise(
         spread(pairs.join(nodes.select(F.col("node").alias("a"), body.alias("x")), "a").join(nodes.select(F.col("node").alias("b"), body.alias("y")), "b"))
-        .select("a", "b", _votes_udf("x", "y").alias("votes")),
+        .select("a", "b", "wide", _votes_udf("x", "y").alias("votes")),
         "link-votes",
     )
-    # At most one row for each combination of votes.
-    counts = {r.votes: r.n for r in voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # At most one row for each combination of votes.  Pairs that share only a wide key are mostly
+    # other titles of one author; the model is learned without them, and judges them too.
+    counts = {r.votes: r.n for r in voted.groupBy("votes").agg(F.count_if(~F.col("wide")).alias("n")).collect()}
     posterior = label_model(counts)
     spark = entries.sparkSession
     good = [(p, float(c)) for p, c in posterior.items() if c >= least]

@@ -65,3 +65,22 @@ def test_links(spark):
     assert set(got) == {(i, 1000 + i) for i in range(60) if i % 2} | {(500, 2001)}
     assert all(0.5 <= c <= 1 for c in got.values())
     assert linkage.link_sources(e.where("false")).count() == 0
+
+
+def test_candidates_with_several_mistyped_words():
+    def read(title, author):
+        a = linkage.author_reading([author])
+        t = linkage.parse_title(title)
+        return t | a | {"keys": linkage.blocking_keys(t["main"], t["whole"], t["numbers"], a["sur"], a["given"])}
+
+    pairs = [
+        (("notes on the bread, the wheel and the voyage", "theodore piwonlo"), ("notes on the bred, the wheel & the voygae", "piwonlo, theodore")),
+        (("notes on the bread, the wheel and the voyage", "theodore piwonlo"), ("notes on the bred, the wheel & the voygae", "t. pwionlo")),
+        (("the shallow sailor of kanpilgarth", "rebecca flukonsin"), ("the shalow sailro of kanpilgrath", "flukonsin rebecca")),
+        (("a passenger in hulmilwold", "katherine flerflunar"), ("a pssenger in hulmilold", "katherine flerflunar")),
+        (("hulmilwold", "katherine flerflunar"), ("hlumilold", "flerflunar, katherine")),
+    ]
+    for a, b in pairs:
+        x, y = read(*a), read(*b)
+        v = linkage.votes(x, y)
+        assert v[1] == "+" and v[6] == "+" and set(x["keys"]) & set(y["keys"]), (a, b)
