@@ -129,18 +129,19 @@ def _document_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return _pieces(spark, d).select("doc_id").dropDuplicates()
+    """The documents of more than 1,200 words."""
+    return _pieces(spark, d, above_words=1200).select("doc_id").dropDuplicates()
 
 
 def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
-    """Every piece of every oversized document."""
+    """Every piece of every document over the token limit."""
     return _pieces(spark, d)
 
 
-def _pieces(spark: SparkSession, d: str) -> DataFrame:
+def _pieces(spark: SparkSession, d: str, above_words: int | None = None) -> DataFrame:
     from folioframe.llm.pieces import split_oversized
 
-    return split_oversized(widen(table(spark, d, "documents")), max_tokens=1024, overlap=64, above_words=1200)
+    return split_oversized(widen(table(spark, d, "documents")), max_tokens=1024, overlap=64, above_words=above_words)
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_links, p4_found, p4_languages, p5_found, p5_forms, p6_found, p7_found, p8_mixture, p8_shares, p9_found, p9_pieces)}

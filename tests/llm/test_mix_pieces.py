@@ -121,3 +121,14 @@ def test_split_oversized(spark):
     assert {r.doc_id for r in pieces.split_oversized(df, max_tokens=512, overlap=32).collect()} == {1, 2}
     with pytest.raises(ValueError):
         pieces.split_oversized(df, max_tokens=64, overlap=40)
+
+
+def test_pieces_query_cuts_all_over_the_token_limit(spark, tmp_path):
+    from folioframe.llm import queries
+
+    texts = {1: "हिन्दी पुस्तक " * 500, 2: "w " * 1300, 3: "word " * 900, 4: "", 5: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    over = {i for i, t in texts.items() if t and len(ENC.encode_ordinary(t)) > 1024}
+    got = queries.p9_pieces(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == over == {1, 2} and all(r.n_tokens <= 1024 for r in got)
+    assert {r.doc_id for r in queries.p9_found(spark, str(tmp_path)).collect()} == {2}
