@@ -188,7 +188,7 @@ def q_work_key(spark, d):
     "SELECT author, trim(regexp_replace(CASE WHEN contains(bare, ',') THEN CASE WHEN len(parts) >= 2 THEN parts[2] || ' ' || parts[1] ELSE coalesce(parts[1], '') END ELSE bare END, '\\s+', ' ', 'g')) AS cleaned FROM p"
 )
 def q_clean_author(spark, d):
-    a = table(spark, d, "books").where(F.col("author").isNotNull() & ~F.regexp_like("author", F.lit(r"[\x{00A0}\x{2000}-\x{206F}\x{3000}\x{FEFF}\x{00AD}]"))).select("author").distinct()
+    a = table(spark, d, "books").where("author is not null").select("author").distinct()
     return a.select("author", X.clean_author(F.col("author")).alias("cleaned"))
 
 
