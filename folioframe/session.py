@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -35,40 +37,102 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` where it is set.
 
-    Only where neither the setting nor a checkpoint folder exists (single-machine
-    tests) is a temporary folder made.
+    Where neither the setting nor a checkpoint folder exists, a temporary folder is made on a
+    local master (tests, the bench); on a cluster that would be each machine's own, so it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not folder:
         folder = sc.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="folioframe-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return folder
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any Hadoop file system; one that isn't there is no error."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _at_exit(spark: SparkSession) -> list[str]:
+    """Folders to delete when the session's Python ends."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_folioframe_folders"):
+        sc._folioframe_folders = []
+
+        def clean() -> None:
+            try:
+                for path in sc._folioframe_folders:
+                    remove_folder(spark, path)
+            except Exception:  # noqa: BLE001 - the JVM is gone already
+                pass
+
+        atexit.register(clean)
+    return sc._folioframe_folders
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet into the shared folder and read it back.
 
     Unlike ``localCheckpoint`` the copy outlives the executors that wrote it, and
-    unlike ``checkpoint`` later reads prune columns.
+    unlike ``checkpoint`` later reads prune columns.  It is deleted when the driver ends.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    _at_exit(spark).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
-    """Hint a broadcast only when ``df`` is proven to have at most ``max_rows`` rows.
+class Workspace:
+    """Materialised steps of one operator, deleted once its result is written.
+
+    ``with Workspace(spark) as work: ... return work.result(df)``.  The result is written too,
+    so nothing reads the steps any more, also not when an executor is lost.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.steps = spark, []
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *error) -> None:
+        known = _at_exit(self.spark)
+        for path in self.steps:
+            remove_folder(self.spark, path)
+            known.remove(path)
+
+    def materialise(self, df: DataFrame, name: str) -> DataFrame:
+        out = materialise(df, name)
+        self.steps.append(_at_exit(self.spark)[-1])
+        return out
+
+    def result(self, df: DataFrame, name: str = "result") -> DataFrame:
+        return materialise(df, name)
+
+
+def is_small(df: DataFrame, max_rows: int = 50_000, max_bytes: int = 16 << 20) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows of ``max_bytes`` in all; counted, not estimated.
+
+    ``df`` must be cheap to read (a materialised or tiny table); no more than the bound is looked at.
+    """
+    size = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    n, b = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return n <= max_rows and b <= max_bytes
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 50_000, max_bytes: int = 16 << 20) -> DataFrame:
+    """Hint a broadcast only when ``df`` is proven to be small (see ``is_small``).
 
-    ``df`` must be cheap to count (a materialised or tiny table).  Beyond the
-    bound the frame comes back unhinted and the planner shuffles.
+    Beyond the bounds the frame comes back unhinted and the planner shuffles.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df
 
 
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
