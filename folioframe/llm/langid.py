@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from folioframe.functions.arrow import by_size
 
@@ -197,11 +198,10 @@ def fit_language_model(
     the sample.  A language without labelled rows is never given.
     """
     code = label_language(F.col(f"`{label}`"))
-    named = docs.select(F.col(f"`{key}`").alias("k"), code.alias("code"))
-    chosen = None
-    for lang in languages:
-        part = named.where(F.col("code") == lang).orderBy(F.xxhash64("k"), "k").limit(per_language)
-        chosen = part if chosen is None else chosen.unionByName(part)
+    named = docs.select(F.col(f"`{key}`").alias("k"), code.alias("code")).where(F.col("code").isin(*languages))
+    # Ranks are cut in each partition before the shuffle, so a group has few rows.
+    rank = F.row_number().over(W.partitionBy("code").orderBy(F.xxhash64("k"), "k"))
+    chosen = named.withColumn("r", rank).where(F.col("r") <= per_language).drop("r")
     sample = (
         docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
         .join(F.broadcast(chosen), "k")  # at most per_language rows of each language

@@ -1,14 +1,22 @@
 """Lines repeated across one source's documents: find them and take them out.
 
-Each line gets an identifier that ignores case, spacing, tags, surrounding marks and
-filled-in names, dates and numbers.  The identifiers of a source's documents, one
-document after the other, are the text of a suffix array.  Only its common prefixes
-matter here, not its order, so it is built by prefix doubling with hash groups in place
-of a sort: after round k two suffixes are in one group exactly when they share their
-first 2**k identifiers.  Groups that span enough documents are repeated blocks.  No step
-gathers a source in one task: counts are combined on the map side, the frequent
-identifiers are few by their definition (at most ten times a source's lines per
-document at a tenth), and lines that can't be in a block leave before the doubling.
+Each line gets an identifier that ignores case, spacing, tags, surrounding marks and filled-in
+names, dates and numbers; a line that begins with capitalised words has a second reading in which
+they are a name too.  The identifiers of a source's documents, one document after the other, are
+the text of a suffix array; a suffix ends with its document, and after a line that can't be in a
+block.
+
+The array is built by prefix doubling.  A block spans a least number of documents, and so does
+every part of it: identifiers in fewer documents leave first, and in each round the groups of
+suffixes that share too few documents.  What is left of an array are its groups in order: a
+group's rank is its place in the sorted prefixes of its source.  Of each suffix the common prefix
+is then found: the longest one it shares with enough documents.  A block begins at each suffix
+with a common prefix and has its length; the lines that blocks cover are the repeated ones.
+
+Documents with the same repeated lines in the same order are one text (a layout) with a weight,
+so a site's notice in a million documents is a few rows.  No step gathers a source in one task.
+The surviving identifiers of a source are few by definition: with a share of a tenth at most ten
+times the lines of its average document; that bounds the ranks that are sorted for each source.
 """
 
 from __future__ import annotations
@@ -26,7 +34,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from folioframe.functions.arrow import by_size
-from folioframe.session import broadcast_if_small, materialise
+from folioframe.session import Workspace, broadcast_if_small, is_small
 
 # Names of months that are filled in beside a number.
 MONTHS = (
@@ -38,6 +46,8 @@ MONTHS = (
     "janeiro|fevereiro|março|maio|junho|julho|setembro|outubro|novembro|dezembro"
 )
 NAME, NUMBER = "§", "#"
+#: Fixed words that a line must have besides a name at its start.
+LEAST_FIXED = 3
 
 _TAG = re.compile(r"<[^>\n]*>")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -45,8 +55,9 @@ _DIGIT = re.compile(r"\d")
 _HANDLE = re.compile(r"\S*_\S*")
 _NUMBER = re.compile(r"(?<!\S)\S*\d\S*(?: \S*\d\S*)*")
 _MONTH = re.compile(rf"(?:(?<!\S)(?:{MONTHS}) )?#(?: (?:(?:{MONTHS})(?!\S)|#))*", re.I)
-_CAPITAL = "A-Z\u00c0-\u00d6\u00d8-\u00de\u0391-\u03a9\u0410-\u042f§"
+_CAPITAL = "A-ZÀ-ÖØ-ÞΑ-ΩА-Я§"
 _NAMES = re.compile(rf"(?<= )[{_CAPITAL}]\S*(?: [{_CAPITAL}]\S*)*")
+_FIRST = re.compile(rf"[{_CAPITAL}]\S*(?: §)?(?= )")
 
 
 class _Spaces(dict):
@@ -60,160 +71,255 @@ class _Spaces(dict):
 _SPACES = _Spaces()
 
 
-def line_template(words: str) -> str:
-    """The words of a line, with names, dates and numbers replaced by slots.
+def line_readings(text: str) -> Iterator[tuple[int, str, str | None, bool]]:
+    """``(line_no, template, template with a name at its start or None, in capitals)`` of each line with letters.
 
-    Names are runs of capitalised words after the first word, and words with an
-    underscore; a line without small letters keeps its words, as its case says nothing.
+    Names are runs of capitalised words after the first word, and words with an underscore; a
+    line without small letters keeps its words, as its case says nothing.  The patterns run over
+    the whole text at once, as none of them goes beyond a line.
     """
-    if "_" in words:
-        words = _HANDLE.sub(NAME, words)
-    if _DIGIT.search(words):
-        words = _MONTH.sub(NUMBER, _NUMBER.sub(NUMBER, words))
-    if words.isupper():
-        return words.lower()
-    return _NAMES.sub(NAME, words).lower()
+    if "<" in text:
+        text = _TAG.sub(" ", text)
+    plain = [" ".join(line.split()) for line in text.translate(_SPACES).split("\n")]
+    whole = "\n".join(plain)
+    if "_" in whole:
+        whole = _HANDLE.sub(NAME, whole)
+    if _DIGIT.search(whole):
+        whole = _MONTH.sub(NUMBER, _NUMBER.sub(NUMBER, whole))
+    counted, named = whole.split("\n"), _NAMES.sub(NAME, whole).split("\n")
+    for no, (words, number, name) in enumerate(zip(plain, counted, named), 1):
+        if not words or not _LETTER.search(words):
+            continue
+        if words.isupper():
+            yield no, number.lower(), None, True
+            continue
+        begin = _FIRST.match(name)
+        rest = name[begin.end() :] if begin else ""
+        fixed = rest.count(" ") - rest.count(NAME) - rest.count(NUMBER)
+        yield no, name.lower(), NAME + rest.lower() if fixed >= LEAST_FIXED else None, False
+
+
+def line_template(words: str) -> str:
+    """The template of a single line."""
+    return next((t for _, t, _, _ in line_readings(words)), "")
+
 
+def identifier(template: str) -> int:
+    return xxhash.xxh64_intdigest(template.encode()) - (1 << 63)
 
-def text_lines(text: str | None, slot_words: int = 24) -> list[tuple[int, int, bool, str | None, bool]]:
-    """``(line_no, line_id, first of its id in the text, template or None, in capitals)``.
 
-    The template is given where slots matter: it has a name slot, or is in capitals.
+def anchor(template: str) -> str:
+    """The longest word of a template that isn't filled in (the first in order of several)."""
+    return min(template.split(" "), key=lambda w: (-len(w) * (w not in (NAME, NUMBER)), w))
+
+
+def text_lines(text: str | None) -> list[tuple[int, int, int, int, bool, str | None, bool]]:
+    """``(seq, line_no, reading, line_id, first of its id in the text, template or None, in capitals)``.
+
+    ``seq`` numbers the lines with letters.  The template is given where it has a name or is in
+    capitals.
     """
-    out: list[tuple[int, int, bool, str | None, bool]] = []
-    if not text:
-        return out
-    if "<" in text:
-        text = _TAG.sub(" ", text)
+    out: list[tuple[int, int, int, int, bool, str | None, bool]] = []
     seen: set[int] = set()
-    for no, line in enumerate(text.translate(_SPACES).split("\n"), 1):
-        words = " ".join(line.split())
-        if not words or not _LETTER.search(words):
-            continue
-        tpl = line_template(words)
-        capitals = words.isupper()
-        h = xxhash.xxh64_intdigest(tpl.encode()) - (1 << 63)
-        slots = (capitals or NAME in tpl) and tpl.count(" ") < slot_words
-        out.append((no, h, h not in seen, tpl if slots else None, capitals))
-        seen.add(h)
+    for seq, (no, tpl, second, capitals) in enumerate(line_readings(text or "")):
+        for reading, t in ((0, tpl), (1, second)):
+            if t is not None:
+                h = identifier(t)
+                out.append((seq, no, reading, h, h not in seen, t if capitals or NAME in t else None, capitals))
+                seen.add(h)
     return out
 
 
-def document_lines(docs: DataFrame, key: str, text: str, source: str, slot_words: int = 24) -> DataFrame:
-    """``(key, source, line_no, line_id, first, tpl, capitals)`` of each line that has letters."""
-    key_type = docs.schema[key].dataType
-    schema = T.StructType(
-        [
-            T.StructField(key, key_type), T.StructField("source", T.StringType()), T.StructField("line_no", T.LongType()), T.StructField("line_id", T.LongType()),
-            T.StructField("first", T.BooleanType()), T.StructField("tpl", T.StringType()), T.StructField("capitals", T.BooleanType()),
-        ]
-    )
+def document_lines(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
+    """``(key, source, seq, line_no, reading, line_id, first, tpl, capitals)`` of each reading of a line with letters."""
+    fields = (("seq", T.IntegerType()), ("line_no", T.LongType()), ("reading", T.IntegerType()), ("line_id", T.LongType()), ("first", T.BooleanType()), ("tpl", T.StringType()), ("capitals", T.BooleanType()))
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("source", T.StringType()), *(T.StructField(n, t) for n, t in fields)])
+    arrow = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.string(), pa.bool_())
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, 1):
-            found = [text_lines(t, slot_words) for t in batch.column(1).to_pylist()]
+            found = [text_lines(t) for t in batch.column(1).to_pylist()]
             at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-            cols = list(zip(*(x for f in found for x in f))) or [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(2).take(at), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.bool_()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.bool_())],
-                [f.name for f in schema],
-            )
+            cols = list(zip(*(x for f in found for x in f))) or [[]] * len(arrow)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), *map(pa.array, cols, arrow)], [f.name for f in schema])
 
     return docs.select(F.col(f"`{key}`"), F.col(f"`{text}`"), F.coalesce(F.col(f"`{source}`"), F.lit("")).alias("source")).mapInArrow(lines, schema)
 
 
-def repeated_lines(
-    docs: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    source: str = "source",
-    min_docs: int = 3,
-    min_share: float = 0.1,
-    slot_words: int = 24,
-) -> DataFrame:
-    """``(key, source, line_no, line_id, need)`` of each line repeated within its source.
-
-    A line is repeated when it stands in at least ``min_docs`` documents and in at least
-    ``min_share`` of the source's documents.  Each row of ``docs`` is a document, also
-    with null or empty text; a null source is the source ''.  A line that stands twice in
-    a document counts once and is returned twice.  Lines without letters never count.
-    ``slot_words`` bounds the words of a line in capitals that is tried against templates
-    with name slots; longer ones match word by word.  Other columns are ignored.  ``need`` is
-    the number of documents that made the source's lines repeated ones.
+@F.arrow_udf(T.StringType())
+def _anchor_udf(templates: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else anchor(t) for t in templates.to_pylist()], pa.string())
+
+
+def _capital_lines(work: Workspace, lines: DataFrame, need: DataFrame, key: str) -> DataFrame:
+    """``(source, key, seq, line_no, line_id, own, reading)``: lines in capitals with the templates that they fill.
+
+    A line in capitals doesn't show its names, so it is held against the templates of its source
+    that share their longest fixed word with it.  A template counts if its documents and the
+    documents with that word in capitals are enough together, whatever the shares of both.
     """
-    per_source = docs.groupBy(F.coalesce(F.col(f"`{source}`"), F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("n_docs"))
-    lines = materialise(document_lines(docs, key, text, source, slot_words), "lines")
-    counts = (
-        lines.groupBy("source", "line_id")
-        .agg(F.count_if("first").alias("n"), F.max("tpl").alias("tpl"), F.min("capitals").alias("capitals"))
-        .where(F.col("n") >= 2)
-        .join(per_source, "source")
-        .withColumn("need", F.greatest(F.lit(float(min_docs)), F.col("n_docs") * min_share))
-        .where(F.col("n") >= F.col("need") / 2)
-    )
-    counts = materialise(counts, "line-counts")
-    # A line in capitals doesn't show its names: match it against the frequent templates
-    # of its source that begin with the same word.
-    templates = counts.where(F.contains("tpl", F.lit(NAME)) & ~F.col("capitals")).select(
-        "source", F.col("line_id").alias("to_id"), F.element_at(F.split("tpl", " "), 1).alias("w1"),
-        F.concat(F.lit("^"), F.replace("tpl", F.lit(NAME), F.lit(r"\S+(?: \S+){0,5}")), F.lit("$")).alias("pattern"),
+    caps = work.materialise(lines.where("capitals").select(key, "source", "seq", "line_no", "line_id", "tpl"), "capital-lines")
+    word = caps.select(key, "source", F.explode(F.array_distinct(F.split("tpl", " "))).alias("w"))
+    words = broadcast_if_small(work.materialise(word.distinct().groupBy("source", "w").agg(F.count(F.lit(1)).alias("c")), "capital-words"))
+    slots = lines.where(~F.col("capitals") & F.contains("tpl", F.lit(NAME))).select("source", "line_id", "reading", "first", "tpl", _anchor_udf("tpl").alias("w"))
+    templates = (
+        slots.join(words, ["source", "w"]).groupBy("source", "line_id", "reading", "w").agg(F.count_if("first").alias("n"), F.max("tpl").alias("t"), F.max("c").alias("c"))
+        .join(need, "source").where(F.col("n") + F.col("c") >= F.col("need"))
+        .select("source", "w", "reading", F.col("line_id").alias("to_id"), F.concat(F.lit("^"), F.replace("t", F.lit(NAME), F.lit(r"\S+(?: \S+)*")), F.lit("$")).alias("pattern"))
     )
-    capitals = lines.where(F.col("capitals") & F.col("tpl").isNotNull())
-    moved = (
-        capitals.withColumn("w1", F.element_at(F.split("tpl", " "), 1))
-        .join(broadcast_if_small(templates), ["source", "w1"])
+    return (
+        caps.select("*", F.explode(F.array_distinct(F.split("tpl", " "))).alias("w"))
+        .join(broadcast_if_small(work.materialise(templates, "capital-templates")), ["source", "w"])
         .where(F.expr("tpl rlike pattern"))
-        .groupBy(key, "source", "line_no", "line_id")
-        .agg(F.min("to_id").alias("to_id"))
-    )
-    moved = materialise(moved, "capital-lines")
-    added = moved.select("source", F.col("to_id").alias("line_id"), key).distinct().groupBy("source", "line_id").agg(F.count(F.lit(1)).alias("more"))
-    frequent = (
-        counts.join(added, ["source", "line_id"], "left")
-        .where(F.col("n") + F.coalesce("more", F.lit(0)) >= F.col("need"))
-        .select("source", "line_id", "need")
-    )
-    frequent = broadcast_if_small(materialise(frequent, "frequent-lines"))
-    plain = lines.select(key, "source", "line_no", "line_id").join(frequent, ["source", "line_id"])
-    slots = (
-        moved.select(key, "source", "line_no", F.col("to_id").alias("line_id"), F.col("line_id").alias("own"))
-        .join(frequent, ["source", "line_id"])
-        .join(frequent.select("source", F.col("line_id").alias("own")), ["source", "own"], "left_anti")
-    )
-    return plain.unionByName(slots, allowMissingColumns=True).select(key, "source", "line_no", "line_id", "need")
+        .select("source", key, "seq", "line_no", F.col("to_id").alias("line_id"), F.col("line_id").alias("own"), "reading")
+    )
+
+
+def _surviving_lines(work: Workspace, lines: DataFrame, need: DataFrame, key: str) -> DataFrame:
+    """``(key, source, seq, line_no, line_id, own, rank)``: lines whose identifier stands in enough documents.
+
+    ``own`` is the identifier that the line's text gives, ``line_id`` that of a reading; the reading
+    of the least ``rank`` counts: the one in most documents, so that all lines of a group choose it.
+    """
+    counts = lines.groupBy("source", "line_id").agg(F.count_if("first").alias("n")).where(F.col("n") >= 2).join(need, "source")
+    plain = counts.where(F.col("n") >= F.col("need")).select("source", "line_id", "n")
+    moved = work.materialise(_capital_lines(work, lines, need, key), "filled-capitals")
+    # Documents of the templates that lines in capitals fill, each counted once.
+    touched = broadcast_if_small(work.materialise(moved.select("source", "line_id").distinct(), "filled-templates"))
+    holders = lines.where(F.col("first") & F.contains("tpl", F.lit(NAME))).join(touched, ["source", "line_id"]).select("source", "line_id", key)
+    filled = holders.unionByName(moved.select("source", "line_id", key)).distinct().groupBy("source", "line_id").agg(F.count(F.lit(1)).alias("n"))
+    both = plain.unionByName(filled.join(need, "source").where(F.col("n") >= F.col("need")).select("source", "line_id", "n"))
+    alive = broadcast_if_small(work.materialise(both.groupBy("source", "line_id").agg(F.max("n").alias("n")), "surviving-ids"), 200_000)
+    own = lines.withColumn("own", F.col("line_id")).withColumn("rank", F.when(F.col("capitals"), 3).otherwise(F.col("reading")))
+    moved = moved.withColumn("rank", F.when(F.col("reading") == 0, 2).otherwise(4))
+    cols = [key, "source", "seq", "line_no", "line_id", "own", "rank"]
+    found = own.select(*cols).unionByName(moved.select(*cols)).join(alive, ["source", "line_id"])
+    return found.select(*cols[:-1], (F.col("rank") - F.col("n") * 8).alias("rank"))
+
+
+def _live(pairs: DataFrame, *by: str) -> DataFrame:
+    """Groups ``(source, *by)`` of layouts that hold enough documents, with their ``order`` within the source."""
+    once = pairs.select("source", "lid", "docs", "need", *by).distinct()
+    alive = once.groupBy("source", *by).agg(F.sum("docs").alias("n"), F.max("need").alias("need")).where(F.col("n") >= F.col("need"))
+    # Few for each source: see the module text.
+    return alive.select("source", *by, F.row_number().over(W.partitionBy("source").orderBy(*by)).alias("order"))
 
 
-def repeated_blocks(lines: DataFrame, key: str = "doc_id", rounds: int = 3) -> DataFrame:
-    """``lines`` with ``block``: the lines of the largest repeated block that covers each.
+def suffix_array(work: Workspace, places: DataFrame) -> DataFrame:
+    """``(source, lid, at, line_id, rank, common)``: the suffixes that begin a block.
 
-    ``lines`` is the result of ``repeated_lines``: the places of the suffix array whose first
-    identifier is repeated; all others begin no repeated block.  Round k doubles the prefix:
-    the group of a suffix (its common prefix of ``2**k`` identifiers) and the group of the
-    suffix ``2**k`` lines on name the group of twice the length.  A group that spans as many
-    documents as a repeated line must is a repeated block.  Blocks have 1, 2, 4 ...
-    ``2**rounds`` lines; longer notices are several of them.
+    ``places``: ``(source, lid, at, line_id, docs, need)``, the identifiers of each layout by their
+    place, its documents and how many make a block.  ``rank`` is the order of the suffix by its
+    longest live prefix of a power of two, ``common`` the number of identifiers that it shares
+    with enough documents.
     """
-    w = W.partitionBy(key).orderBy("line_no")
-    at = lines.withColumn("rank", F.col("line_id")).withColumn("block", F.lit(1))
-    for k in range(rounds):
+    w = W.partitionBy("lid").orderBy("at")
+    first = broadcast_if_small(work.materialise(_live(places, "line_id"), "suffix-groups"))
+    at = work.materialise(places.join(first, ["source", "line_id"]).withColumnRenamed("order", "r0"), "suffix-ranks")
+    k = 0
+    while True:
         step = 2**k
-        at = at.withColumn("next", F.max("rank").over(w.rangeBetween(step, step)))
-        at = materialise(at.withColumn("rank", F.when(F.col("rank").isNotNull() & F.col("next").isNotNull(), F.xxhash64("rank", "next"))).drop("next"), "suffix-ranks")
-        groups = (
-            at.where("rank is not null").select("source", "rank", key, "need").distinct().groupBy("source", "rank")
-            .agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("least")).where(F.col("n") >= F.col("least")).select("source", "rank", F.lit(True).alias("kept"))
+        near = at.withColumn("next", F.max(f"r{k}").over(w.rangeBetween(step, step)))
+        groups = work.materialise(_live(near.where(f"r{k} is not null and next is not null"), f"r{k}", "next"), "suffix-groups")
+        if groups.isEmpty():
+            break
+        at = work.materialise(near.join(broadcast_if_small(groups), ["source", f"r{k}", "next"], "left").withColumnRenamed("order", f"r{k + 1}").drop("next"), "suffix-ranks")
+        k += 1
+    tops = [(i, F.col(f"r{i}")) for i in range(k, -1, -1)]
+    at = at.withColumn("common", F.coalesce(*[F.when(r.isNotNull(), 2**i) for i, r in tops]))
+    at = at.withColumn("rank", F.coalesce(*[r for _, r in tops])).withColumn("group", F.xxhash64("common", "rank"))
+    # The rest of the common prefix, from its largest power of two down.
+    for j in range(k - 1, -1, -1):
+        after = at.select("lid", F.col("at").alias("to"), F.col(f"r{j}").alias("next")).where("next is not null")
+        near = at.withColumn("to", F.when(F.col("common") >= 2 ** (j + 1), F.col("at") + F.col("common"))).join(after, ["lid", "to"], "left")
+        groups = work.materialise(_live(near.where("next is not null"), "group", "next"), "suffix-groups")
+        if groups.isEmpty():
+            continue
+        grown = near.join(broadcast_if_small(groups), ["source", "group", "next"], "left")
+        longer = F.col("order").isNotNull()
+        at = work.materialise(
+            grown.withColumn("common", F.when(longer, F.col("common") + 2**j).otherwise(F.col("common")))
+            .withColumn("group", F.when(longer, F.xxhash64("group", "next")).otherwise(F.col("group"))).drop("to", "next", "order"),
+            "suffix-ranks",
         )
-        at = at.join(broadcast_if_small(materialise(groups, "suffix-groups")), ["source", "rank"], "left")
-        covered = F.max("kept").over(w.rangeBetween(-(2 * step - 1), 0))
-        at = at.withColumn("block", F.when(covered, 2 * step).otherwise(F.col("block"))).withColumn("rank", F.when(F.col("kept"), F.col("rank"))).drop("kept")
-    return at.select(key, "source", "line_no", "line_id", "block")
+    return at.select("source", "lid", "at", "line_id", "rank", "common")
+
+
+def repeated_lines(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", min_docs: int = 3, min_share: float = 0.1, min_lines: int = 1
+) -> DataFrame:
+    """``(key, source, line_no, line_id, own, block)``: the lines that repeated blocks cover.
 
+    A block is a row of lines that stands in at least ``min_docs`` documents and in at least
+    ``min_share`` of the source's documents; it has ``min_lines`` lines or more.  ``block`` is the
+    length of the block that covers the line and reaches farthest.  Lines without letters never
+    count and don't part a block.  Each row of ``docs`` is a document with its own key, also with
+    null or empty text; a null source is the source ''.  A block that stands twice in a document
+    counts once and is returned twice.  Other columns are ignored.
+    """
+    per_source = docs.groupBy(F.coalesce(F.col(f"`{source}`"), F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    with Workspace(docs.sparkSession) as work:
+        need = work.materialise(per_source.select("source", F.greatest(F.lit(float(min_docs)), F.col("n") * min_share).alias("need")), "block-needs")
+        lines = work.materialise(document_lines(docs, key, text, source), "lines")
+        alive = _surviving_lines(work, lines, need, key)
+        # A document's surviving lines, one reading each, with a 0 where others stand between them.
+        best = lambda xs: F.filter(xs, lambda x, i: (i == 0) | (F.get(xs, i - 1)["seq"] != x["seq"]))
+        sites = alive.groupBy(key, "source").agg(best(F.array_sort(F.collect_list(F.struct("seq", "rank", "line_no", "line_id", "own")))).alias("xs"))
+        gap = F.struct(F.lit(0).alias("seq"), F.lit(0).cast("bigint").alias("rank"), F.lit(0).cast("bigint").alias("line_no"), F.lit(0).cast("bigint").alias("line_id"), F.lit(0).cast("bigint").alias("own"))
+        parted = F.flatten(F.transform("xs", lambda x, i: F.when((i > 0) & (F.get("xs", i - 1)["seq"] + 1 < x["seq"]), F.array(gap, x)).otherwise(F.array(x))))
+        sites = sites.select(key, "source", parted.alias("xs")).select(key, "source", F.col("xs.line_no").alias("nos"), F.col("xs.own").alias("own"), F.col("xs.line_id").alias("layout"))
+        sites = work.materialise(sites.withColumn("lid", F.xxhash64("source", "layout")), "sites")
+        layouts = sites.groupBy("lid", "source").agg(F.count(F.lit(1)).alias("docs"), F.any_value("layout").alias("layout")).join(need, "source")
+        places = layouts.select("lid", "source", "docs", "need", F.posexplode("layout").alias("at", "line_id")).where("line_id <> 0")
+        found = suffix_array(work, work.materialise(places, "places"))
+        # Blocks cover from where they begin; the one that reaches farthest decides.
+        reach = F.max(F.when(F.col("common") >= min_lines, F.struct((F.col("at") + F.col("common")).alias("end"), F.col("common").alias("block"))))
+        reach = reach.over(W.partitionBy("lid").orderBy("at").rowsBetween(W.unboundedPreceding, 0))
+        covered = found.withColumn("b", reach).where(F.col("b.end") > F.col("at")).groupBy("lid").agg(F.collect_list(F.struct("at", "line_id", "b.block")).alias("c"))
+        covered = broadcast_if_small(work.materialise(covered, "covered"))
+        rows = sites.join(covered, "lid").select(key, "source", "nos", "own", F.explode("c").alias("c"))
+        return work.result(rows.select(key, "source", F.get("nos", F.col("c.at")).alias("line_no"), F.col("c.line_id").alias("line_id"), F.get("own", F.col("c.at")).alias("own"), F.col("c.block").alias("block")), "repeated-lines")
 
-def without_repeated_lines(docs: DataFrame, lines: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+
+def without_repeated_lines(docs: DataFrame, lines: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", most: int = 200_000) -> DataFrame:
     """``docs`` with the repeated lines cut from ``text`` and their number in ``n_cut``.
 
+    ``lines`` is a result of ``repeated_lines`` with ``min_lines=1`` over the same documents.  The
+    identifiers of the lines to cut are few for each source, so they go to the documents, which
+    stay where they are; over ``most`` identifiers the line numbers are joined by the key instead.
     Documents without any keep their text unchanged; null text stays null.
     """
+    ids = lines.select("source", "own").distinct()
+    if not is_small(ids, most, 64 << 20):
+        return cut_line_numbers(docs, lines, key, text)
+    by_source: dict[str, set[int]] = {}
+    for r in ids.collect():  # at most ``most`` rows
+        by_source.setdefault(r.source, set()).add(r.own)
+    shared = docs.sparkSession.sparkContext.broadcast(by_source)
+    names = [c for c in docs.columns if c != "n_cut"]
+    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("n_cut", T.IntegerType())])
+    t, s = names.index(text), names.index(source)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_size(batches, t):
+            texts, n_cut = [], []
+            for value, of in zip(batch.column(t).to_pylist(), batch.column(s).to_pylist()):
+                known = shared.value.get(of or "", ())
+                gone = set()
+                if value and known:
+                    for no, tpl, second, _ in line_readings(value):
+                        if identifier(tpl) in known or second is not None and identifier(second) in known:
+                            gone.add(no)
+                texts.append("\n".join(x for i, x in enumerate(value.split("\n"), 1) if i not in gone) if gone else value)
+                n_cut.append(len(gone))
+            cols = [pa.array(texts, pa.string()) if i == t else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(n_cut, pa.int32())], [f.name for f in schema])
+
+    return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(cut, schema)
+
+
+def cut_line_numbers(docs: DataFrame, lines: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with the lines ``(key, line_no)`` cut from ``text`` and their number in ``n_cut``, by a join on the key."""
     cut = lines.groupBy(key).agg(F.collect_set("line_no").alias("__cut"))
     kept = F.array_join(
         F.filter(F.split(F.col(f"`{text}`"), "\n"), lambda line, i: ~F.array_contains("__cut", (i + 1).cast("bigint"))), "\n"

@@ -22,17 +22,24 @@ def sourced_documents(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """The lines that repeated blocks (of one line or more) cover."""
-    from folioframe.llm.lines import repeated_blocks, repeated_lines
+    from folioframe.llm.lines import repeated_lines
 
-    return repeated_blocks(repeated_lines(sourced_documents(spark, d, "text"))).select("doc_id", "line_no")
+    return repeated_lines(sourced_documents(spark, d, "text")).select("doc_id", "line_no")
+
+
+def p1_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Repeated lines that stand in blocks of two lines or more, with the length of their block."""
+    from folioframe.llm.lines import repeated_lines
+
+    return repeated_lines(sourced_documents(spark, d, "text"), min_lines=2).select("doc_id", "source", "line_no", "block")
 
 
 def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     """Each document without the lines of its source's repeated blocks."""
-    from folioframe.llm.lines import repeated_blocks, repeated_lines, without_repeated_lines
+    from folioframe.llm.lines import repeated_lines, without_repeated_lines
 
     docs = sourced_documents(spark, d, "text")
-    return without_repeated_lines(docs, repeated_blocks(repeated_lines(docs))).select("doc_id", "source", "text", "n_cut")
+    return without_repeated_lines(docs, repeated_lines(docs)).select("doc_id", "source", "text", "n_cut")
 
 
 def catalogue_entries(spark: SparkSession, d: str) -> DataFrame:
@@ -57,10 +64,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     from folioframe.llm.langid import detect_languages, fit_language_model, relabelled
     from folioframe.llm.lines import repeated_lines, without_repeated_lines
 
-    labelled = widen(table(spark, d, "documents")).select("doc_id", "text", "lang")
-    model = fit_language_model(labelled, "doc_id", "text", "lang")
-    site = repeated_lines(sourced_documents(spark, d, "text"))
-    clean = without_repeated_lines(labelled, site)
+    docs = sourced_documents(spark, d, "text", "lang")
+    model = fit_language_model(widen(table(spark, d, "documents")).select("doc_id", "text", "lang"), "doc_id", "text", "lang")
+    clean = without_repeated_lines(docs, repeated_lines(docs))
     return relabelled(detect_languages(clean, model, keep=("lang",)), "lang")
 
 
@@ -144,7 +150,7 @@ def _pieces(spark: SparkSession, d: str, above_words: int | None = None) -> Data
     return split_oversized(widen(table(spark, d, "documents")), max_tokens=1024, overlap=64, above_words=above_words)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_links, p4_found, p4_languages, p5_found, p5_forms, p6_found, p7_found, p8_mixture, p8_shares, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_blocks, p1_clean, p2_found, p2_links, p4_found, p4_languages, p5_found, p5_forms, p6_found, p7_found, p8_mixture, p8_shares, p9_found, p9_pieces)}
 SQL: dict[str, str] = {
     "p9_found": r"SELECT doc_id FROM documents WHERE len(list_filter(regexp_split_to_array(text, '[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}\x0b]+'), lambda w: w <> '')) > 1200",
 }
