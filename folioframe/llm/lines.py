@@ -86,17 +86,21 @@ def line_readings(text: str) -> Iterator[tuple[int, str, str | None, bool]]:
         whole = _HANDLE.sub(NAME, whole)
     if _DIGIT.search(whole):
         whole = _MONTH.sub(NUMBER, _NUMBER.sub(NUMBER, whole))
-    counted, named = whole.split("\n"), _NAMES.sub(NAME, whole).split("\n")
-    for no, (words, number, name) in enumerate(zip(plain, counted, named), 1):
-        if not words or not _LETTER.search(words):
+    named = _NAMES.sub(NAME, whole)
+    counted, small, named = whole.split("\n"), named.lower().split("\n"), named.split("\n")
+    for no, words in enumerate(plain):
+        if not words or not (words[0].isalpha() or _LETTER.search(words)):
             continue
         if words.isupper():
-            yield no, number.lower(), None, True
+            yield no + 1, counted[no].lower(), None, True
             continue
-        begin = _FIRST.match(name)
-        rest = name[begin.end() :] if begin else ""
-        fixed = rest.count(" ") - rest.count(NAME) - rest.count(NUMBER)
-        yield no, name.lower(), NAME + rest.lower() if fixed >= LEAST_FIXED else None, False
+        begin = _FIRST.match(named[no])
+        second = None
+        if begin:
+            rest = small[no][begin.end() :]
+            if rest.count(" ") - rest.count(NAME) - rest.count(NUMBER) >= LEAST_FIXED:
+                second = NAME + rest
+        yield no + 1, small[no], second, False
 
 
 def line_template(words: str) -> str:
@@ -108,33 +112,35 @@ def identifier(template: str) -> int:
     return xxhash.xxh64_intdigest(template.encode()) - (1 << 63)
 
 
-def anchor(template: str) -> str:
-    """The longest word of a template that isn't filled in (the first in order of several)."""
-    return min(template.split(" "), key=lambda w: (-len(w) * (w not in (NAME, NUMBER)), w))
+def text_lines(text: str | None) -> list[tuple[int, int, int, bool, int | None, bool | None, str | None, bool]]:
+    """``(seq, line_no, line_id, first of its id in the text, id of the second reading, first of that, template or None, in capitals)``.
 
-
-def text_lines(text: str | None) -> list[tuple[int, int, int, int, bool, str | None, bool]]:
-    """``(seq, line_no, reading, line_id, first of its id in the text, template or None, in capitals)``.
-
-    ``seq`` numbers the lines with letters.  The template is given where it has a name or is in
-    capitals.
+    ``seq`` numbers the lines with letters.  The template is given where it has or may have a
+    name or is in capitals.
     """
-    out: list[tuple[int, int, int, int, bool, str | None, bool]] = []
+    out: list[tuple[int, int, int, bool, int | None, bool | None, str | None, bool]] = []
     seen: set[int] = set()
     for seq, (no, tpl, second, capitals) in enumerate(line_readings(text or "")):
-        for reading, t in ((0, tpl), (1, second)):
-            if t is not None:
-                h = identifier(t)
-                out.append((seq, no, reading, h, h not in seen, t if capitals or NAME in t else None, capitals))
-                seen.add(h)
+        h = identifier(tpl)
+        h2 = first2 = None
+        first = h not in seen
+        seen.add(h)
+        if second is not None:
+            h2 = identifier(second)
+            first2 = h2 not in seen
+            seen.add(h2)
+        out.append((seq, no, h, first, h2, first2, tpl if capitals or second is not None or NAME in tpl else None, capitals))
     return out
 
 
 def document_lines(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """``(key, source, seq, line_no, reading, line_id, first, tpl, capitals)`` of each reading of a line with letters."""
-    fields = (("seq", T.IntegerType()), ("line_no", T.LongType()), ("reading", T.IntegerType()), ("line_id", T.LongType()), ("first", T.BooleanType()), ("tpl", T.StringType()), ("capitals", T.BooleanType()))
+    """``(key, source, seq, line_no, line_id, first, second_id, second_first, tpl, capitals)`` of each line with letters."""
+    fields = (
+        ("seq", T.IntegerType()), ("line_no", T.LongType()), ("line_id", T.LongType()), ("first", T.BooleanType()),
+        ("second_id", T.LongType()), ("second_first", T.BooleanType()), ("tpl", T.StringType()), ("capitals", T.BooleanType()),
+    )
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("source", T.StringType()), *(T.StructField(n, t) for n, t in fields)])
-    arrow = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.string(), pa.bool_())
+    arrow = (pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_(), pa.string(), pa.bool_())
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, 1):
@@ -146,33 +152,44 @@ def document_lines(docs: DataFrame, key: str, text: str, source: str) -> DataFra
     return docs.select(F.col(f"`{key}`"), F.col(f"`{text}`"), F.coalesce(F.col(f"`{source}`"), F.lit("")).alias("source")).mapInArrow(lines, schema)
 
 
-@F.arrow_udf(T.StringType())
-def _anchor_udf(templates: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else anchor(t) for t in templates.to_pylist()], pa.string())
+def _readings(lines: DataFrame, *columns: str) -> DataFrame:
+    """``(*columns, reading, line_id, first)``: a row for each reading of a line."""
+    one = F.struct(F.lit(0).alias("reading"), F.col("line_id"), F.col("first"))
+    two = F.struct(F.lit(1).alias("reading"), F.col("second_id").alias("line_id"), F.col("second_first").alias("first"))
+    return lines.select(*columns, F.explode(F.when(F.col("second_id").isNull(), F.array(one)).otherwise(F.array(one, two))).alias("x")).select(*columns, "x.*")
 
 
-def _capital_lines(work: Workspace, lines: DataFrame, need: DataFrame, key: str) -> DataFrame:
+def _capital_lines(work: Workspace, lines: DataFrame, counts: DataFrame, need: DataFrame, key: str) -> DataFrame:
     """``(source, key, seq, line_no, line_id, own, reading)``: lines in capitals with the templates that they fill.
 
-    A line in capitals doesn't show its names, so it is held against the templates of its source
-    that share their longest fixed word with it.  A template counts if its documents and the
-    documents with that word in capitals are enough together, whatever the shares of both.
+    A line in capitals doesn't show its names, so it is held against templates of its source.  A
+    template can't be in more documents than its own and those where its words stand in capitals;
+    if both are enough together, one of them is at least half.  So the templates are those of the
+    frequent identifiers, and those all of whose words are frequent in capitals.  Lines look under
+    the word of the template that is rarest in capitals.
     """
     caps = work.materialise(lines.where("capitals").select(key, "source", "seq", "line_no", "line_id", "tpl"), "capital-lines")
     word = caps.select(key, "source", F.explode(F.array_distinct(F.split("tpl", " "))).alias("w"))
-    words = broadcast_if_small(work.materialise(word.distinct().groupBy("source", "w").agg(F.count(F.lit(1)).alias("c")), "capital-words"))
-    slots = lines.where(~F.col("capitals") & F.contains("tpl", F.lit(NAME))).select("source", "line_id", "reading", "first", "tpl", _anchor_udf("tpl").alias("w"))
-    templates = (
-        slots.join(words, ["source", "w"]).groupBy("source", "line_id", "reading", "w").agg(F.count_if("first").alias("n"), F.max("tpl").alias("t"), F.max("c").alias("c"))
-        .join(need, "source").where(F.col("n") + F.col("c") >= F.col("need"))
-        .select("source", "w", "reading", F.col("line_id").alias("to_id"), F.concat(F.lit("^"), F.replace("t", F.lit(NAME), F.lit(r"\S+(?: \S+)*")), F.lit("$")).alias("pattern"))
-    )
+    words = work.materialise(word.distinct().groupBy("source", "w").agg(F.count(F.lit(1)).alias("c")).join(need, "source"), "capital-words")
+    often = words.where(F.col("c") >= F.col("need") / 2).groupBy("source").agg(F.collect_set("w").alias("ws"))  # few: see the module text
+    half = work.materialise(counts.where(F.col("n") >= F.col("need") / 2).select("source", "line_id", F.lit(True).alias("half")), "frequent-ids")
+    slots = _readings(lines.where("tpl is not null and not capitals"), "source", "tpl")
+    slots = slots.withColumn("tpl", F.when(F.col("reading") == 1, F.regexp_replace("tpl", rf"^\S+(?: {NAME})?(?= )", NAME)).otherwise(F.col("tpl"))).where(F.contains("tpl", F.lit(NAME)))
+    fixed = F.filter(F.array_distinct(F.split("tpl", " ")), lambda x: ~x.isin(NAME, NUMBER))
+    slots = slots.join(broadcast_if_small(half, 200_000), ["source", "line_id"], "left").join(broadcast_if_small(often), "source", "left")
+    slots = slots.where(F.col("half") | (F.size(F.array_except(fixed, F.coalesce("ws", F.array().cast("array<string>")))) == 0))
+    templates = slots.groupBy("source", "line_id", "reading").agg(F.count_if("first").alias("n"), F.max("tpl").alias("tpl"))
+    of = templates.select("source", "line_id", "reading", "n", "tpl", F.size(fixed).alias("size"), F.explode(fixed).alias("w")).join(words, ["source", "w"])
+    rarest = of.groupBy("source", "line_id", "reading", "n", "tpl", "size").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("c", "w")).alias("r"), F.max("need").alias("need"))
+    rarest = rarest.where((F.col("k") == F.col("size")) & (F.col("n") + F.col("r.c") >= F.col("need")))
+    pattern = F.concat(F.lit("^"), F.replace("tpl", F.lit(NAME), F.lit(r"\S+(?: \S+)*")), F.lit("$"))
+    patterns = work.materialise(rarest.select("source", F.col("r.w").alias("w"), "reading", F.col("line_id").alias("to_id"), pattern.alias("pattern")), "capital-templates")
     return (
         caps.select("*", F.explode(F.array_distinct(F.split("tpl", " "))).alias("w"))
-        .join(broadcast_if_small(work.materialise(templates, "capital-templates")), ["source", "w"])
+        .join(broadcast_if_small(patterns), ["source", "w"])
         .where(F.expr("tpl rlike pattern"))
         .select("source", key, "seq", "line_no", F.col("to_id").alias("line_id"), F.col("line_id").alias("own"), "reading")
-    )
+    )
 
 
 def _surviving_lines(work: Workspace, lines: DataFrame, need: DataFrame, key: str) -> DataFrame:
@@ -181,16 +198,17 @@ def _surviving_lines(work: Workspace, lines: DataFrame, need: DataFrame, key: st
     ``own`` is the identifier that the line's text gives, ``line_id`` that of a reading; the reading
     of the least ``rank`` counts: the one in most documents, so that all lines of a group choose it.
     """
-    counts = lines.groupBy("source", "line_id").agg(F.count_if("first").alias("n")).where(F.col("n") >= 2).join(need, "source")
+    counts = _readings(lines, "source").groupBy("source", "line_id").agg(F.count_if("first").alias("n")).where(F.col("n") >= 2).join(need, "source")
+    counts = work.materialise(counts.where(F.col("n") >= F.col("need") / 2), "line-counts")
     plain = counts.where(F.col("n") >= F.col("need")).select("source", "line_id", "n")
-    moved = work.materialise(_capital_lines(work, lines, need, key), "filled-capitals")
+    moved = work.materialise(_capital_lines(work, lines, counts, need, key), "filled-capitals")
     # Documents of the templates that lines in capitals fill, each counted once.
     touched = broadcast_if_small(work.materialise(moved.select("source", "line_id").distinct(), "filled-templates"))
-    holders = lines.where(F.col("first") & F.contains("tpl", F.lit(NAME))).join(touched, ["source", "line_id"]).select("source", "line_id", key)
+    holders = _readings(lines.where("tpl is not null"), key, "source").where("first").join(touched, ["source", "line_id"]).select("source", "line_id", key)
     filled = holders.unionByName(moved.select("source", "line_id", key)).distinct().groupBy("source", "line_id").agg(F.count(F.lit(1)).alias("n"))
     both = plain.unionByName(filled.join(need, "source").where(F.col("n") >= F.col("need")).select("source", "line_id", "n"))
     alive = broadcast_if_small(work.materialise(both.groupBy("source", "line_id").agg(F.max("n").alias("n")), "surviving-ids"), 200_000)
-    own = lines.withColumn("own", F.col("line_id")).withColumn("rank", F.when(F.col("capitals"), 3).otherwise(F.col("reading")))
+    own = _readings(lines, key, "source", "seq", "line_no", "capitals").withColumn("own", F.col("line_id")).withColumn("rank", F.when(F.col("capitals"), 3).otherwise(F.col("reading")))
     moved = moved.withColumn("rank", F.when(F.col("reading") == 0, 2).otherwise(4))
     cols = [key, "source", "seq", "line_no", "line_id", "own", "rank"]
     found = own.select(*cols).unionByName(moved.select(*cols)).join(alive, ["source", "line_id"])

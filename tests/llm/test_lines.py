@@ -4,7 +4,7 @@ from folioframe.llm import lines
 
 
 def test_templates_ignore_what_is_filled_in():
-    t = lambda s: lines.text_lines(s)[0][3]
+    t = lambda s: lines.text_lines(s)[0][2]
     assert t("Last corrected: 20 February 2013") == t("* LAST CORRECTED: 2010-01-02.") == t("<p>Last corrected: July 2, 2009</p>\r")
     assert t("By Henry C., guest of the reading room") == t("By  ban_93, guest of the reading room") == t("By\xa0Zoë Wuthorpe, guest of the reading room")
     assert t("It may be read") != t("It may be sold") and t("Page 3 of 35") == t("page 1,203 of 4")
@@ -63,7 +63,7 @@ def test_blocks_against_all_substrings(spark):
     for least in (1, 2, 3):
         found = lines.repeated_lines(df, min_share=0.3, min_lines=least)
         need = max(3.0, 12 * 0.3)
-        ids = {d: [lines.text_lines(x)[0][3] for x in text.split("\n")] for d, text, _ in docs}
+        ids = {d: [lines.text_lines(x)[0][2] for x in text.split("\n")] for d, text, _ in docs}
         spans = {}
         for d, line in ids.items():
             for at in range(len(line)):
