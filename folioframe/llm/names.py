@@ -1,12 +1,15 @@
 """Variant spellings of names typed by people: link the spellings of each person.
 
 Noisy-channel attribution.  Spellings are counted; each is read as a name (surname, given
-names, or the words of an organisation).  The frequent readings are the candidate
-canonical forms.  A spelling goes to the candidate with the highest posterior: the log
-frequency of the candidate (prior) plus the log likelihood of the way from it to the
-spelling: reordered parts, initials, abbreviated given names and nicknames cost little,
-typing errors cost per edit.  Candidates are found through deletion neighbourhoods of the
-rare words of a name, never by comparing a whole group with itself.
+names, or the words of an organisation).  Frequent readings are the candidate canonical forms.
+A rarer reading goes to the candidate with the highest posterior: the log frequency of the
+candidate (prior) plus the log likelihood of the way from it to the spelling: reordered parts,
+initials, abbreviations and nicknames cost little, typing errors cost per edit.  Surnames are
+mended first, by their frequency with an initial; then the given names under each surname and
+initial are attributed to persons.  Whether two unlike names there are two persons or one with an
+odd spelling is weighed against how often frequent names are so in the whole table, and initials
+go to a person only if no other is close.  Candidates are found through deletion neighbourhoods,
+first letters and formal names, never by comparing a whole group with itself.
 
 A name that names nobody (empty, anonymous, various and the like) belongs to no one.
 """
@@ -17,13 +20,15 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from folioframe.llm.fold import fold_array
-from folioframe.session import materialise, spread
+from folioframe.session import Workspace, spread
 
 # Words that name nobody.
 NOBODY = frozenset("anon anonymous anonym anonyme anonimo anónimo anonymus unknown various varied traditional none nobody na n/a nil null unattributed unsigned author authors several collective misc miscellaneous tbd trad unbekannt inconnu desconocido desconhecido अज्ञात विविध लोक".split())
@@ -35,7 +40,6 @@ ORGANISATION = {
     "institute": "inst", "institution": "instn", "union": "", "league": "", "board": "bd", "council": "", "department": "dept", "university": "univ", "college": "coll", "academy": "acad",
     "fellowship": "", "federation": "fed", "commission": "commn", "corporation": "corp", "press": "", "office": "", "bureau": "", "library": "lib", "museum": "mus", "foundation": "fdn", "sisterhood": "", "fraternity": "",
 }
-WORD_FORMS = {"hist": "historical", "histl": "historical", "impr": "improvement", "improvt": "improvement", "prtrs": "printers", "trav": "travellers", "travelers": "travellers", "nat": "national", "natl": "national", "roy": "royal", "gen": "general"}
 SMALL = frozenset("of the for and in on at a an de du des la le les et und der die das von zu y e & s".split())
 # Short forms that don't begin like the name, or lose its beginning.
 NICKNAMES = {
@@ -44,12 +48,15 @@ NICKNAMES = {
     "christopher": "kit chris", "daniel": "dan danny", "david": "dave davy", "dorothy": "dot dolly dora dottie", "edmund": "ned ted eddie ed", "edward": "ned ted teddy eddie ed", "eleanor": "nell nellie nelly ellie nora lenore", "elizabeth": "betty bess bessie beth eliza liz lizzie lisa betsy libby elsie",
     "emily": "em millie", "esther": "hetty essie", "florence": "flo florrie", "frances": "fanny fran", "francis": "frank", "frederick": "fred freddy freddie", "gabriel": "gabe", "george": "georgie", "gerald": "jerry", "gilbert": "gil bert", "harold": "hal harry", "harriet": "hattie hatty", "helen": "nell nellie",
     "helene": "nell lena", "henry": "harry hal hank", "herbert": "bert", "hugh": "hughie", "isaac": "ike", "isabella": "bella izzy belle ibby tibbie", "jacob": "jake", "james": "jim jimmy jem jamie", "jane": "jenny janet", "jeremiah": "jerry", "john": "jack johnny", "jonathan": "jon jonny nathan", "joseph": "joe joey", "jose": "pepe",
-    "josephine": "jo josie", "jurgen": "jorg", "katherine": "kate kitty kathy kit kay katie", "lawrence": "larry lawrie laurie lorry", "leonard": "len lenny", "louisa": "lou", "margaret": "peggy meg maggie madge daisy greta mag margie rita", "martha": "patty mattie", "mary": "molly polly may mamie", "matilda": "tilly", "matthew": "matt", "michael": "mike mick",
-    "nathaniel": "nat nate", "nicholas": "nick nicky colin", "oliver": "ollie noll nolly", "patrick": "pat paddy", "peter": "pete", "philip": "phil pip", "rebecca": "becky becca", "rene": "ren", "richard": "dick rick richie", "robert": "bob bobby rob robin bert", "rosamund": "rosie", "samuel": "sam sammy", "sarah": "sally sadie", "stephen": "steve",
-    "susannah": "sue susie sukey susy", "theodore": "ted teddy theo", "thomas": "tom tommy", "ursula": "ursie", "victoria": "vicky vic tori", "walter": "wally walt wat", "william": "bill billy will willie", "winifred": "freda win", "zoe": "zo",
+    "josephine": "jo josie", "katherine": "kate kitty kathy kit kay katie", "lawrence": "larry lawrie laurie lorry", "leonard": "len lenny", "louisa": "lou", "margaret": "peggy meg maggie madge daisy greta mag margie rita", "martha": "patty mattie", "mary": "molly polly may mamie", "matilda": "tilly", "matthew": "matt", "michael": "mike mick",
+    "nathaniel": "nat nate", "nicholas": "nick nicky colin", "oliver": "ollie noll nolly", "patrick": "pat paddy", "peter": "pete", "philip": "phil pip", "rebecca": "becky becca", "richard": "dick rick richie", "robert": "bob bobby rob robin bert", "rosamund": "rosie", "samuel": "sam sammy", "sarah": "sally sadie", "stephen": "steve",
+    "susannah": "sue susie sukey susy", "theodore": "ted teddy theo", "thomas": "tom tommy", "ursula": "ursie", "victoria": "vicky vic tori", "walter": "wally walt wat", "william": "bill billy will willie", "winifred": "freda win",
 }
 # Written abbreviations that aren't a beginning of the name.
-CONTRACTIONS = {"wm": "william", "jas": "james", "chas": "charles", "thos": "thomas", "geo": "george", "jno": "john", "saml": "samuel", "danl": "daniel", "robt": "robert", "benj": "benjamin", "nathl": "nathaniel", "margt": "margaret", "edwd": "edward", "richd": "richard", "jos": "joseph", "fredk": "frederick", "laur": "lawrence", "xpher": "christopher", "cath": "catherine", "alexr": "alexander", "elizth": "elizabeth", "wltr": "walter", "hy": "henry"}
+CONTRACTIONS = {"wm": "william", "jas": "james", "chas": "charles", "thos": "thomas", "geo": "george", "jno": "john", "saml": "samuel", "danl": "daniel", "robt": "robert", "benj": "benjamin", "nathl": "nathaniel", "margt": "margaret", "edwd": "edward", "richd": "richard", "jos": "joseph", "fredk": "frederick", "alexr": "alexander", "elizth": "elizabeth", "hy": "henry"}
+
+#: Log likelihood of a variant that no rule explains, and the posterior from which initials are a person's.
+ODD, SURE = -3.0, 0.8
 
 _FORMAL: dict[str, tuple[str, ...]] = {}
 for _name, _short in NICKNAMES.items():
@@ -123,7 +130,7 @@ def parse_name(name: str | None) -> dict | None:
     if len(org) > 1:
         org = [_long_form(w) for w in org]
     if any(w in _ORG_WORDS for w in org) or len(words) > 1 and any(_org_word(w) for w in org):
-        kept = [WORD_FORMS.get(w, _ORG_WORDS.get(w, w)) for w in org if w not in SMALL]
+        kept = [_ORG_WORDS.get(w, w) for w in org if w not in SMALL]
         return {"org": sorted(set(kept))}
     if len(parts) > 1:
         given = [w for p in parts[1:] for w in p if w not in TITLES]
@@ -195,39 +202,48 @@ def _near_keys(words: pa.Array) -> pa.Array:
     return pa.array([sorted(deletions(w, edits_allowed(w))) if w else [] for w in words.to_pylist()], pa.list_(pa.string()))
 
 
+def abbreviates(short: str, full: str) -> bool:
+    """``short`` is the beginning of ``full``, or some of its letters in order from the first on."""
+    if not 1 < len(short) < len(full) or short[0] != full[0]:
+        return False
+    rest = iter(full)
+    return all(c in rest for c in short)
+
+
 def given_likelihood(a: list[str] | None, b: list[str] | None) -> float:
-    """Log likelihood that ``a`` was written for the given names ``b``."""
+    """Log likelihood that ``a`` was written for the given names ``b``, or the other way round."""
     if not a or not b:
         return -1.5
     x, y = a[0], b[0]
     if x == y:
         return 0.0
+    if len(x) == 1 or len(y) == 1:
+        one, full = (x, y) if len(x) == 1 else (y, x)
+        return -1.0 if full[0] == one else -2.0 if any(f[0] == one for f in _FORMAL.get(full, ())) else -12.0
     if x in _FORMAL and y in _FORMAL[x] or y in _FORMAL and x in _FORMAL[y] or set(_FORMAL.get(x, "")) & set(_FORMAL.get(y, "")):
         return -2.0
-    if (len(x) == 1 or len(y) == 1) and x[0] == y[0]:
-        return -1.0
-    if x[0] == y[0] and (x.startswith(y) or y.startswith(x)):
+    if abbreviates(x, y) or abbreviates(y, x):
         return -1.5
-    if min(letters(x), letters(y)) >= 4 and (d := near(x, y, 2)) <= 2:
+    if min(letters(x), letters(y)) >= 4 and (d := near(x, y, 2)) <= (2 if min(letters(x), letters(y)) >= 6 else 1):
         return -3.0 * d
     return -12.0
 
 
-def person_keys(spellings: DataFrame, name: str = "name", n: str = "n") -> DataFrame:
+def person_keys(work: Workspace, spellings: DataFrame, name: str = "name", n: str = "n") -> DataFrame:
     """``(name, entity)`` of each distinct spelling that names somebody.
 
     ``spellings`` has one row per distinct ``name`` and its frequency ``n``.
     """
-    read = materialise(
+    read = work.materialise(
         spread(spellings).select(F.col(name).alias("name"), F.col(n).cast("double").alias("n"), parsed_name(name).alias("r")).where("r is not null").select("name", "n", "r.*"),
         "names-read",
     )
-    people = _people(read.where("sur is not null"))
-    orgs = _organisations(read.where("org is not null"))
+    people = _people(work, read.where("sur is not null"))
+    orgs = _organisations(work, read.where("org is not null"))
     return people.unionByName(orgs)
 
 
-def _people(read: DataFrame) -> DataFrame:
+def _people(work: Workspace, read: DataFrame) -> DataFrame:
     # Which words serve as given names and which as surnames, where the order is plain.
     word = read.where(F.size("given") > 0).select(
         "n", "sure", F.explode(F.array(F.struct(F.col("given")[0].alias("w"), F.lit(1).alias("g")), F.struct(F.col("sur").alias("w"), F.lit(0).alias("g")))).alias("x")
@@ -235,7 +251,7 @@ def _people(read: DataFrame) -> DataFrame:
     use = word.groupBy(F.col("x.w").alias("w")).agg(
         F.count_if(F.col("x.g") == 1).cast("double").alias("as_given"), F.count_if(F.col("x.g") == 0).cast("double").alias("as_sur")
     )
-    use = materialise(use, "name-words")
+    use = work.materialise(use, "name-words")
     a = use.select(F.col("w").alias("sur"), F.col("as_given").alias("sg"), F.col("as_sur").alias("ss"))
     b = use.select(F.col("w").alias("g1"), F.col("as_given").alias("gg"), F.col("as_sur").alias("gs"))
     x = read.withColumn("g1", F.get("given", F.lit(0))).join(a, "sur", "left").join(b, "g1", "left")
@@ -247,8 +263,8 @@ def _people(read: DataFrame) -> DataFrame:
         "name", "n", F.when(swap, F.col("g1")).otherwise(F.col("sur")).alias("sur"),
         F.when(swap, F.concat(F.slice("given", 2, F.greatest(F.size("given") - 1, F.lit(0))), F.array("sur"))).otherwise(F.col("given")).alias("given"),
     )
-    x = materialise(x.withColumn("initials", _initials_udf("given")), "names-parts")
-    # Persons: surname and first initial.  A nickname is read as the person its formal name
+    x = work.materialise(x.withColumn("initials", _initials_udf("given")), "names-parts")
+    # Blocks: surname and first initial.  A nickname is read as the person its formal name
     # gives, if that person occurs; the most frequent one of several.
     literal = x.where(F.size("initials") == 1).groupBy("sur", F.col("initials")[0].alias("i")).agg(F.sum("n").alias("freq"))
     nick = x.where(F.size("initials") > 1).select("name", "n", "sur", "given", F.posexplode("initials").alias("p", "i"))
@@ -262,8 +278,8 @@ def _people(read: DataFrame) -> DataFrame:
     persons = read1.groupBy("sur", "i").agg(
         F.sum("n").alias("freq"), F.max_by("given", F.struct(F.when(F.length(F.get("given", F.lit(0))) > 1, F.col("n")).otherwise(0.0), F.col("name"))).alias("given")
     )
-    persons = materialise(persons, "persons")
-    # The channel: which person may a rarer one be a misspelling of.
+    persons = work.materialise(persons, "persons")
+    # The channel for surnames: which block may a rarer one be a misspelling of.
     keyed = persons.select("sur", "i", "freq", "given", F.explode(_near_keys("sur")).alias("k"))
     left = keyed.select("k", "i", *[F.col(c).alias(f"v_{c}") for c in ("sur", "freq", "given")])
     right = keyed.select("k", "i", *[F.col(c).alias(f"c_{c}") for c in ("sur", "freq", "given")])
@@ -286,18 +302,81 @@ def _people(read: DataFrame) -> DataFrame:
         .where(F.col("ll") > -11.0)
     )
     parent = scored.groupBy("v_sur", "v_i").agg(F.max_by(F.struct("c_sur", "c_i"), F.struct("gain", "c_freq", "c_sur")).alias("to"))
-    parent = materialise(parent.select("v_sur", "v_i", F.col("to.c_sur").alias("to_sur"), F.col("to.c_i").alias("to_i")), "name-parents")
-    # A canonical form is nobody's misspelling: follow the chain, which climbs in frequency.
-    step = parent
-    for _ in range(4):
-        up = parent.select(F.col("v_sur").alias("to_sur"), F.col("v_i").alias("to_i"), F.col("to_sur").alias("up_sur"), F.col("to_i").alias("up_i"))
-        step = step.join(up, ["to_sur", "to_i"], "left").select(
-            "v_sur", "v_i", F.coalesce("up_sur", "to_sur").alias("to_sur"), F.coalesce("up_i", "to_i").alias("to_i")
-        )
+    parent = parent.select(F.struct(F.col("v_sur").alias("sur"), F.col("v_i").alias("i")).alias("v"), F.struct(F.col("to.c_sur").alias("sur"), F.col("to.c_i").alias("i")).alias("to"))
+    root = roots(work, parent)
+    block = F.coalesce("to", F.struct("sur", "i"))
+    placed = read1.join(root, F.struct("sur", "i") == F.col("v"), "left").select("name", "n", F.concat_ws("|", block["sur"], block["i"]).alias("block"), F.coalesce(F.get("given", F.lit(0)), F.lit("")).alias("g"))
+    return _persons_of_blocks(work, work.materialise(placed, "name-blocks"))
+
+
+def roots(work: Workspace, parent: DataFrame) -> DataFrame:
+    """``(v, to)`` with ``to`` the end of each chain of ``parent``; every round doubles the steps until nothing changes.
+
+    Chains climb in frequency, so they have no circles.
+    """
+    at = work.materialise(parent, "parents")
+    while True:
+        up = at.select(F.col("v").alias("to"), F.col("to").alias("up"))
+        on = at.join(up, "to", "left").select("v", F.coalesce("up", "to").alias("to"), F.col("up").isNotNull().alias("moved"))
+        at = work.materialise(on, "parents")
+        if at.where("moved").isEmpty():
+            return at.select("v", "to")
+
+
+def _persons_of_blocks(work: Workspace, placed: DataFrame) -> DataFrame:
+    """``(name, entity)``: the persons within each block of one surname and initial.
+
+    Full given names are spellings of the more frequent one with the highest posterior (nickname,
+    abbreviation, typing errors).  Names that are unlike all others of their block are another
+    person's, unless that is rarer than an odd variant: how often two frequent given names of a
+    block are unlike is learned from all blocks.  Initials go to the person who has four fifths
+    of the block's posterior, and stay apart where it is closer.
+    """
+    full = placed.where(F.length("g") > 1).groupBy("block", "g").agg(F.sum("n").alias("freq"))
+    rank = F.row_number().over(W.partitionBy("block").orderBy(F.desc("freq"), "g"))
+    full = work.materialise(full.withColumn("r", rank), "given-names")
+    top = full.where("r = 1").select("block", F.col("g").alias("top"), F.col("freq").alias("top_freq"))
+    # Homonyms: of blocks with two frequent full names, the part where they are unlike.
+    second = full.where("r = 2 and freq >= 2").join(top, "block").select(_alike_udf(F.array("g"), F.array("top")).alias("ll"))
+    unlike, blocks = second.agg(F.count_if(F.col("ll") <= -7)).first()[0], top.where("top_freq >= 4").count()
+    homonym = (unlike + 0.5) / (blocks + 1.0)
+    v = full.select("block", F.col("g").alias("v"), F.col("freq").alias("vf"), F.explode(F.concat(_given_keys("g"), F.array(F.lit("top")))).alias("k"))
+    c = full.select("block", F.col("g").alias("c"), F.col("freq").alias("cf"), F.explode(F.concat(_given_keys("g"), F.when(F.col("r") == 1, F.array(F.lit("top"))).otherwise(F.array().cast("array<string>")))).alias("k"))
+    pairs = v.join(c, ["block", "k"]).where((F.col("cf") > F.col("vf")) | ((F.col("cf") == F.col("vf")) & (F.col("c") < F.col("v")))).select("block", "v", "vf", "c", "cf", (F.col("k") == "top").alias("is_top")).groupBy("block", "v", "vf", "c", "cf").agg(F.max("is_top").alias("is_top"))
+    scored = spread(pairs).withColumn("ll", _alike_udf(F.array("v"), F.array("c")))
+    # A short name an edit away may be another name: only a much rarer one is a spelling of it.
+    short = (F.least(F.length("v"), F.length("c")) < 6) & (F.col("ll") <= -3) & (F.col("ll") > -7) & (F.col("cf") < 3 * F.col("vf"))
+    odd = F.lit(ODD) + F.log(F.col("cf") / (F.col("cf") + F.col("vf")))
+    ll = F.when((F.col("ll") > -7) & ~short, F.col("ll")).when(F.col("is_top") & (odd > float(np.log(homonym))), odd)
+    key = lambda g: F.struct("block", F.col(g).alias("g"))
+    parent = scored.withColumn("ll", ll).where("ll is not null").groupBy(key("v").alias("v")).agg(F.max_by(key("c"), F.struct(F.col("ll") + F.log("cf"), "c")).alias("to"))
+    root = roots(work, parent)
+    person = full.join(root, F.struct("block", "g") == F.col("v"), "left").select("block", "g", "freq", F.coalesce("to.g", "g").alias("person"))
+    person = work.materialise(person, "given-persons")
+    share = person.groupBy("block", "person").agg(F.sum("freq").alias("f")).groupBy("block").agg(F.max_by("person", F.struct("f", "person")).alias("best"), (F.max("f") / F.sum("f")).alias("share"))
+    initial = share.where(F.col("share") >= SURE).select("block", "best")
     return (
-        read1.join(step, (F.col("sur") == F.col("v_sur")) & (F.col("i") == F.col("v_i")), "left")
-        .select("name", F.concat_ws("|", F.lit("p"), F.coalesce("to_sur", "sur"), F.coalesce("to_i", "i")).alias("entity"))
-    )
+        placed.join(person.select("block", "g", "person"), ["block", "g"], "left").join(initial, "block", "left")
+        .select("name", F.concat_ws("|", F.lit("p"), "block", F.when(F.length("g") > 1, F.col("person")).when(F.length("g") == 1, F.coalesce("best", F.lit(""))).otherwise("")).alias("entity"))
+    )
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _given_keys(names: pa.Array) -> pa.Array:
+    """What spellings of one given name share: deletions, the first letters, formal names."""
+    out = []
+    for g in names.to_pylist():
+        formal = (g, *_FORMAL.get(g, ()))
+        out.append(sorted({*(f"d {d}" for d in deletions(g, 1)), f"p {g[:2]}", *(f"n {f}" for f in formal)}))
+    return pa.array(out, pa.list_(pa.string()))
+
+
+@F.arrow_udf(T.DoubleType())
+def _alike_udf(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([given_likelihood(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
+
+
+_alike_udf = _alike_udf.asNondeterministic()
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
@@ -318,7 +397,7 @@ def _channel_udf(v_sur: pa.Array, c_sur: pa.Array, v_given: pa.Array, c_given: p
 _channel_udf = _channel_udf.asNondeterministic()
 
 
-def _organisations(read: DataFrame) -> DataFrame:
+def _organisations(work: Workspace, read: DataFrame) -> DataFrame:
     """Organisations are their words in any order; the rarer form goes to the more frequent."""
     forms = read.groupBy("org").agg(F.sum("n").alias("freq"))
     df = forms.select(F.explode("org").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
@@ -326,20 +405,18 @@ def _organisations(read: DataFrame) -> DataFrame:
         forms.select("org", F.explode("org").alias("w")).join(df, "w").groupBy("org")
         .agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("df", "w"))), 1, 2), lambda x: x["w"]).alias("keys"))
     )
-    forms = materialise(forms.join(rarest, "org"), "organisations")
-    # A canonical form is found by its rarest word, its place or name; a variant looks under its
-    # two rarest, as one of them may be mistyped.  Common words bring nothing together.
+    forms = work.materialise(forms.join(rarest, "org"), "organisations")
+    # Forms meet under their two rarest words, as one of them may be mistyped or abbreviated.
+    # Common words bring nothing together.
     keyed = lambda words: forms.select("org", "freq", F.explode(words).alias("w")).select("org", "freq", F.explode(_near_keys("w")).alias("k"))
     a = keyed(F.col("keys")).select("k", F.col("org").alias("v"), F.col("freq").alias("vf"))
-    b = keyed(F.slice("keys", 1, 1)).select("k", F.col("org").alias("c"), F.col("freq").alias("cf"))
+    b = keyed(F.col("keys")).select("k", F.col("org").alias("c"), F.col("freq").alias("cf"))
     pairs = (
         a.join(b, "k").where((F.size("v") == F.size("c")) & (F.col("v") != F.col("c")) & ((F.col("cf") > F.col("vf")) | ((F.col("cf") == F.col("vf")) & (F.col("c").cast("string") < F.col("v").cast("string")))))
         .select("v", "vf", "c", "cf").distinct().transform(spread).withColumn("ll", _org_udf("v", "c")).where(F.col("ll") > -13.0)
     )
-    parent = materialise(pairs.groupBy("v").agg(F.max_by("c", F.struct(F.col("ll") + F.log("cf"), F.col("c").cast("string"))).alias("to")), "organisation-parents")
-    step = parent
-    for _ in range(4):
-        step = step.join(parent.select(F.col("v").alias("to"), F.col("to").alias("up")), "to", "left").select("v", F.coalesce("up", "to").alias("to"))
+    parent = pairs.groupBy("v").agg(F.max_by("c", F.struct(F.col("ll") + F.log("cf"), F.col("c").cast("string"))).alias("to"))
+    step = roots(work, parent)
     return read.join(step, F.col("org") == F.col("v"), "left").select("name", F.concat_ws("|", F.lit("o"), F.array_join(F.coalesce("to", "org"), " ")).alias("entity"))
 
 
@@ -351,7 +428,7 @@ def _org_udf(v: pa.Array, c: pa.Array) -> pa.Array:
         cost = 0.0
         for w in left:
             best = min(((near(w, x, 2) if letters(w) > 4 else 9, x) for x in right), default=(9, ""))
-            short = next((x for x in right if x.startswith(w) and len(w) >= 3), None)
+            short = next((x for x in right if abbreviates(w, x) and len(w) >= 3 or abbreviates(x, w) and len(x) >= 3), None)
             if short:
                 cost, _ = cost - 1.5, right.remove(short)
             elif best[0] <= 2:
@@ -370,8 +447,9 @@ def variant_pairs(df: DataFrame, name: str, left: str = "author_a", right: str =
 
     Null, empty and nobody's names never pair; repeated rows count as frequency.
     """
-    spellings = materialise(df.where(F.col(f"`{name}`").isNotNull()).groupBy(F.col(f"`{name}`").alias("name")).agg(F.count(F.lit(1)).alias("n")), "spellings")
-    keys = materialise(person_keys(spellings), "name-entities")
-    a = keys.select("entity", F.col("name").alias(left))
-    b = keys.select("entity", F.col("name").alias(right))
-    return a.join(b, "entity").where(F.col(left) < F.col(right)).select(left, right)
+    with Workspace(df.sparkSession) as work:
+        spellings = df.where(F.col(f"`{name}`").isNotNull()).groupBy(F.col(f"`{name}`").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+        keys = work.materialise(person_keys(work, work.materialise(spellings, "spellings")), "name-entities")
+        a = keys.select("entity", F.col("name").alias(left))
+        b = keys.select("entity", F.col("name").alias(right))
+        return work.result(a.join(b, "entity").where(F.col(left) < F.col(right)).select(left, right), "name-pairs")

@@ -128,3 +128,22 @@ def test_label_model_discounts_what_is_repeated():
     sure = [(c, truth[p][True] / sum(truth[p].values()), sum(truth[p].values())) for p, c in m.confidence().items()]
     assert sum(abs(c - t) * n for c, t, n in sure) / sum(n for _, _, n in sure) < 0.15
     assert linkage.label_model({}) == {}
+
+
+def test_namesakes_stay_apart(spark):
+    who = ["John Smith", "James Smith", "Jane Smith", "Robert Golworfa", "Edmund Nantalflol", "Nathaniel Barpral"]
+    got = pairs(spark, [w for w in who for _ in range(5)] + ["J. Smith", "Jhn Smith", "R. Golworfa", "Rob. Golworfa", "Roberrt Golwrofa"])
+    golworfa = sorted({"Robert Golworfa", "R. Golworfa", "Rob. Golworfa", "Roberrt Golwrofa"})
+    assert got == {(a, b) for i, a in enumerate(golworfa) for b in golworfa[i + 1 :]} | {("Jhn Smith", "John Smith")}
+
+
+def test_chains_are_followed_to_their_end(spark):
+    with Workspace(spark) as work:
+        chain = spark.createDataFrame([(i, i + 1) for i in range(37)], "v long, to long")
+        assert {(r.v, r.to) for r in names.roots(work, chain).collect()} == {(i, 37) for i in range(37)}
+        assert names.roots(work, chain.where("false")).count() == 0
+
+
+def test_abbreviations():
+    assert names.abbreviates("wm", "william") and names.abbreviates("hist", "historical") and names.abbreviates("prtrs", "printers")
+    assert not names.abbreviates("w", "william") and not names.abbreviates("bill", "william") and not names.abbreviates("william", "william")
