@@ -75,8 +75,8 @@ def line_readings(text: str) -> Iterator[tuple[int, str, str | None, bool]]:
     """``(line_no, template, template with a name at its start or None, in capitals)`` of each line with letters.
 
     Names are runs of capitalised words after the first word, and words with an underscore; a
-    line without small letters keeps its words, as its case says nothing.  The patterns run over
-    the whole text at once, as none of them goes beyond a line.
+    line without small letters keeps its words, as its case says nothing.  Patterns that don't go
+    beyond a line run over the whole text at once.
     """
     if "<" in text:
         text = _TAG.sub(" ", text)
@@ -85,7 +85,7 @@ def line_readings(text: str) -> Iterator[tuple[int, str, str | None, bool]]:
     if "_" in whole:
         whole = _HANDLE.sub(NAME, whole)
     if _DIGIT.search(whole):
-        whole = _MONTH.sub(NUMBER, _NUMBER.sub(NUMBER, whole))
+        whole = "\n".join(_MONTH.sub(NUMBER, _NUMBER.sub(NUMBER, line)) if _DIGIT.search(line) else line for line in whole.split("\n"))
     named = _NAMES.sub(NAME, whole)
     counted, small, named = whole.split("\n"), named.lower().split("\n"), named.split("\n")
     for no, words in enumerate(plain):
@@ -112,13 +112,18 @@ def identifier(template: str) -> int:
     return xxhash.xxh64_intdigest(template.encode()) - (1 << 63)
 
 
-def text_lines(text: str | None) -> list[tuple[int, int, int, bool, int | None, bool | None, str | None, bool]]:
-    """``(seq, line_no, line_id, first of its id in the text, id of the second reading, first of that, template or None, in capitals)``.
+def head(template: str) -> str:
+    """The first word of a template."""
+    return template.split(" ", 1)[0]
+
+
+def text_lines(text: str | None) -> list[tuple[int, int, int, bool, int | None, bool | None, str | None, bool, str]]:
+    """``(seq, line_no, line_id, first of its id in the text, id of the second reading, first of that, template or None, in capitals, first word)``.
 
     ``seq`` numbers the lines with letters.  The template is given where it has or may have a
     name or is in capitals.
     """
-    out: list[tuple[int, int, int, bool, int | None, bool | None, str | None, bool]] = []
+    out: list[tuple[int, int, int, bool, int | None, bool | None, str | None, bool, str]] = []
     seen: set[int] = set()
     for seq, (no, tpl, second, capitals) in enumerate(line_readings(text or "")):
         h = identifier(tpl)
@@ -129,18 +134,18 @@ def text_lines(text: str | None) -> list[tuple[int, int, int, bool, int | None,
             h2 = identifier(second)
             first2 = h2 not in seen
             seen.add(h2)
-        out.append((seq, no, h, first, h2, first2, tpl if capitals or second is not None or NAME in tpl else None, capitals))
+        out.append((seq, no, h, first, h2, first2, tpl if capitals or second is not None or NAME in tpl else None, capitals, head(tpl)))
     return out
 
 
 def document_lines(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """``(key, source, seq, line_no, line_id, first, second_id, second_first, tpl, capitals)`` of each line with letters."""
+    """``(key, source, seq, line_no, line_id, first, second_id, second_first, tpl, capitals, head)`` of each line with letters."""
     fields = (
         ("seq", T.IntegerType()), ("line_no", T.LongType()), ("line_id", T.LongType()), ("first", T.BooleanType()),
-        ("second_id", T.LongType()), ("second_first", T.BooleanType()), ("tpl", T.StringType()), ("capitals", T.BooleanType()),
+        ("second_id", T.LongType()), ("second_first", T.BooleanType()), ("tpl", T.StringType()), ("capitals", T.BooleanType()), ("head", T.StringType()),
     )
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("source", T.StringType()), *(T.StructField(n, t) for n, t in fields)])
-    arrow = (pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_(), pa.string(), pa.bool_())
+    arrow = (pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_(), pa.string(), pa.bool_(), pa.string())
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, 1):
@@ -156,11 +161,12 @@ def _readings(lines: DataFrame, *columns: str) -> DataFrame:
     """``(*columns, reading, line_id, first)``: a row for each reading of a line."""
     one = F.struct(F.lit(0).alias("reading"), F.col("line_id"), F.col("first"))
     two = F.struct(F.lit(1).alias("reading"), F.col("second_id").alias("line_id"), F.col("second_first").alias("first"))
-    return lines.select(*columns, F.explode(F.when(F.col("second_id").isNull(), F.array(one)).otherwise(F.array(one, two))).alias("x")).select(*columns, "x.*")
+    each = lines.select(*columns, F.explode(F.when(F.col("second_id").isNull(), F.array(one)).otherwise(F.array(one, two))).alias("x"))
+    return each.select(*[c for c in each.columns if c != "x"], "x.*")
 
 
 def _capital_lines(work: Workspace, lines: DataFrame, counts: DataFrame, need: DataFrame, key: str) -> DataFrame:
-    """``(source, key, seq, line_no, line_id, own, reading)``: lines in capitals with the templates that they fill.
+    """``(source, key, seq, line_no, line_id, own, head, reading)``: lines in capitals with the templates that they fill.
 
     A line in capitals doesn't show its names, so it is held against templates of its source.  A
     template can't be in more documents than its own and those where its words stand in capitals;
@@ -168,7 +174,7 @@ def _capital_lines(work: Workspace, lines: DataFrame, counts: DataFrame, need: D
     frequent identifiers, and those all of whose words are frequent in capitals.  Lines look under
     the word of the template that is rarest in capitals.
     """
-    caps = work.materialise(lines.where("capitals").select(key, "source", "seq", "line_no", "line_id", "tpl"), "capital-lines")
+    caps = work.materialise(lines.where("capitals").select(key, "source", "seq", "line_no", "line_id", "tpl", "head"), "capital-lines")
     word = caps.select(key, "source", F.explode(F.array_distinct(F.split("tpl", " "))).alias("w"))
     words = work.materialise(word.distinct().groupBy("source", "w").agg(F.count(F.lit(1)).alias("c")).join(need, "source"), "capital-words")
     often = words.where(F.col("c") >= F.col("need") / 2).groupBy("source").agg(F.collect_set("w").alias("ws"))  # few: see the module text
@@ -188,12 +194,12 @@ def _capital_lines(work: Workspace, lines: DataFrame, counts: DataFrame, need: D
         caps.select("*", F.explode(F.array_distinct(F.split("tpl", " "))).alias("w"))
         .join(broadcast_if_small(patterns), ["source", "w"])
         .where(F.expr("tpl rlike pattern"))
-        .select("source", key, "seq", "line_no", F.col("to_id").alias("line_id"), F.col("line_id").alias("own"), "reading")
+        .select("source", key, "seq", "line_no", F.col("to_id").alias("line_id"), F.col("line_id").alias("own"), "head", "reading")
     )
 
 
 def _surviving_lines(work: Workspace, lines: DataFrame, need: DataFrame, key: str) -> DataFrame:
-    """``(key, source, seq, line_no, line_id, own, rank)``: lines whose identifier stands in enough documents.
+    """``(key, source, seq, line_no, line_id, own, head, rank)``: lines whose identifier stands in enough documents.
 
     ``own`` is the identifier that the line's text gives, ``line_id`` that of a reading; the reading
     of the least ``rank`` counts: the one in most documents, so that all lines of a group choose it.
@@ -208,9 +214,9 @@ def _surviving_lines(work: Workspace, lines: DataFrame, need: DataFrame, key: st
     filled = holders.unionByName(moved.select("source", "line_id", key)).distinct().groupBy("source", "line_id").agg(F.count(F.lit(1)).alias("n"))
     both = plain.unionByName(filled.join(need, "source").where(F.col("n") >= F.col("need")).select("source", "line_id", "n"))
     alive = broadcast_if_small(work.materialise(both.groupBy("source", "line_id").agg(F.max("n").alias("n")), "surviving-ids"), 200_000)
-    own = _readings(lines, key, "source", "seq", "line_no", "capitals").withColumn("own", F.col("line_id")).withColumn("rank", F.when(F.col("capitals"), 3).otherwise(F.col("reading")))
+    own = _readings(lines, key, "source", "seq", "line_no", "capitals", F.col("head").alias("h0")).withColumn("own", F.col("line_id")).withColumn("head", F.when(F.col("reading") == 1, NAME).otherwise(F.col("h0"))).withColumn("rank", F.when(F.col("capitals"), 3).otherwise(F.col("reading")))
     moved = moved.withColumn("rank", F.when(F.col("reading") == 0, 2).otherwise(4))
-    cols = [key, "source", "seq", "line_no", "line_id", "own", "rank"]
+    cols = [key, "source", "seq", "line_no", "line_id", "own", "head", "rank"]
     found = own.select(*cols).unionByName(moved.select(*cols)).join(alive, ["source", "line_id"])
     return found.select(*cols[:-1], (F.col("rank") - F.col("n") * 8).alias("rank"))
 
@@ -266,7 +272,7 @@ def suffix_array(work: Workspace, places: DataFrame) -> DataFrame:
 def repeated_lines(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", min_docs: int = 3, min_share: float = 0.1, min_lines: int = 1
 ) -> DataFrame:
-    """``(key, source, line_no, line_id, own, block)``: the lines that repeated blocks cover.
+    """``(key, source, line_no, line_id, own, head, block)``: the lines that repeated blocks cover.
 
     A block is a row of lines that stands in at least ``min_docs`` documents and in at least
     ``min_share`` of the source's documents; it has ``min_lines`` lines or more.  ``block`` is the
@@ -282,10 +288,10 @@ def repeated_lines(
         alive = _surviving_lines(work, lines, need, key)
         # A document's surviving lines, one reading each, with a 0 where others stand between them.
         best = lambda xs: F.filter(xs, lambda x, i: (i == 0) | (F.get(xs, i - 1)["seq"] != x["seq"]))
-        sites = alive.groupBy(key, "source").agg(best(F.array_sort(F.collect_list(F.struct("seq", "rank", "line_no", "line_id", "own")))).alias("xs"))
-        gap = F.struct(F.lit(0).alias("seq"), F.lit(0).cast("bigint").alias("rank"), F.lit(0).cast("bigint").alias("line_no"), F.lit(0).cast("bigint").alias("line_id"), F.lit(0).cast("bigint").alias("own"))
+        sites = alive.groupBy(key, "source").agg(best(F.array_sort(F.collect_list(F.struct("seq", "rank", "line_no", "line_id", "own", "head")))).alias("xs"))
+        gap = F.struct(F.lit(0).alias("seq"), F.lit(0).cast("bigint").alias("rank"), F.lit(0).cast("bigint").alias("line_no"), F.lit(0).cast("bigint").alias("line_id"), F.lit(0).cast("bigint").alias("own"), F.lit("").alias("head"))
         parted = F.flatten(F.transform("xs", lambda x, i: F.when((i > 0) & (F.get("xs", i - 1)["seq"] + 1 < x["seq"]), F.array(gap, x)).otherwise(F.array(x))))
-        sites = sites.select(key, "source", parted.alias("xs")).select(key, "source", F.col("xs.line_no").alias("nos"), F.col("xs.own").alias("own"), F.col("xs.line_id").alias("layout"))
+        sites = sites.select(key, "source", parted.alias("xs")).select(key, "source", F.col("xs.line_no").alias("nos"), F.col("xs.own").alias("own"), F.col("xs.head").alias("head"), F.col("xs.line_id").alias("layout"))
         sites = work.materialise(sites.withColumn("lid", F.xxhash64("source", "layout")), "sites")
         layouts = sites.groupBy("lid", "source").agg(F.count(F.lit(1)).alias("docs"), F.any_value("layout").alias("layout")).join(need, "source")
         places = layouts.select("lid", "source", "docs", "need", F.posexplode("layout").alias("at", "line_id")).where("line_id <> 0")
@@ -295,8 +301,8 @@ def repeated_lines(
         reach = reach.over(W.partitionBy("lid").orderBy("at").rowsBetween(W.unboundedPreceding, 0))
         covered = found.withColumn("b", reach).where(F.col("b.end") > F.col("at")).groupBy("lid").agg(F.collect_list(F.struct("at", "line_id", "b.block")).alias("c"))
         covered = broadcast_if_small(work.materialise(covered, "covered"))
-        rows = sites.join(covered, "lid").select(key, "source", "nos", "own", F.explode("c").alias("c"))
-        return work.result(rows.select(key, "source", F.get("nos", F.col("c.at")).alias("line_no"), F.col("c.line_id").alias("line_id"), F.get("own", F.col("c.at")).alias("own"), F.col("c.block").alias("block")), "repeated-lines")
+        rows = sites.join(covered, "lid").select(key, "source", "nos", "own", "head", F.explode("c").alias("c"))
+        return work.result(rows.select(key, "source", F.get("nos", F.col("c.at")).alias("line_no"), F.col("c.line_id").alias("line_id"), F.get("own", F.col("c.at")).alias("own"), F.get("head", F.col("c.at")).alias("head"), F.col("c.block").alias("block")), "repeated-lines")
 
 
 def without_repeated_lines(docs: DataFrame, lines: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", most: int = 200_000) -> DataFrame:
@@ -307,12 +313,14 @@ def without_repeated_lines(docs: DataFrame, lines: DataFrame, key: str = "doc_id
     stay where they are; over ``most`` identifiers the line numbers are joined by the key instead.
     Documents without any keep their text unchanged; null text stays null.
     """
-    ids = lines.select("source", "own").distinct()
+    ids = lines.select("source", "own", "head").distinct()
     if not is_small(ids, most, 64 << 20):
         return cut_line_numbers(docs, lines, key, text)
-    by_source: dict[str, set[int]] = {}
+    by_source: dict[str, tuple[set[int], set[str]]] = {}
     for r in ids.collect():  # at most ``most`` rows
-        by_source.setdefault(r.source, set()).add(r.own)
+        known, heads = by_source.setdefault(r.source, (set(), set()))
+        known.add(r.own)
+        heads.add(r.head)
     shared = docs.sparkSession.sparkContext.broadcast(by_source)
     names = [c for c in docs.columns if c != "n_cut"]
     schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("n_cut", T.IntegerType())])
@@ -322,12 +330,7 @@ def without_repeated_lines(docs: DataFrame, lines: DataFrame, key: str = "doc_id
         for batch in by_size(batches, t):
             texts, n_cut = [], []
             for value, of in zip(batch.column(t).to_pylist(), batch.column(s).to_pylist()):
-                known = shared.value.get(of or "", ())
-                gone = set()
-                if value and known:
-                    for no, tpl, second, _ in line_readings(value):
-                        if identifier(tpl) in known or second is not None and identifier(second) in known:
-                            gone.add(no)
+                gone = lines_to_cut(value, *shared.value.get(of or "", (set(), set()))) if value else set()
                 texts.append("\n".join(x for i, x in enumerate(value.split("\n"), 1) if i not in gone) if gone else value)
                 n_cut.append(len(gone))
             cols = [pa.array(texts, pa.string()) if i == t else c for i, c in enumerate(batch.columns)]
@@ -336,6 +339,27 @@ def without_repeated_lines(docs: DataFrame, lines: DataFrame, key: str = "doc_id
     return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(cut, schema)
 
 
+def lines_to_cut(text: str, known: set[int], heads: set[str]) -> set[int]:
+    """Numbers of the lines with a known identifier; only those with a known first word are read in full."""
+    if not known:
+        return set()
+    plain = _TAG.sub(" ", text) if "<" in text else text
+    numbers, candidates = [], []
+    any_name, any_number = NAME in heads, NUMBER in heads
+    for no, line in enumerate(plain.translate(_SPACES).split("\n"), 1):
+        words = line.split(None, 1)
+        if words:
+            first = words[0]
+            # A name, a number, or a month before a number: what a slot may hide at the start.
+            if first.lower() in heads or any_name and ("_" in first or first[0].isupper()) or any_number and (_DIGIT.search(line) is not None):
+                numbers.append(no)
+                candidates.append(line)
+    if not candidates:
+        return set()
+    found = line_readings("\n".join(candidates))
+    return {numbers[at - 1] for at, tpl, second, _ in found if identifier(tpl) in known or second is not None and identifier(second) in known}
+
+
 def cut_line_numbers(docs: DataFrame, lines: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the lines ``(key, line_no)`` cut from ``text`` and their number in ``n_cut``, by a join on the key."""
     cut = lines.groupBy(key).agg(F.collect_set("line_no").alias("__cut"))
