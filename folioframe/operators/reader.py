@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 
 from folioframe.functions.text import strip, strip_tags
 from folioframe.operators.clean import html_blocks
-from folioframe.operators.wiki import unescape_text
+from folioframe.operators.wiki import plain_markup, unescape_text
 from folioframe.schema import HIGHLIGHTS
 
 MOST_PAGES = 30_000  # fixed value
@@ -41,9 +41,10 @@ def _segments(inner: Column, is_pre: Column) -> Column:
 def atoms(docs: DataFrame, key: str, html: str) -> DataFrame:
     """``(key, ai, type, id, text, verse, segs)``: headings and paragraphs in order, from 0.
 
-    Contents entries and blank paragraphs are left out, headings are kept.
+    Contents entries and blank paragraphs are left out, headings are kept.  Numbers come from the
+    place in the article, so a document is one row until its atoms are laid out.
     """
-    b = docs.select(F.col(key), F.posexplode(html_blocks(F.col(html))).alias("i", "b"))
+    b = docs.select(F.col(key), F.posexplode(html_blocks(plain_markup(F.col(html)))).alias("i", "b"))
     tag, attrs = F.lower("b.tag"), F.col("b.attrs")
     cls = F.split(F.regexp_extract(attrs, r"""(?i)class\s*=\s*["']([^"']*)["']""", 1), r"\s+")
     b = b.select(
@@ -179,7 +180,7 @@ def apply_color(highlights: DataFrame, ranges: DataFrame, key: str) -> DataFrame
     kept = highlights.join(gone.distinct(), [key, "seq"], "left_anti")
     base = kept.groupBy(key).agg(F.max("seq").alias("m"))
     new = ranges.join(base, key, "left").select(
-        key, F.col("ai").alias("atomIndex"), (F.coalesce("m", F.lit(-1)) + F.row_number().over(W.partitionBy(key).orderBy("ai", "start"))).cast("int").alias("seq"), "start", "end", "color"
+        key, F.col("ai").alias("atomIndex"), (F.coalesce("m", F.lit(-1)) + F.row_number().over(W.partitionBy(key).orderBy("ai", "start", "end", "color"))).cast("int").alias("seq"), "start", "end", "color"
     )
     cols = [key, "seq", "atomIndex", "start", "end", "color"]
     return kept.select(*cols).unionByName(new.select(*cols))

@@ -29,7 +29,7 @@ cat AS (SELECT rec_no AS ord, id, coalesce(nullif(title, ''), 'Untitled') AS tit
 LATEST = """ok AS (SELECT * FROM client_progress WHERE userId IS NOT NULL AND bookId IS NOT NULL AND percent IS NOT NULL),
 lp AS (SELECT userId, bookId, percent, updatedAt FROM (SELECT *, row_number() OVER (PARTITION BY userId, bookId ORDER BY updatedAt DESC NULLS LAST, percent DESC) AS rn FROM ok) WHERE rn = 1),
 rc AS (SELECT userId, bookId, row_number() OVER (PARTITION BY userId ORDER BY seen DESC NULLS LAST, bookId) - 1 AS ord FROM (SELECT userId, bookId, max(updatedAt) AS seen FROM client_progress WHERE userId IS NOT NULL AND bookId IS NOT NULL GROUP BY 1, 2))"""
-SHELF = """tg AS (SELECT user_id AS userId, id AS bookId, ts, event_type = 'signup' AS added FROM events JOIN cat ON cat.ord = 500000001 + event_id % 50 WHERE event_type IN ('signup', 'error')),
+SHELF = """tg AS (SELECT user_id AS userId, id AS bookId, ts, event_type = 'signup' AS added FROM events JOIN cat ON cat.ord = 500000001 + (event_id * 7919) % (SELECT count(*) FROM cat) WHERE event_type IN ('signup', 'error')),
 sl AS (SELECT userId, bookId, max(CASE WHEN added THEN ts END) AS since, arg_max(added, (ts, added)) AS is_on FROM tg GROUP BY 1, 2),
 sh AS (SELECT userId, bookId, row_number() OVER (PARTITION BY userId ORDER BY since, bookId) - 1 AS ord FROM sl WHERE is_on)"""
 
@@ -62,10 +62,11 @@ def documents_html(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shelf_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Shelves made of the event stream: sign-ups add a book, errors remove it."""
+    """Shelves made of the event stream, over all books: sign-ups add a book, errors remove it."""
     ids = books(spark, d, "id").select("ord", F.col("id").alias("bookId"))
     e = table(spark, d, "events").where(F.col("event_type").isin("signup", "error"))
-    t = e.withColumn("ord", F.lit(500000001) + F.col("event_id") % 50).join(ids, "ord")
+    n = ids.agg(F.count(F.lit(1))).scalar()
+    t = e.withColumn("ord", F.lit(500000001) + F.col("event_id") * 7919 % n).join(ids, "ord")
     return state.shelf(t.select(F.col("user_id").alias("userId"), "bookId", F.col("ts").alias("at"), (F.col("event_type") == "signup").alias("added")))
 
 
@@ -182,10 +183,13 @@ def q_work_key(spark, d):
     return b.select("title", "author", k["surname"].alias("surname"), F.array_join(k["kws"], " ").alias("kws"))
 
 
+_TRIM = rf"^{_WS}+|{_WS}+$"
+
+
 @query(
-    "WITH b AS (SELECT DISTINCT author, trim(regexp_replace(author, '\\([^)]*\\)', '', 'g')) AS bare FROM books WHERE author IS NOT NULL AND NOT regexp_matches(author, '[\\x{00A0}\\x{2000}-\\x{206F}\\x{3000}\\x{FEFF}\\x{00AD}]')), "
-    "p AS (SELECT *, list_filter(list_transform(str_split(bare, ','), lambda x: trim(x)), lambda x: x <> '') AS parts FROM b) "
-    "SELECT author, trim(regexp_replace(CASE WHEN contains(bare, ',') THEN CASE WHEN len(parts) >= 2 THEN parts[2] || ' ' || parts[1] ELSE coalesce(parts[1], '') END ELSE bare END, '\\s+', ' ', 'g')) AS cleaned FROM p"
+    rf"WITH b AS (SELECT DISTINCT author, regexp_replace(regexp_replace(author, '\([^)]*\)', '', 'g'), '{_TRIM}', '', 'g') AS bare FROM books WHERE author IS NOT NULL), "
+    rf"p AS (SELECT *, list_filter(list_transform(str_split(bare, ','), lambda x: regexp_replace(x, '{_TRIM}', '', 'g')), lambda x: x <> '') AS parts FROM b) "
+    rf"SELECT author, regexp_replace(regexp_replace(CASE WHEN contains(bare, ',') THEN CASE WHEN len(parts) >= 2 THEN parts[2] || ' ' || parts[1] ELSE coalesce(parts[1], '') END ELSE bare END, '{_WS}+', ' ', 'g'), '^ | $', '', 'g') AS cleaned FROM p"
 )
 def q_clean_author(spark, d):
     a = table(spark, d, "books").where("author is not null").select("author").distinct()
@@ -254,13 +258,17 @@ def q_bookmarks(spark, d):
     return state.bookmarks_of_books(table(spark, d, "reading_progress"), books(spark, d, "id")).select("bookId", "progressPercent", "lastLocation")
 
 
-@query(f"WITH {CAT} SELECT id, coalesce(p, 'new') AS origin FROM (SELECT cat.id, CASE WHEN contains(lower(title), 'lantern') THEN 'new' ELSE 'old' END AS p FROM cat)")
+@query(
+    "WITH cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rec_no ORDER BY updatedAt DESC NULLS LAST, wordCount DESC NULLS LAST) AS rn FROM books) WHERE rn = 1), "
+    "k AS (SELECT DISTINCT rec_no FROM cur WHERE contains(lower(title), 'lantern')) SELECT rec_no, CASE WHEN rec_no IN (SELECT rec_no FROM k) THEN 'new' ELSE 'old' END AS origin, createdAt, "
+    "CASE WHEN rec_no IN (SELECT rec_no FROM k) THEN TIMESTAMP '2030-01-01 00:00:00' ELSE updatedAt END AS updatedAt FROM cur"
+)
 def q_upsert(spark, d):
     from folioframe.sources.io import upsert
 
-    b = books(spark, d, "id", "title").select("id", "title", F.lit("old").alias("origin"))
-    new = b.where(F.contains(F.lower("title"), F.lit("lantern"))).withColumn("origin", F.lit("new"))
-    return upsert(b, new, touched=None).select("id", "origin")
+    b = catalog.current_entries(table(spark, d, "books"), columns=("title", "createdAt", "updatedAt")).withColumn("origin", F.lit("old"))
+    new = b.where(F.contains(F.lower("title"), F.lit("lantern"))).drop("createdAt", "updatedAt").withColumn("origin", F.lit("new"))
+    return upsert(b, new, "rec_no", at=F.lit("2030-01-01 00:00:00").cast("timestamp_ntz")).select("rec_no", "origin", "createdAt", "updatedAt")
 
 
 @query()
@@ -276,7 +284,17 @@ def q_import_quota(spark, d):
     return pipelines.import_with_quota(b.where(~old), "ord", b.where(old), "category", 20).select("ord", "id", "category")
 
 
-@query()
+@query(
+    r"""WITH w AS (SELECT rec_no AS want, any_value(title) AS title, any_value(author) AS author FROM wanted_list GROUP BY 1),
+f AS (SELECT want, CASE WHEN trim(coalesce(author, ''), ' ') <> '' AND lower(trim(author, ' ')) NOT IN ('anonymous', 'unknown', 'various', 'traditional') THEN nullif(regexp_replace(lower(coalesce(list_filter(regexp_split_to_array(trim(author, ' '), 'WS+'), lambda x: x <> '')[-1], '')), '[^a-z]', '', 'g'), '') END AS surname,
+ list_slice(list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9 ]', ' ', 'g'), 'WS+'), lambda x: length(x) > 2), 1, 5) AS kws FROM w),
+h AS (SELECT rec_no AS cand_ord, any_value(id) AS id, lower(coalesce(any_value(title), '')) AS title, any_value(languages) AS languages, regexp_replace(lower(array_to_string(list_transform(any_value(authors), lambda x: x.name), ' ')), '[^a-z ]', '', 'g') AS names FROM search_hits GROUP BY 1),
+g AS (SELECT *, list_filter(regexp_split_to_array(names, 'WS+'), lambda x: x <> '') AS who, list_filter(regexp_split_to_array(regexp_replace(title, '[^a-z0-9 ]', ' ', 'g'), 'WS+'), lambda x: x <> '') AS words FROM h),
+c AS (SELECT f.*, g.* FROM f JOIN g ON CASE WHEN surname IS NOT NULL THEN list_contains(who, surname) AND len(list_intersect(kws, words)) > 0 ELSE list_contains(words, kws[1]) AND len(list_intersect(list_slice(kws, 2, 5), words)) > 0 END),
+t AS (SELECT *, len(list_filter(kws, lambda k: contains(title, k))) AS hits FROM c WHERE coalesce(list_contains(languages, 'en'), false) AND NOT regexp_matches(title, 'index of|complete works|collected works|^works of|linked') AND (surname IS NULL OR contains(names, surname))),
+r AS (SELECT want, arg_min(id, (cand_ord, id)) AS id FROM t WHERE len(kws) = 0 OR hits >= greatest(1, (len(kws) + 1) // 2) GROUP BY 1)
+SELECT want, id FROM r WHERE id NOT IN (SELECT gutenbergId FROM books WHERE gutenbergId IS NOT NULL)""".replace("WS", _WS)
+)
 def q_resolve(spark, d):
     want = table(spark, d, "wanted_list").select("rec_no", "title", "author").dropDuplicates(["rec_no"])
     f = resolve.wanted_features(want, "rec_no")
@@ -299,7 +317,6 @@ def q_resolve(spark, d):
 
 # Stored markup made of documents, and its blocks judged, as SQL sees them.  RE2 has no back
 # references, so the three tags are spelled out.
-_TRIM = r"^[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}\x0b]+|[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}\x0b]+$"
 HTML = r"""h AS (SELECT doc_id, '<article>' || chr(10) || array_to_string(list_transform(list_filter(str_split(replace(text, chr(13), ''), chr(10)), lambda x: x <> ''),
  lambda x: CASE WHEN starts_with(x, '<') THEN x ELSE '<p>' || replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p>' END), chr(10)) || chr(10) || '</article>' AS html FROM documents),
 b AS (SELECT doc_id, regexp_extract_all(html, '(?is)<h2(?:\s[^>]*)?>.*?</h2>|<p(?:\s[^>]*)?>.*?</p>|<pre(?:\s[^>]*)?>.*?</pre>') AS bs FROM h),
@@ -363,21 +380,75 @@ def q_toc(spark, d):
     return reader.contents(reader.atoms(blocks.to_html(docs, "doc_id", "text", "title", "author"), "doc_id", "html"), "doc_id")
 
 
-@query()
-def q_paint(spark, d):
-    a = reader.atoms(documents_html(spark, d), "doc_id", "html")
-    n = F.col("event_id")
-    e = table(spark, d, "events").select(
-        (n % 1000 + 1).alias("doc_id"), n.alias("seq"), (n % 3).cast("int").alias("atomIndex"), (n % 40).cast("int").alias("start"), (n % 40 + 5 + n % 17).cast("int").alias("end"),
+ATOMS = rf"""{HTML}, a AS (SELECT doc_id, i, CASE WHEN regexp_matches(tag, '(?i)^<h2') THEN 'h2' ELSE 'p' END AS type, nullif(regexp_extract(tag, '(?i)\sid\s*=\s*"([^"]*)"', 1), '') AS id, {_BARE} AS text, contains(tag, 'toc-entry') AS toc FROM v),
+atoms AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS ai, type, id, text FROM a WHERE NOT (type = 'h2' AND toc) AND (type = 'h2' OR regexp_replace(text, '{_TRIM}', '', 'g') <> ''))"""
+MARKS = "1 + (event_id * 7919) % (SELECT count(*) FROM documents) AS doc_id, event_id AS seq, CAST(event_id % 7 AS INTEGER) AS ai"
+
+
+def highlight_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Highlights made of the event stream, over all documents; some of them erase."""
+    n, docs = F.col("event_id"), table(spark, d, "documents").agg(F.count(F.lit(1))).scalar()
+    return table(spark, d, "events").select(
+        (n * 7919 % docs + 1).alias("doc_id"), n.alias("seq"), (n % 7).cast("int").alias("atomIndex"), (n % 40).cast("int").alias("start"), (n % 40 + 5 + n % 17).cast("int").alias("end"),
         F.when(n % 5 > 0, F.element_at(F.array(F.lit("yellow"), F.lit("pink")), (n % 2 + 1).cast("int"))).alias("color"),
     )
-    return reader.paint(a, e, "doc_id")
 
 
-@query()
+@query(
+    f"""WITH {ATOMS}, e AS (SELECT {MARKS}, event_id % 40 AS s, event_id % 40 + 5 + event_id % 17 AS e, CASE WHEN event_id % 5 > 0 THEN CASE event_id % 2 WHEN 0 THEN 'yellow' ELSE 'pink' END ELSE '' END AS color FROM events),
+l AS (SELECT e.doc_id, e.ai, seq, color, unnest(range(s, least(e, CAST(length(text) AS BIGINT)))) AS x FROM e JOIN atoms USING (doc_id, ai)),
+p AS (SELECT doc_id, ai, x, arg_max(color, seq) AS color FROM l GROUP BY 1, 2, 3),
+r AS (SELECT *, x - row_number() OVER (PARTITION BY doc_id, ai, color ORDER BY x) AS run FROM p WHERE color <> '')
+SELECT doc_id, ai, CAST(min(x) AS INTEGER) AS start, CAST(max(x) + 1 AS INTEGER) AS "end", color FROM r GROUP BY doc_id, ai, color, run"""
+)
+def q_paint(spark, d):
+    return reader.paint(reader.atoms(documents_html(spark, d), "doc_id", "html"), highlight_rows(spark, d), "doc_id")
+
+
+@query(
+    f"""WITH {ATOMS}, e AS (SELECT {MARKS}, CAST(event_id % 3 AS INTEGER) AS more, CAST(event_id % 11 AS INTEGER) AS a_off, CAST(event_id % 13 AS INTEGER) AS b_off FROM events),
+sel0 AS (SELECT doc_id, seq AS sel, ai + more AS a_ai, a_off, ai AS b_ai, b_off FROM e),
+sel1 AS (SELECT doc_id, sel, CASE WHEN (a_ai, a_off) <= (b_ai, b_off) THEN a_ai ELSE b_ai END AS l_ai, CASE WHEN (a_ai, a_off) <= (b_ai, b_off) THEN a_off ELSE b_off END AS l_off,
+ CASE WHEN (a_ai, a_off) <= (b_ai, b_off) THEN b_ai ELSE a_ai END AS h_ai, CASE WHEN (a_ai, a_off) <= (b_ai, b_off) THEN b_off ELSE a_off END AS h_off FROM sel0),
+sel2 AS (SELECT u.doc_id, sel, ai, CASE WHEN ai = l_ai THEN l_off ELSE 0 END AS start, CASE WHEN ai = h_ai THEN least(h_off, CAST(length(text) AS INTEGER)) ELSE CAST(length(text) AS INTEGER) END AS "end" FROM sel1 u JOIN atoms a ON a.doc_id = u.doc_id AND ai BETWEEN l_ai AND h_ai)
+SELECT * FROM sel2 WHERE "end" > start"""
+)
+def q_selections(spark, d):
+    """Selections over up to three atoms, all of them turned, as ranges of single atoms."""
+    n, h = F.col("seq"), highlight_rows(spark, d)
+    s = h.select("doc_id", n.alias("sel"), (F.col("atomIndex") + (n % 3).cast("int")).alias("a_ai"), (n % 11).cast("int").alias("a_off"), F.col("atomIndex").alias("b_ai"), (n % 13).cast("int").alias("b_off"))
+    return reader.split_selection(s, reader.atoms(documents_html(spark, d), "doc_id", "html"), "doc_id")
+
+
+@query(
+    f"""WITH e AS (SELECT {MARKS}, CAST(event_id % 40 AS INTEGER) AS s, CAST(event_id % 40 + 5 + event_id % 17 AS INTEGER) AS e, CASE WHEN event_id % 5 > 0 THEN CASE event_id % 2 WHEN 0 THEN 'yellow' ELSE 'pink' END END AS color FROM events),
+r AS (SELECT doc_id, ai, s, e, seq FROM e WHERE seq % 10 = 0), h AS (SELECT * FROM e WHERE seq % 10 > 0),
+k AS (SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = h.doc_id AND r.ai = h.ai AND h.s >= r.s AND h.e <= r.e)), m AS (SELECT doc_id, max(seq) AS m FROM k GROUP BY 1)
+SELECT doc_id, CAST(seq AS BIGINT) AS seq, ai AS "atomIndex", s AS start, e AS "end", color FROM k UNION ALL
+SELECT r.doc_id, coalesce(m, -1) + row_number() OVER (PARTITION BY r.doc_id ORDER BY ai, s, e, r.seq), ai, s, e, 'green' FROM r LEFT JOIN m USING (doc_id)"""
+)
+def q_apply_color(spark, d):
+    """A tenth of the highlights, painted green over the others."""
+    h = highlight_rows(spark, d)
+    ranges = h.where(F.col("seq") % 10 == 0).select("doc_id", F.col("atomIndex").alias("ai"), "start", "end", F.lit("green").alias("color"))
+    return reader.apply_color(h.where(F.col("seq") % 10 > 0), ranges, "doc_id").withColumn("seq", F.col("seq").cast("bigint"))
+
+
+_TAIL = "substr(sub, length(work) + 2)"
+
+
+@query(
+    f"""WITH s AS (SELECT DISTINCT bookId AS work, bookId || '/' || CAST(partNo AS VARCHAR) AS sub FROM documents WHERE bookId IS NOT NULL),
+l AS (SELECT bookId AS work, bookId || '/' || CAST(partNo AS VARCHAR) AS sub, min(doc_id) AS link FROM documents WHERE bookId IS NOT NULL AND partNo % 3 > 0 GROUP BY 1, 2),
+o AS (SELECT work, sub, CAST(row_number() OVER (PARTITION BY work ORDER BY link NULLS LAST, coalesce(TRY_CAST(nullif(regexp_extract({_TAIL}, '([0-9]+)', 1), '') AS INTEGER), 9999), sub) AS INTEGER) AS pos, {_TAIL} AS tail FROM s LEFT JOIN l USING (work, sub)),
+k AS (SELECT work, count(*) AS n, count(*) FILTER (WHERE regexp_matches(tail, '[0-9]') AND length(regexp_replace(tail, '[0-9 .-]', '', 'g')) <= 2) AS numbers FROM o GROUP BY 1)
+SELECT work, CASE WHEN numbers >= greatest(2, n * 0.5) THEN 1 ELSE pos END AS book, CASE WHEN numbers >= greatest(2, n * 0.5) THEN work ELSE coalesce(nullif(tail, ''), work) END AS title,
+ CASE WHEN numbers >= greatest(2, n * 0.5) THEN pos ELSE 1 END AS pos, CASE WHEN numbers >= greatest(2, n * 0.5) THEN tail END AS heading, sub AS page FROM o JOIN k USING (work)"""
+)
 def q_wiki_plan(spark, d):
-    docs = table(spark, d, "documents").where("bookId is not null").select("doc_id", F.col("bookId").alias("work"), F.concat("bookId", F.lit("/"), F.col("partNo").cast("string")).alias("sub"))
-    ordered = wiki.ordered_subpages(docs.select("work", "sub"), docs.select("work", "sub", F.col("doc_id").alias("link")))
+    """Parts of books as subpages; a third of them isn't linked and follows by number."""
+    docs = table(spark, d, "documents").where("bookId is not null").select("doc_id", "partNo", F.col("bookId").alias("work"), F.concat("bookId", F.lit("/"), F.col("partNo").cast("string")).alias("sub"))
+    ordered = wiki.ordered_subpages(docs.select("work", "sub"), docs.where(F.col("partNo") % 3 > 0).select("work", "sub", F.col("doc_id").alias("link")))
     return wiki.plan_books(docs.select("work"), ordered)
 
 
@@ -435,3 +506,6 @@ def q_page_math(spark, d):
     return table(spark, d, "reading_progress").where("progressPercent >= 0").select(
         "bookId", p, state.progress_percent(F.floor(p).cast("int"), total, spread).alias("after"), state.resume_page(p, total, spread).alias("resume")
     )
+
+
+from folioframe.plans import composites  # noqa: E402,F401 - registers its queries here
