@@ -1,8 +1,7 @@
-"""Raw text to blocks of markup: two formatters, as windows over a document's lines.
+"""Raw text to blocks of markup: two formatters, as array columns over a document's lines.
 
-Lines and blocks of a document are ordered by their position in it.  Runs are gaps and
-islands: a flag starts a block and its running sum numbers it.  Windows and both
-aggregations are clustered by the document key, so lines are shuffled once.
+A document stays one row, so nothing is shuffled.  Runs are gaps and islands in an array: the
+places where a block opens, and the slices between them.
 """
 
 from __future__ import annotations
@@ -11,7 +10,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from folioframe.functions.text import HEADING_WORDS, count_text_words, escape_block, escape_line, heading_slug, pretty_heading, squeeze, strip
 
@@ -125,54 +123,59 @@ def strip_contents(docs: DataFrame, text: str) -> DataFrame:
     return d.withColumn(text, F.when(good, F.col("__c")).otherwise(t)).select(*keep)
 
 
-def _ordered(value: str, by: str, sep: str) -> Column:
-    """Values of a group joined in the order of ``by``."""
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, value))), lambda x: x[value]), sep)
-
-
 def format_text(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, html, wordCount)`` by the line formatter: headings, verse, breaks, paragraphs.
 
-    ``key`` is unique.  Words are counted before front matter is skipped.  A text without
-    blocks has empty html; null text gives null html and no words.
+    Words are counted before front matter is skipped.  A text without blocks has empty html; null
+    text gives null html and no words.  A document stays one row: its lines are arrays, and each
+    step is a column of its own.
     """
-    body = strip_contents(docs.select(F.col(key).alias("k"), strip_illustrations(strip_wrapper(F.col(text))).alias("body")), "body")
+    d = strip_contents(docs.select(F.col(key).alias("k"), strip_illustrations(strip_wrapper(F.col(text))).alias("body")), "body")
     # Front matter: lines before the first heading or prose among the first lines.
-    each = body.select("k", F.posexplode(F.split("body", r"\r?\n")).alias("i", "line"))
-    each = each.withColumn("t", strip(F.col("line"))).withColumn("ind", F.regexp_like("line", F.lit(INDENTED)).cast("int"))
-    each = each.withColumn("ch", is_chapter(F.col("t")))
-    opens = (F.col("i") < FRONT_LINES) & (F.col("ch") | looks_like_prose(F.col("t")))
-    each = each.withColumn("from", F.coalesce(F.min(F.when(opens, F.col("i"))).over(W.partitionBy("k")), F.lit(0))).where(F.col("i") >= F.col("from"))
-    w = W.partitionBy("k").orderBy("i")
-    near = F.sum("ind").over(w.rowsBetween(-4, 4)) - F.col("ind")
-    kind = (
-        F.when(F.regexp_like("t", F.lit(SCENE)), "hr").when(F.col("ch"), "h2").when((F.col("ind") == 1) & (near >= 2), "pre")
-        .when(F.col("t") == "", "blank").when(F.regexp_like("t", F.lit(DIVIDER)), "divider").otherwise("p")
+    d = d.withColumn("line", F.split("body", r"\r?\n")).withColumn("t", F.transform("line", strip)).withColumn("ch", F.transform("t", is_chapter))
+    front = F.coalesce(_first(F.slice("t", 1, FRONT_LINES), lambda t, i: F.get("ch", i) | looks_like_prose(t)), F.lit(0))
+    d = d.withColumn("from", front)
+    for c in ("line", "t", "ch"):
+        d = d.withColumn(c, F.slice(c, F.col("from") + 1, F.greatest(F.size(c), F.lit(1))))
+    d = d.withColumn("ind", F.transform("line", lambda x: F.regexp_like(x, F.lit(INDENTED)).cast("int")))
+    near = lambda i: F.aggregate(F.slice("ind", F.greatest(i - 3, F.lit(1)), i + 5 - F.greatest(i - 4, F.lit(0))), F.lit(0), lambda s, x: s + x) - F.get("ind", i)
+    d = d.withColumn(
+        "kind",
+        F.transform(
+            "t",
+            lambda t, i: F.when(F.regexp_like(t, F.lit(SCENE)), "hr").when(F.get("ch", i), "h2").when((F.get("ind", i) == 1) & (near(i) >= 2), "pre")
+            .when(t == "", "blank").when(F.regexp_like(t, F.lit(DIVIDER)), "divider").otherwise("p"),
+        ),
     )
-    each = each.withColumn("kind", kind)
-    before = F.lag("kind").over(w)
-    solid = F.last(F.when(F.col("kind") != "divider", F.col("kind")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
-    new = (
-        F.when(F.col("kind") == "p", ~solid.eqNullSafe(F.lit("p"))).when(F.col("kind") == "pre", ~before.eqNullSafe(F.lit("pre"))).when(F.col("kind").isin("hr", "h2"), True).otherwise(False)
-    )
-    each = each.withColumn("b", F.sum(new.cast("int")).over(w)).where(F.col("kind").isin("hr", "h2", "pre", "p"))
-    blocks = each.groupBy("k", "b", "kind").agg(F.min("i").alias("i"), _ordered("t", "i", " ").alias("para"), _ordered("line", "i", "\n").alias("raw"), F.min("t").alias("t"))
-    verse = F.regexp_replace("raw", r"(?U)\s+$", "")
-    blocks = blocks.where(((F.col("kind") != "p") | (F.length(strip(F.col("para"))) >= 3)) & ((F.col("kind") != "pre") | (strip(verse) != "")))
-    slug = F.when(F.col("kind") == "h2", heading_slug(F.col("t")))
-    blocks = blocks.withColumn("id", slug)
-    last = F.max("i").over(W.partitionBy("k", "id"))
-    head = F.when(F.col("i") == last, F.concat(F.lit('<h2 id="'), "id", F.lit('">'))).otherwise(
-        F.when(F.col("id") == "", F.lit('<h2 id="">')).otherwise(F.lit('<h2 class="toc-entry">'))
-    )
-    markup = (
-        F.when(F.col("kind") == "hr", '<hr class="break" />').when(F.col("kind") == "h2", F.concat(head, escape_line(pretty_heading(F.col("t"))), F.lit("</h2>")))
-        .when(F.col("kind") == "pre", F.concat(F.lit('<pre class="verse">'), escape_line(verse), F.lit("</pre>")))
-        .otherwise(F.concat(F.lit("<p>"), escape_line(strip(F.col("para"))), F.lit("</p>")))
+    # A divider parts verse but not a paragraph.
+    before = lambda xs, i: F.when(i > 0, F.get(xs, i - 1))
+    rows = F.transform("kind", lambda k, i: F.struct(k.alias("kind"), F.get("line", i).alias("line"), F.get("t", i).alias("t"), ((k == "pre") & ~before("kind", i).eqNullSafe(F.lit("pre"))).alias("stanza")))
+    d = d.withColumn("x", F.filter(rows, lambda x: x["kind"] != "divider"))
+    opens = lambda x, i: F.when(x["kind"] == "p", ~before("x", i)["kind"].eqNullSafe(F.lit("p"))).otherwise(x["stanza"] | x["kind"].isin("hr", "h2"))
+    d = d.withColumn("at", F.filter(F.transform("x", lambda x, i: F.when(opens(x, i), i)), lambda i: i.isNotNull()))
+    lines = lambda s, m: F.filter(F.slice("x", s + 1, F.coalesce(F.get("at", m + 1), F.size("x")) - s), lambda x: x["kind"] != "blank")
+    d = d.withColumn("b", F.transform("at", lines))
+    joined = lambda b: F.struct(
+        b[0]["kind"].alias("kind"), b[0]["t"].alias("t"), strip(F.array_join(F.transform(b, lambda x: x["t"]), " ")).alias("para"),
+        F.regexp_replace(F.array_join(F.transform(b, lambda x: x["line"]), "\n"), r"(?U)\s+$", "").alias("verse"),
     )
-    done = blocks.withColumn("m", markup).groupBy("k").agg(_ordered("m", "i", "\n").alias("html"))
-    counted = body.select("k", F.coalesce(count_text_words(F.col("body")), F.lit(0)).alias("wordCount"), F.col("body").isNotNull().alias("has"))
-    return counted.join(done, "k", "left").select(F.col("k").alias(key), F.when(F.col("has"), F.coalesce("html", F.lit(""))).alias("html"), "wordCount")
+    d = d.withColumn("b", F.transform("b", joined))
+    d = d.withColumn("b", F.filter("b", lambda b: ((b["kind"] != "p") | (F.length(b["para"]) >= 3)) & ((b["kind"] != "pre") | (strip(b["verse"]) != ""))))
+    # The last heading of a name keeps the id.
+    d = d.withColumn("ids", F.transform("b", lambda b: F.when(b["kind"] == "h2", heading_slug(b["t"])))).withColumn("back", F.reverse("ids"))
+
+    def markup(b: Column, i: Column) -> Column:
+        id_ = F.get("ids", i)
+        last = F.size("ids") - F.array_position("back", id_) == i
+        head = F.when(last, F.concat(F.lit('<h2 id="'), id_, F.lit('">'))).otherwise(F.when(id_ == "", F.lit('<h2 id="">')).otherwise(F.lit('<h2 class="toc-entry">')))
+        return (
+            F.when(b["kind"] == "hr", '<hr class="break" />').when(b["kind"] == "h2", F.concat(head, escape_line(pretty_heading(b["t"])), F.lit("</h2>")))
+            .when(b["kind"] == "pre", F.concat(F.lit('<pre class="verse">'), escape_line(b["verse"]), F.lit("</pre>")))
+            .otherwise(F.concat(F.lit("<p>"), escape_line(b["para"]), F.lit("</p>")))
+        )
+
+    html = F.array_join(F.transform("b", markup), "\n")
+    return d.select(F.col("k").alias(key), F.when(F.col("body").isNotNull(), F.coalesce(html, F.lit(""))).alias("html"), F.coalesce(count_text_words(F.col("body")), F.lit(0)).alias("wordCount"))
 
 
 def extract_toc(html: Column) -> Column:
@@ -212,27 +215,28 @@ def to_html(docs: DataFrame, key: str, text: str, title: str, author: str, verse
     """
     plain = strip_boilerplate(F.replace(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")))
     d = docs.select(F.col(key).alias("k"), F.col(title).alias("t"), F.col(author).alias("a"), (F.col(verse) if verse else F.lit(False)).alias("v"), plain.alias("body"))
-    each = d.select("k", "v", F.posexplode(F.split("body", r"\n[ \t]*\n")).alias("i", "b")).where(strip(F.col("b")) != "").withColumn("h", squeeze(block_heading(F.col("b"))))
-    w = W.partitionBy("k").orderBy("i")
-    each = each.withColumn("n", F.sum(F.col("h").isNotNull().cast("int")).over(w))
-    lines = F.filter(F.transform(F.split("b", "\n"), lambda x: escape_block(F.regexp_replace(strip(x), r"[ \t]+", " "))), lambda x: x != "")
-    markup = (
-        F.when(F.col("h").isNotNull(), F.concat(F.lit('<h2 id="sec-'), F.col("n").cast("string"), F.lit('">'), escape_block(F.col("h")), F.lit("</h2>")))
-        .when(F.coalesce("v", F.lit(False)) | is_verse_block(F.col("b")), F.concat(F.lit('<p class="verse">'), F.array_join(lines, "<br>"), F.lit("</p>")))
-        .otherwise(F.concat(F.lit("<p>"), escape_block(squeeze(F.array_join(F.transform(F.split("b", "\n"), strip), " "))), F.lit("</p>")))
-    )
-    toc = F.when(F.col("h").isNotNull(), F.concat(F.lit('<h2 class="toc-entry">'), escape_block(F.col("h")), F.lit("</h2>")))
-    parts = each.select("k", "i", markup.alias("m"), toc.alias("c")).groupBy("k").agg(
-        _ordered("m", "i", "\n").alias("m"),
-        F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda x: x["c"]), lambda c: c.isNotNull()), "\n").alias("c"),
-        F.count("c").alias("n"),
-    )
+    # A document stays one row: its blocks, what each is as a heading, and where headings stand.
+    d = d.withColumn("b", F.filter(F.split("body", r"\n[ \t]*\n"), lambda b: strip(b) != ""))
+    d = d.withColumn("h", F.transform("b", lambda b: squeeze(block_heading(b))))
+    d = d.withColumn("p", F.filter(F.transform("h", lambda h, i: F.when(h.isNotNull(), i)), lambda i: i.isNotNull()))
+    lines = lambda b: F.filter(F.transform(F.split(b, "\n"), lambda x: escape_block(F.regexp_replace(strip(x), r"[ \t]+", " "))), lambda x: x != "")
+
+    def markup(b: Column, i: Column) -> Column:
+        h = F.get("h", i)
+        return (
+            F.when(h.isNotNull(), F.concat(F.lit('<h2 id="sec-'), F.array_position("p", i).cast("string"), F.lit('">'), escape_block(h), F.lit("</h2>")))
+            .when(F.coalesce("v", F.lit(False)) | is_verse_block(b), F.concat(F.lit('<p class="verse">'), F.array_join(lines(b), "<br>"), F.lit("</p>")))
+            .otherwise(F.concat(F.lit("<p>"), escape_block(squeeze(F.array_join(F.transform(F.split(b, "\n"), strip), " "))), F.lit("</p>")))
+        )
+
+    toc = F.transform(F.filter("h", lambda h: h.isNotNull()), lambda h: F.concat(F.lit('<h2 class="toc-entry">'), escape_block(h), F.lit("</h2>")))
+    c, m = F.array_join(toc, "\n"), F.array_join(F.transform("b", markup), "\n")
     e_t, e_a = escape_block(F.coalesce("t", F.lit(""))), escape_block(F.coalesce("a", F.lit("")))
     page = F.concat(
         F.lit('<!doctype html>\n<meta charset="utf-8" />\n<title>'), e_t, F.lit(" — "), e_a, F.lit('</title>\n<article data-book-id="'), F.col("k").cast("string"), F.lit('" data-title="'), e_t,
-        F.lit('" data-author="'), e_a, F.lit('">\n'), F.when(F.coalesce("c", F.lit("")) != "", F.concat("c", F.lit("\n"))).otherwise(""), F.coalesce("m", F.lit("")), F.lit("\n</article>\n"),
+        F.lit('" data-author="'), e_a, F.lit('">\n'), F.when(F.size("p") > 0, F.concat(c, F.lit("\n"))).otherwise(""), m, F.lit("\n</article>\n"),
     )
-    return d.select("k", "t", "a", F.col("body").isNotNull().alias("has")).join(parts, "k", "left").select(F.col("k").alias(key), F.when(F.col("has"), page).alias("html"), F.coalesce("n", F.lit(0)).alias("n_headings"))
+    return d.select(F.col("k").alias(key), F.when(F.col("body").isNotNull(), page).alias("html"), F.coalesce(F.size("p"), F.lit(0)).cast("bigint").alias("n_headings"))
 
 
 def markup_counts(html: Column) -> Column:

@@ -17,7 +17,6 @@ from folioframe.operators.clean import html_blocks
 from folioframe.operators.wiki import plain_markup, unescape_text
 from folioframe.schema import HIGHLIGHTS
 
-MOST_PAGES = 30_000  # fixed value
 
 
 def article_slice(html: Column) -> Column:
@@ -38,21 +37,31 @@ def _segments(inner: Column, is_pre: Column) -> Column:
     return F.when(is_pre, F.slice(lines, 2, F.size(lines))).otherwise(plain)
 
 
+def atom_array(html: Column) -> Column:
+    """``array<struct<type, id, text, verse, segs>>`` of a document's atoms in order.
+
+    Contents entries and blank paragraphs are left out, headings are kept; null gives null.
+    """
+
+    def atom(b: Column) -> Column:
+        tag, attrs = F.lower(b["tag"]), b["attrs"]
+        cls = F.split(F.regexp_extract(attrs, r"""(?i)class\s*=\s*["']([^"']*)["']""", 1), r"\s+")
+        return F.struct(
+            F.when(tag == "h2", "h2").otherwise("p").alias("type"), F.nullif(F.regexp_extract(attrs, r"""(?i)(?:^|\s)id\s*=\s*["']([^"']*)["']""", 1), F.lit("")).alias("id"),
+            ((tag == "pre") | ((tag == "p") & F.array_contains(cls, "verse"))).alias("verse"), F.array_contains(cls, "toc-entry").alias("toc"), _segments(b["inner"], tag == "pre").alias("segs"),
+        )
+
+    parts = F.filter(F.transform(html_blocks(plain_markup(html)), atom), lambda a: ~((a["type"] == "h2") & a["toc"]))
+    whole = F.transform(parts, lambda a: F.struct(a["type"].alias("type"), a["id"].alias("id"), F.array_join(F.transform(a["segs"], lambda x: x["t"]), "").alias("text"), a["verse"].alias("verse"), a["segs"].alias("segs")))
+    return F.filter(whole, lambda a: (a["type"] == "h2") | (strip(a["text"]) != ""))
+
+
 def atoms(docs: DataFrame, key: str, html: str) -> DataFrame:
     """``(key, ai, type, id, text, verse, segs)``: headings and paragraphs in order, from 0.
 
-    Contents entries and blank paragraphs are left out, headings are kept.  Numbers come from the
-    place in the article, so a document is one row until its atoms are laid out.
+    A document is one row until its atoms are laid out, so nothing is shuffled or sorted.
     """
-    b = docs.select(F.col(key), F.posexplode(html_blocks(plain_markup(F.col(html)))).alias("i", "b"))
-    tag, attrs = F.lower("b.tag"), F.col("b.attrs")
-    cls = F.split(F.regexp_extract(attrs, r"""(?i)class\s*=\s*["']([^"']*)["']""", 1), r"\s+")
-    b = b.select(
-        key, "i", F.when(tag == "h2", "h2").otherwise("p").alias("type"), F.nullif(F.regexp_extract(attrs, r"""(?i)(?:^|\s)id\s*=\s*["']([^"']*)["']""", 1), F.lit("")).alias("id"),
-        ((tag == "pre") | ((tag == "p") & F.array_contains(cls, "verse"))).alias("verse"), F.array_contains(cls, "toc-entry").alias("toc"), _segments(F.col("b.inner"), tag == "pre").alias("segs"),
-    )
-    b = b.withColumn("text", F.array_join(F.transform("segs", lambda s: s["t"]), "")).where(~((F.col("type") == "h2") & F.col("toc")) & ((F.col("type") == "h2") | (strip(F.col("text")) != "")))
-    return b.withColumn("ai", F.row_number().over(W.partitionBy(key).orderBy("i")) - 1).select(key, "ai", "type", "id", "text", "verse", "segs")
+    return docs.select(F.col(key), F.posexplode(atom_array(F.col(html))).alias("ai", "a")).select(key, "ai", "a.type", "a.id", "a.text", "a.verse", "a.segs")
 
 
 def contents(atom_rows: DataFrame, key: str) -> DataFrame:
@@ -73,10 +82,11 @@ def fill_pages(sizes: list[tuple[str, str]], budget: int, atom_cost: int = 40) -
     """Pages of ``(atom, start, end)``; an atom costs its characters and ``atom_cost``.
 
     A page takes atoms whole while they fit, then the most words of the next; a heading alone
-    on a page is forced, and so is one word where not even that fits.
+    on a page is forced, and so is one word where not even that fits.  Each page takes something,
+    so it ends without a guard on the number of pages.
     """
-    ai = off = n = 0
-    while ai < len(sizes) and n < MOST_PAGES:
+    ai = off = 0
+    while ai < len(sizes):
         page, room = [], budget
         while ai < len(sizes):
             kind, text = sizes[ai]
@@ -99,7 +109,6 @@ def fill_pages(sizes: list[tuple[str, str]], budget: int, atom_cost: int = 40) -
                     ai, off = ai + 1, 0
             break
         if page:
-            n += 1
             yield page
 
 
@@ -107,11 +116,20 @@ def paginate(atom_rows: DataFrame, key: str, budget: int = 1800) -> DataFrame:
     """``(key, page, ai, start, end)``: pages of a character budget, from 0.
 
     The measure of a page is characters, where the original measures drawn height.  A
-    document's atoms meet in one row (the size of the document), no more.
+    document's atoms meet in one row (the size of the document), no more.  See
+    ``paginate_documents`` for documents whose atoms aren't laid out yet.
     """
-    key_field = atom_rows.schema[key]
-    schema = T.StructType([key_field, *(T.StructField(c, T.IntegerType()) for c in ("page", "ai", "start", "end"))])
-    docs = atom_rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ai", "type", "text"))).alias("a"))
+    return _pages(atom_rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ai", "type", "text"))).alias("a")), key, budget)
+
+
+def paginate_documents(docs: DataFrame, key: str, html: str, budget: int = 1800) -> DataFrame:
+    """As ``paginate`` of the documents' atoms, in one narrow pass."""
+    a = F.transform(atom_array(F.col(html)), lambda x, i: F.struct(i.alias("ai"), x["type"].alias("type"), x["text"].alias("text")))
+    return _pages(docs.select(key, F.coalesce(a, F.array().cast("array<struct<ai:int,type:string,text:string>>")).alias("a")), key, budget)
+
+
+def _pages(docs: DataFrame, key: str, budget: int) -> DataFrame:
+    schema = T.StructType([docs.schema[key], *(T.StructField(c, T.IntegerType()) for c in ("page", "ai", "start", "end"))])
 
     def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

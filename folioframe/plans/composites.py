@@ -328,7 +328,7 @@ def q_reader(spark, d):
     """The reader's documents: atoms, contents, pages, the page to resume at, and painted stretches."""
     a = reader.atoms(documents_html(spark, d), "doc_id", "html")
     n = a.groupBy("doc_id").agg(F.count(F.lit(1)).alias("atoms"), F.count_if((F.col("type") == "h2") & F.col("id").isNotNull()).alias("contents"))
-    pages = reader.paginate(a, "doc_id").groupBy("doc_id").agg((F.max("page") + 1).alias("pages"))
+    pages = reader.paginate_documents(documents_html(spark, d), "doc_id", "html").groupBy("doc_id").agg((F.max("page") + 1).alias("pages"))
     painted = reader.paint(a, highlight_rows(spark, d), "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("painted"))
     mark = table(spark, d, "documents").select("doc_id", "bookId").join(table(spark, d, "reading_progress").select("bookId", "progressPercent"), "bookId", "left").select("doc_id", "progressPercent")
     out = n.join(pages, "doc_id", "left").join(painted, "doc_id", "left").join(mark, "doc_id", "left")

@@ -371,7 +371,7 @@ def q_atoms(spark, d):
 
 @query()
 def q_pages(spark, d):
-    return reader.paginate(reader.atoms(documents_html(spark, d), "doc_id", "html"), "doc_id")
+    return reader.paginate_documents(documents_html(spark, d), "doc_id", "html")
 
 
 @query()
