@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Private-use characters that stand for protected text while it is being cut.
-CUT, QUOTE, COMMA, SEMICOLON, SLASH, PIPE, BACKSLASH = (chr(0xE000 + i) for i in range(7))
+CUT, QUOTE, COMMA, SEMICOLON, SLASH, PIPE, BACKSLASH, ESCAPE = MARKS = tuple(chr(0xE000 + i) for i in range(8))
 
 #: Delimiters that outrank the comma, as a Java pattern: semicolon, bar, tab, line
 #: feed, bullet, ideographic comma, and a slash between spaces.
@@ -26,7 +26,7 @@ _EDGE = r"[,;|/•、\t\n\r]"
 
 def _protect(text: Column) -> Column:
     """Hide escaped characters and the semicolons that end character entities."""
-    t = F.regexp_replace(text, "[" + CUT + "-" + BACKSLASH + "]", "")
+    t = F.when(F.regexp_like(text, F.lit(f"[{CUT}-{ESCAPE}]")), _escape(text)).otherwise(text)
     t = F.replace(t, F.lit("\\\\"), F.lit(BACKSLASH))
     t = F.replace(t, F.lit('\\"'), F.lit(QUOTE))
     t = F.replace(t, F.lit("\\'"), F.lit("'"))
@@ -37,6 +37,20 @@ def _protect(text: Column) -> Column:
     return F.regexp_replace(t, r"(&(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+));", "$1" + SEMICOLON)
 
 
+def _escape(text: Column) -> Column:
+    """The marks that the text itself holds, written as the last mark and a digit."""
+    for i in reversed(range(len(MARKS))):
+        text = F.replace(text, F.lit(MARKS[i]), F.lit(f"{ESCAPE}{i}"))
+    return text
+
+
+def _unescape(text: Column) -> Column:
+    plain = text
+    for i, mark in enumerate(MARKS):
+        plain = F.replace(plain, F.lit(f"{ESCAPE}{i}"), F.lit(mark))
+    return F.when(F.contains(text, F.lit(ESCAPE)), plain).otherwise(text)
+
+
 def _reveal(text: Column) -> Column:
     for mark, plain in ((QUOTE, '"'), (COMMA, ","), (SEMICOLON, ";"), (SLASH, "/"), (PIPE, "|"), (BACKSLASH, "\\")):
         text = F.replace(text, F.lit(mark), F.lit(plain))
@@ -77,7 +91,7 @@ def unpack_values(text: Column) -> Column:
         ),
     )
     parts = F.split(F.array_join(whole, ""), CUT)
-    values = F.transform(parts, lambda v: F.regexp_replace(_reveal(v), r"(?U)^\s+|\s+$", ""))
+    values = F.transform(parts, lambda v: F.regexp_replace(_unescape(_reveal(v)), r"(?U)^\s+|\s+$", ""))
     return F.filter(values, lambda v: ~F.regexp_like(v, F.lit(r"(?U)^[\s,;|]*$")))
 
 

@@ -15,7 +15,7 @@ from folioframe.functions import text as X
 from folioframe.operators import blocks, catalog, clean, dedup, reader, resolve, state, wiki
 from folioframe.operators.packed import explode_packed
 from folioframe.plans import pipelines
-from folioframe.session import table, widen
+from folioframe.session import spread, table, widen
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -72,7 +72,7 @@ def shelf_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    entries = table(spark, d, "books").select("rec_no", "subjectsCsv").dropDuplicates()
+    entries = spread(table(spark, d, "books").select("rec_no", "subjectsCsv").dropDuplicates())
     return explode_packed(entries, "subjectsCsv", "subject").select("rec_no", "pos", "subject").dropDuplicates()
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioframe.functions.arrow import by_size
 from folioframe.schema import CATALOG, IMPORT_SPEC, SEARCH_PAGE
 from folioframe.session import materialise
 
@@ -129,53 +130,61 @@ def changed_only(df: DataFrame, old: str, new: str) -> DataFrame:
     return df.where(~F.col(old).eqNullSafe(F.col(new)))
 
 
-def write_documents(df: DataFrame, root: str, key: str = "id", html: str = "html", workers: int = 24) -> DataFrame:
-    """Write ``<root>/<key>/content.html`` from ``workers`` partitions; ``(id, ok, error)``.
+def _each_document(df: DataFrame, act: Callable[[str, str], None], key: str, html: str, workers: int | None) -> DataFrame:
+    """``(id, ok, error)`` of ``act`` on every document, done once: the outcome is written before it is returned."""
 
-    ``root`` is a folder every executor can write.  Files are replaced whole, so a task that
-    runs again does no harm.  Failures are rows, not errors.
-    """
-
-    def write(pdf_iter):
-        import pandas as pd
+    def run(batches):
+        import pyarrow as pa
 
-        for pdf in pdf_iter:
-            out = []
-            for k, h in zip(pdf[key], pdf[html]):
+        for batch in by_size(batches, 1):
+            keys, fine, why = batch.column(0).to_pylist(), [], []
+            for k, h in zip(keys, batch.column(1).to_pylist()):
                 try:
-                    folder = os.path.join(root, str(k))
-                    os.makedirs(folder, exist_ok=True)
-                    part = os.path.join(folder, f".{uuid.uuid4().hex}")
-                    with open(part, "w", encoding="utf-8") as f:
-                        f.write(h or "")
-                    os.replace(part, os.path.join(folder, "content.html"))
-                    out.append((k, True, None))
-                except OSError as e:
-                    out.append((k, False, str(e)))
-            yield pd.DataFrame(out, columns=["id", "ok", "error"])
+                    act(str(k), h or "")
+                    fine.append(True), why.append(None)
+                except Exception as e:  # noqa: BLE001 - reported per document
+                    fine.append(False), why.append(str(e))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fine, pa.bool_()), pa.array(why, pa.string())], ["id", "ok", "error"])
 
     schema = T.StructType([T.StructField("id", df.schema[key].dataType), T.StructField("ok", T.BooleanType()), T.StructField("error", T.StringType())])
-    return df.select(key, html).repartition(workers).mapInPandas(write, schema)
+    rows = df.select(key, html)
+    return materialise((rows.repartition(workers) if workers else rows).mapInArrow(run, schema), "outcome")
 
 
-def upload_all(df: DataFrame, send: Callable[[str, str], None], key: str = "id", html: str = "html", workers: int = 24) -> DataFrame:
-    """``send`` every document from ``workers`` partitions; ``(id, ok, error)`` per document."""
+def write_documents(df: DataFrame, root: str, key: str = "id", html: str = "html", name: str = "content.html", workers: int | None = None) -> DataFrame:
+    """Write ``<root>/<key>/<name>``; ``(id, ok, error)``, a row per document.
 
-    def run(pdf_iter):
-        import pandas as pd
+    ``root`` is a folder every executor can reach, of any file system that pyarrow knows (a plain
+    path is a shared mount).  Files are written beside their place and moved there, so a task that
+    runs again does no harm.  Failures are rows, not errors.  The work is done once, on the call;
+    partitions stay as they are unless ``workers`` says how many write at a time.
+    """
 
-        for pdf in pdf_iter:
-            out = []
-            for k, h in zip(pdf[key], pdf[html]):
-                try:
-                    send(k, h)
-                    out.append((k, True, None))
-                except Exception as e:  # noqa: BLE001 - reported per document
-                    out.append((k, False, str(e)))
-            yield pd.DataFrame(out, columns=["id", "ok", "error"])
+    def put(k: str, h: str) -> None:
+        from pyarrow import fs
 
-    schema = T.StructType([T.StructField("id", df.schema[key].dataType), T.StructField("ok", T.BooleanType()), T.StructField("error", T.StringType())])
-    return df.select(key, html).repartition(workers).mapInPandas(run, schema)
+        system, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+        folder = f"{base}/{k}"
+        system.create_dir(folder, recursive=True)
+        part = f"{folder}/.{uuid.uuid4().hex}"
+        with system.open_output_stream(part) as f:
+            f.write(h.encode("utf-8"))
+        system.move(part, f"{folder}/{name}")
+
+    return _each_document(df, put, key, html, workers)
+
+
+def write_raw(df: DataFrame, root: str, key: str = "id", text: str = "text", workers: int | None = None) -> DataFrame:
+    """Keep raw texts as ``<root>/<key>/raw.txt``, a cache for later imports; as ``write_documents``."""
+    return write_documents(df, root, key, text, "raw.txt", workers)
+
+
+def upload_all(df: DataFrame, send: Callable[[str, str], None], key: str = "id", html: str = "html", workers: int | None = 24) -> DataFrame:
+    """``send`` every document, ``workers`` partitions at a time; ``(id, ok, error)`` per document.
+
+    Done once, on the call; a task that runs again sends again, so ``send`` must replace.
+    """
+    return _each_document(df, send, key, html, workers)
 
 
 def json_rows(df: DataFrame, *columns: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from folioframe.operators.state import latest_progress
 from folioframe.schema import CLIENT_PROGRESS
+from folioframe.session import remove_folder
 
 
 def read_progress(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -38,23 +39,37 @@ def reading_activity(events: DataFrame, window: str = "1 day") -> DataFrame:
     return events.where("bookId is not null").groupBy(F.window("at", window), "bookId").agg(F.count(F.lit(1)).alias("n"), F.max("percent").alias("furthest"))
 
 
-def latest_state_writer(folder: str) -> Callable[[DataFrame, int], None]:
+def latest_state_writer(folder: str, keep: int = 2) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch``: fold a batch into the latest-progress table under ``folder``.
 
-    Each batch writes version ``batch`` from version ``batch - 1``; a batch that runs again
-    rewrites its own version, so the result is the same.
+    Batch ``n`` writes version ``n`` from version ``n - 1``; a batch that runs again rewrites its
+    own version, so the result is the same.  A missing version before it is an error, as going on
+    would lose the state; batch 0 begins anew.  The last ``keep`` versions stay, older ones go.
     """
+    if keep < 2:
+        raise ValueError("the version before must be kept")
 
-    def version(spark: SparkSession, n: int) -> DataFrame | None:
-        path = os.path.join(folder, f"v{n}")
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-        return spark.read.parquet(path) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")) else None
+    def path(n: int) -> str:
+        return os.path.join(folder, f"v{n}")
+
+    def done(spark: SparkSession, n: int) -> bool:
+        mark = spark._jvm.org.apache.hadoop.fs.Path(path(n) + "/_SUCCESS")
+        return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
 
     def write(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
         new = latest_progress(batch)
-        old = version(batch.sparkSession, n - 1) if n else None
-        merged = latest_progress(old.unionByName(new)) if old is not None else new
-        merged.write.mode("overwrite").parquet(os.path.join(folder, f"v{n}"))
+        if n:
+            if not done(spark, n - 1):
+                raise RuntimeError(f"version {n - 1} of the state isn't in {folder}")
+            new = latest_progress(spark.read.parquet(path(n - 1)).unionByName(new))
+        new.write.mode("overwrite").parquet(path(n))
+        if n >= keep:
+            remove_folder(spark, path(n - keep))
 
     return write
+
+
+def read_state(spark: SparkSession, folder: str, version: int) -> DataFrame:
+    """The table as a batch left it."""
+    return spark.read.parquet(os.path.join(folder, f"v{version}"))

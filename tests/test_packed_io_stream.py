@@ -115,3 +115,54 @@ def test_progress_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select max(n) n from act where bookId = 'b'").first().n == 2
+
+
+def test_private_use_characters_stay(spark):
+    import random
+
+    marks = [chr(0xE000 + i) for i in range(9)]
+    assert values(spark, f'a{marks[0]}b, "c{marks[1]}, d{marks[7]}0"') == [f"a{marks[0]}b", f"c{marks[1]}, d{marks[7]}0"]
+    rnd = random.Random(2)
+    for _ in range(5):
+        v = ["x" + "".join(rnd.choice([*marks, "0", "7", "a"]) for _ in range(6)) for _ in range(3)]
+        assert values(spark, ", ".join(f'"{x}"' for x in v)) == v
+
+
+def test_sinks_act_once(spark, tmp_path):
+    seen = tmp_path / "sent"
+    seen.mkdir()
+
+    def send(key, html):
+        (seen / f"{key}-{os.urandom(4).hex()}").write_text(html)
+
+    out = io.upload_all(spark.createDataFrame([("a", "1"), ("b", None)], "id string, html string"), send, workers=2)
+    assert out.count() == 2 and out.where("ok").count() == 2 and len(list(seen.iterdir())) == 2
+    raw = io.write_raw(spark.createDataFrame([("k", "text"), ("k", "text")], "id string, text string"), f"file://{tmp_path}/raw")
+    assert raw.where("ok").count() == 2 and (tmp_path / "raw" / "k" / "raw.txt").read_text() == "text"
+
+
+def test_state_versions(spark, tmp_path):
+    import pytest
+
+    out = str(tmp_path / "state")
+    write = progress.latest_state_writer(out)
+    rows = lambda p, t: spark.createDataFrame([(1, "a", p, t, None)], "userId long, bookId string, percent double, updatedAt long, receivedAt timestamp_ntz")
+    for n in range(4):
+        write(rows(float(n), n), n)
+    write(rows(3.0, 3), 3)
+    assert sorted(d for d in os.listdir(out)) == ["v2", "v3"] and [r.percent for r in progress.read_state(spark, out, 3).collect()] == [3.0]
+    with pytest.raises(RuntimeError):
+        write(rows(9.0, 9), 9)
+    assert not os.path.exists(f"{out}/v9")
+
+
+def test_workspace_and_shared_folder(spark, monkeypatch):
+    from folioframe import session
+
+    with session.Workspace(spark) as work:
+        step = work.materialise(spark.range(5), "step")
+        path = step.inputFiles()[0].split("/part-")[0].replace("file://", "")
+        assert os.path.isdir(path)
+        out = work.result(step.where("id > 2"))
+    assert not os.path.exists(path) and out.count() == 2
+    assert session.is_small(spark.range(10), 10) and not session.is_small(spark.range(11), 10) and not session.is_small(spark.range(10), 10, 20)
