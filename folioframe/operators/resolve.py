@@ -41,3 +41,21 @@ def resolve(features: DataFrame, candidates: DataFrame, used: DataFrame, linked:
     )
     first = c.where(fits).groupBy("want").agg(F.min_by("id", F.struct("cand_ord", "id")).alias("id"))
     return first.join(used.select("id").distinct(), "id", "left_anti").select("want", "id")
+
+
+def search_candidates(features: DataFrame, hits: DataFrame) -> DataFrame:
+    """``(want, *hits)``: the hits a catalogue search would give for each wanted work.
+
+    ``hits``: ``(cand_ord, id, title, authors, ...)``, one row a hit.  A hit shares the surname and
+    a title word, or for works by nobody the first title word and another one.  Works without
+    title words find nothing.
+    """
+    names = F.array_distinct(words(F.regexp_replace(F.lower(F.array_join("authors", " ")), "[^a-z ]", "")))
+    title = F.array_distinct(words(F.regexp_replace(F.lower("title"), "[^a-z0-9 ]", " ")))
+    named = features.where("surname is not null").select("want", F.col("surname").alias("a"), F.explode("kws").alias("k"))
+    pairs = F.transform(F.slice("kws", 2, 4), lambda x: F.concat(F.get("kws", F.lit(0)), F.lit(" "), x))
+    bare = features.where("surname is null").select("want", F.explode(pairs).alias("k"))
+    by_name = hits.select("*", F.explode(names).alias("a")).select("*", F.explode(title).alias("k"))
+    by_title = hits.select("*", F.explode(title).alias("k1")).select("*", F.explode(title).alias("k2")).select(*hits.columns, F.concat("k1", F.lit(" "), "k2").alias("k"))
+    cols = ["want", *hits.columns]
+    return named.join(by_name, ["a", "k"]).select(*cols).unionByName(bare.join(by_title, "k").select(*cols)).dropDuplicates(["want", "cand_ord"])

@@ -275,6 +275,39 @@ def q_sync(spark, d):
     return synced.unionByName(missing).unionByName(pruned)
 
 
+@query(
+    "WITH p AS (SELECT bookId || '/' || CAST(partNo AS VARCHAR) || CASE WHEN partNo % 2 = 0 THEN '/notes' ELSE '' END AS title FROM documents WHERE bookId IS NOT NULL UNION SELECT bookId FROM documents WHERE bookId IS NOT NULL) "
+    "SELECT DISTINCT b.id AS work, p.title AS sub FROM p JOIN (SELECT DISTINCT id FROM books) b ON starts_with(p.title, b.id || '/') AND length(p.title) > length(b.id) + 1"
+)
+def q_subpages(spark, d):
+    """Pages below each work by the beginning of their titles, at any depth."""
+    docs = table(spark, d, "documents").where("bookId is not null")
+    part = F.concat("bookId", F.lit("/"), F.col("partNo").cast("string"), F.when(F.col("partNo") % 2 == 0, "/notes").otherwise(""))
+    pages = docs.select(part.alias("title")).unionByName(docs.select(F.col("bookId").alias("title"))).distinct()
+    return wiki.subpages_of(table(spark, d, "books").select(F.col("id").alias("work")), pages)
+
+
+@query(
+    rf"SELECT doc_id, length(text) >= 400 AS least_400, length(text) >= 2500 AS least_2500, length(text) >= 4000 AS least_4000, length(text) >= 6000 AS least_6000, length(text) >= 400 AND len(list_filter(regexp_split_to_array(text, '{_WS}+'), lambda w: w <> '')) >= 60 AS with_words, "
+    "CASE WHEN length(substr(text, 1, 900)) >= 1000 THEN 'head' WHEN length(text) >= 1000 THEN 'whole' END AS candidate FROM documents"
+)
+def q_gates(spark, d):
+    """The size gates of the jobs, and the first candidate text that is long enough."""
+    t, head = F.col("text"), F.substring("text", 1, 900)
+    first = X.first_long([head, t])
+    gates = [X.size_gate(t, n).alias(f"least_{n}") for n in (400, 2500, 4000, 6000)]
+    return widen(table(spark, d, "documents")).select("doc_id", *gates, X.size_gate(t, 400, X.count_text_words(t), 60).alias("with_words"), F.when(first.isNotNull(), F.when(first == head, "head").otherwise("whole")).alias("candidate"))
+
+
+@query()
+def q_convert(spark, d):
+    """The converter over all books: how each ended, with its headings."""
+    specs = table(spark, d, "books").select(F.struct("rec_no", "updatedAt", "wordCount").alias("ord"), "id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("author", F.lit("")).alias("author"))
+    raw = table(spark, d, "documents").groupBy(F.col("bookId").alias("id")).agg(F.min_by("text", "doc_id").alias("text"))
+    out = pipelines.convert(specs, raw, "COMPLETE WORKS", 1500)
+    return out.select("id", "status", "title", F.length("html").alias("length"), "n_headings")
+
+
 @query()
 def q_merge_report(spark, d):
     """The merge job: the second half of the catalogue as fragments merged into the first, with its counts and checks."""
@@ -296,7 +329,7 @@ def q_import_run(spark, d):
     raw = table(spark, d, "documents").groupBy(F.col("bookId").alias("id")).agg(F.min_by("text", "doc_id").alias("text"))
     done = cat.where(F.col("ord") % 4 == 0)
     run = pipelines.import_texts(cat.dropDuplicates(["id"]).select("id", "ord"), raw, done)
-    return run.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("wordCount").alias("words"))
+    return pipelines.tally(run)
 
 
 @query()
@@ -304,11 +337,8 @@ def q_wanted(spark, d):
     """The wanted list resolved: the category of each work that a fitting hit was found for, one work a hit."""
     want = table(spark, d, "wanted_list").dropDuplicates(["rec_no"])
     hits = table(spark, d, "search_hits").dropDuplicates(["rec_no"]).select("id", "title", F.col("authors.name").alias("authors"), "languages", F.col("rec_no").alias("cand_ord"))
-    f = resolve.wanted_features(want, "rec_no").where("surname is not null")
-    names = F.array_distinct(X.words(F.regexp_replace(F.lower(F.array_join("authors", " ")), "[^a-z ]", "")))
-    kws = F.array_distinct(X.words(F.regexp_replace(F.lower("title"), "[^a-z0-9 ]", " ")))
-    keyed = hits.select("*", F.explode(names).alias("a")).select("*", F.explode(kws).alias("k"))
-    cand = f.select("want", F.col("surname").alias("a"), F.explode("kws").alias("k")).join(keyed, ["a", "k"]).select("want", *hits.columns).dropDuplicates(["want", "cand_ord"])
+    f = resolve.wanted_features(want, "rec_no")
+    cand = resolve.search_candidates(f, hits)
     used = table(spark, d, "books").where("gutenbergId is not null").select(F.col("gutenbergId").alias("id"))
     found = resolve.resolve(f, cand, used).join(want.select(F.col("rec_no").alias("want"), "title", X.map_category(F.col("shelf"), F.col("cat")).alias("category")), "want")
     return dedup.greedy_dedup(found, "want", {"sameId": F.col("id")}, sticky=("sameId",)).where("kept").select("want", "id", "title", "category")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.functions.text import count_html_words, norm_title, work_key
-from folioframe.operators.blocks import format_text
+from folioframe.functions.text import count_html_words, is_bundle_body, norm_title, size_gate, work_key
+from folioframe.operators.blocks import format_text, to_html
 from folioframe.operators.catalog import only_ids
 from folioframe.operators.dedup import first_per_group, greedy_dedup, missing_from
 
@@ -51,7 +51,7 @@ def import_texts(specs: DataFrame, raw: DataFrame, existing: DataFrame, only: st
     todo = missing_from(wanted, existing)
     done = wanted.join(existing.select("id").distinct(), "id", "left_semi").select("id", F.lit("skipped").alias("status"), F.lit(None).cast("string").alias("html"), F.lit(0).cast("bigint").alias("wordCount"))
     text = format_text(raw.join(todo.select("id"), "id", "left_semi"), "id", "text")
-    ok = F.coalesce(F.length("html") >= least, F.lit(False))
+    ok = size_gate(F.col("html"), least)
     new = todo.select("id").join(text, "id", "left").select(
         "id", F.when(ok, "ok").otherwise("failed").alias("status"), F.when(ok, F.col("html")).alias("html"), F.when(ok, F.col("wordCount")).otherwise(0).cast("bigint").alias("wordCount")
     )
@@ -63,3 +63,29 @@ def sync(catalog: DataFrame, content: DataFrame, html: str = "html") -> tuple[Da
     counted = content.select("id", count_html_words(F.col(html)).cast("int").alias("__w"))
     synced = catalog.join(counted, "id").withColumn("wordCount", F.col("__w")).drop("__w")
     return synced, missing_from(catalog, content), missing_from(content, catalog)
+
+
+def tally(rows: DataFrame, status: str = "status") -> DataFrame:
+    """``(status, n)``: how many rows ended in which way."""
+    return rows.groupBy(status).agg(F.count(F.lit(1)).alias("n"))
+
+
+def convert(specs: DataFrame, raw: DataFrame, marker: str, least: int = 6000, titles: DataFrame | None = None) -> DataFrame:
+    """``(id, status, title, html, n_headings)`` of a conversion run over ``specs (ord, id, title, author)``.
+
+    Of equal ids the first counts and the others are ``duplicate``.  Ids without text are
+    ``no text``, texts with ``marker`` near their head are a ``bundle``, documents of under
+    ``least`` characters are ``short``; all others are ``ok`` and carry their document.
+    ``titles (id, title)`` override the title.  The rows that aren't ok are the failure list.
+    """
+    first = specs.groupBy("id").agg(F.min_by(F.struct("ord", "title", "author"), "ord").alias("s")).select("id", "s.*")
+    if titles is not None:
+        first = first.join(titles.select("id", F.col("title").alias("__t")), "id", "left").withColumn("title", F.coalesce("__t", "title")).drop("__t")
+    again = specs.join(first.select("id", "ord"), ["id", "ord"], "left_anti").select("id", F.lit("duplicate").alias("status"), "title")
+    texts = first.join(raw.select("id", "text"), "id", "left")
+    done = to_html(texts, "id", "text", "title", "author").join(texts.select("id", "title", is_bundle_body(F.col("text"), marker).alias("bundle"), F.col("text").isNull().alias("none")), "id")
+    status = F.when(F.col("none"), "no text").when(F.col("bundle"), "bundle").when(~size_gate(F.col("html"), least), "short").otherwise("ok")
+    done = done.select("id", status.alias("status"), "title", "html", "n_headings")
+    kept = F.col("status") == "ok"
+    done = done.select("id", "status", "title", F.when(kept, F.col("html")).alias("html"), F.when(kept, F.col("n_headings")).alias("n_headings"))
+    return done.unionByName(again, allowMissingColumns=True)

@@ -299,15 +299,7 @@ def q_resolve(spark, d):
     want = table(spark, d, "wanted_list").select("rec_no", "title", "author").dropDuplicates(["rec_no"])
     f = resolve.wanted_features(want, "rec_no")
     hits = table(spark, d, "search_hits").dropDuplicates(["rec_no"]).select("id", "title", F.col("authors.name").alias("authors"), "languages", F.col("rec_no").alias("cand_ord"))
-    names = F.array_distinct(X.words(F.regexp_replace(F.lower(F.array_join("authors", " ")), "[^a-z ]", "")))
-    kws = F.array_distinct(X.words(F.regexp_replace(F.lower("title"), "[^a-z0-9 ]", " ")))
-    # Candidates, in place of a search service: a shared author word and title word, or for nobody's works two title words.
-    named = f.where("surname is not null").select("want", F.col("surname").alias("a"), F.explode("kws").alias("k"))
-    bare = f.where("surname is null").select("want", F.explode(F.transform(F.slice("kws", 2, 4), lambda x: F.concat(F.get("kws", F.lit(0)), F.lit(" "), x))).alias("k"))
-    by_name = hits.select("*", F.explode(names).alias("a")).select("*", F.explode(kws).alias("k"))
-    by_title = hits.select("*", F.explode(kws).alias("k1")).select("*", F.explode(kws).alias("k2")).select(*hits.columns, F.concat("k1", F.lit(" "), "k2").alias("k"))
-    cols = ["want", *hits.columns]
-    cand = named.join(by_name, ["a", "k"]).select(*cols).unionByName(bare.join(by_title, "k").select(*cols)).dropDuplicates(["want", "cand_ord"])
+    cand = resolve.search_candidates(f, hits)
     used = table(spark, d, "books").where("gutenbergId is not null").select(F.col("gutenbergId").alias("id"))
     return resolve.resolve(f, cand, used)
 

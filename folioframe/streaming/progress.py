@@ -73,3 +73,13 @@ def latest_state_writer(folder: str, keep: int = 2) -> Callable[[DataFrame, int]
 def read_state(spark: SparkSession, folder: str, version: int) -> DataFrame:
     """The table as a batch left it."""
     return spark.read.parquet(os.path.join(folder, f"v{version}"))
+
+
+def append_events(events: DataFrame, folder: str) -> None:
+    """Append client events (progress, openings, shelf toggles) to the log that streams read; nothing is rewritten."""
+    events.write.mode("append").parquet(folder)
+
+
+def refresh_view(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, every: str = "60 seconds"):
+    """Run ``write`` on what is new every ``every``: a view is at most that old.  Returns the running query."""
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()

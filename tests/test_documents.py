@@ -199,3 +199,27 @@ def test_sync(spark):
     content = spark.createDataFrame([("a", "<p>one two</p>"), ("z", "")], "id string, html string")
     s, missing, orphans = pipelines.sync(cat, content)
     assert [tuple(r) for r in s.collect()] == [("a", 2)] and [r.id for r in missing.collect()] == ["b"] and [r.id for r in orphans.collect()] == ["z"]
+
+
+def test_convert_gates_and_failures(spark):
+    from folioframe.plans import pipelines
+
+    long = "\n\n".join(f"A paragraph of number {i} that goes on for a while." for i in range(40))
+    specs = spark.createDataFrame([(1, "a", "A", "X"), (2, "a", "A again", "X"), (3, "b", "B", "Y"), (4, "c", "C", None), (5, "d", None, None)], "ord int, id string, title string, author string")
+    raw = spark.createDataFrame([("a", long), ("b", "short"), ("c", "The Complete Works of\n\n" + long), ("e", long)], "id string, text string")
+    titles = spark.createDataFrame([("a", "Another A")], "id string, title string")
+    got = {(r.id, r.status): r for r in pipelines.convert(specs, raw, "COMPLETE WORKS", 1500, titles).collect()}
+    assert set(got) == {("a", "ok"), ("a", "duplicate"), ("b", "short"), ("c", "bundle"), ("d", "no text")}
+    assert "<title>Another A — X</title>" in got["a", "ok"].html and got["b", "short"].html is None
+    assert {(r.status, r.n) for r in pipelines.tally(pipelines.convert(specs, raw, "COMPLETE WORKS", 1500)).collect()} == {("ok", 1), ("duplicate", 1), ("short", 1), ("bundle", 1), ("no text", 1)}
+
+
+def test_all_entities_and_the_book_id(spark):
+    from folioframe.operators import reader, wiki
+
+    df = spark.createDataFrame([(1, "<article><p>a &mdash; b &#2309; &amp;lt; &lt;i&gt; &copy &eacute;&#60;b&#62;</p></article>")], "k int, html string")
+    assert reader.atoms(df, "k", "html").first().text == "a — b अ &lt; <i> &copy é<b>"
+    assert df.select(wiki.page_blocks(F.col("html")).alias("b")).first().b[0].text == "a — b अ &lt; <i> &copy é<b>"
+    plan = spark.createDataFrame([("w", 1, "T", 1, None, "p", "a-slug")], "work string, book int, title string, pos int, heading string, page string, slug string")
+    pages = spark.createDataFrame([("p", [("p", "x")])], "page string, blocks array<struct<kind:string,text:string>>")
+    assert '<article lang="hi" data-book-id="a-slug" data-title="T"' in wiki.build_books(plan, pages).first().html

@@ -166,3 +166,16 @@ def test_workspace_and_shared_folder(spark, monkeypatch):
         out = work.result(step.where("id > 2"))
     assert not os.path.exists(path) and out.count() == 2
     assert session.is_small(spark.range(10), 10) and not session.is_small(spark.range(11), 10) and not session.is_small(spark.range(10), 10, 20)
+
+
+def test_view_is_refreshed(spark, tmp_path):
+    schema = "userId long, bookId string, percent double, updatedAt long, receivedAt timestamp_ntz"
+    log, out = str(tmp_path / "log"), str(tmp_path / "view")
+    progress.append_events(spark.createDataFrame([(1, "a", 5.0, 10, None)], schema), log)
+    q = progress.refresh_view(progress.read_progress(spark, log), progress.latest_state_writer(out), str(tmp_path / "ck3"), "1 second")
+    q.processAllAvailable()
+    progress.append_events(spark.createDataFrame([(1, "a", 8.0, 20, None), (2, "b", 1.0, 5, None)], schema), log)
+    q.processAllAvailable()
+    q.stop()
+    last = max(int(d[1:]) for d in os.listdir(out))
+    assert sorted((r.userId, r.percent) for r in progress.read_state(spark, out, last).collect()) == [(1, 8.0), (2, 1.0)]
