@@ -132,7 +132,8 @@ def split_text(text: str, enc, lengths: np.ndarray, max_tokens: int, overlap: in
     """``(start, end, tokens)`` of each piece; start and end in code points of ``text``.
 
     A piece is ``text[start:end]``, has at most ``max_tokens`` tokens by itself, and starts at
-    the last boundary that keeps at least ``overlap`` tokens of the piece before.
+    the last boundary that keeps at least ``overlap`` tokens of the piece before.  Limits that leave
+    no room for a unit besides the overlap are an error; no piece is ever over the limit.
     """
     tokens = enc.encode_ordinary(text)
     if not text.strip():
@@ -144,8 +145,10 @@ def split_text(text: str, enc, lengths: np.ndarray, max_tokens: int, overlap: in
         out = [(int(starts[a]), int(ends[b]), 0) for a, b in cuts]
         sizes = [len(enc.encode_ordinary(text[s:e])) for s, e, _ in out]
         over = max(sizes) - max_tokens
-        if over <= 0 or limit <= overlap + 2:
+        if over <= 0:
             return [(s, e, n) for (s, e, _), n in zip(out, sizes)]
+        if limit <= overlap + 2:
+            raise ValueError(f"pieces of {max_tokens} tokens with {overlap} of overlap can't hold this text's units")
         limit = max(overlap + 2, limit - over)  # a piece by itself may have a token or two more
 
 

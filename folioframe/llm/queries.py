@@ -139,6 +139,23 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d, above_words=1200).select("doc_id").dropDuplicates()
 
 
+def p9_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of more than 1,200 words put together again from their pieces, without white space.
+
+    ``fits``: no piece is over the limit; ``overlaps``: each piece begins inside the one before.
+    """
+    from pyspark.sql import Window as W
+
+    before = F.lag("end").over(W.partitionBy("doc_id").orderBy("piece"))
+    p = _pieces(spark, d, above_words=1200).withColumn("before", F.coalesce(before, F.lit(0)))
+    fresh = F.substr("text", (F.greatest("before", "start") - F.col("start") + 1).cast("int"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", fresh.alias("t")))), lambda x: x["t"]), "")
+    bare = F.regexp_replace(whole, r"(?U)\s+", "")
+    return p.groupBy("doc_id").agg(F.md5(bare).alias("digest"), F.length(bare).cast("bigint").alias("n"), F.max(F.col("n_tokens")).alias("most"), F.min((F.col("piece") == 1) | (F.col("start") < F.col("before"))).alias("overlaps")).select(
+        "doc_id", "digest", "n", (F.col("most") <= 1024).alias("fits"), "overlaps"
+    )
+
+
 def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Every piece of every document over the token limit."""
     return _pieces(spark, d)
@@ -150,7 +167,10 @@ def _pieces(spark: SparkSession, d: str, above_words: int | None = None) -> Data
     return split_oversized(widen(table(spark, d, "documents")), max_tokens=1024, overlap=64, above_words=above_words)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_blocks, p1_clean, p2_found, p2_links, p4_found, p4_languages, p5_found, p5_forms, p6_found, p7_found, p8_mixture, p8_shares, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_blocks, p1_clean, p2_found, p2_links, p4_found, p4_languages, p5_found, p5_forms, p6_found, p7_found, p8_mixture, p8_shares, p9_found, p9_pieces, p9_rebuilt)}
+_WS = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}\x0b]+"
+_LONG = f"len(list_filter(regexp_split_to_array(text, '{_WS}'), lambda w: w <> '')) > 1200"
 SQL: dict[str, str] = {
-    "p9_found": r"SELECT doc_id FROM documents WHERE len(list_filter(regexp_split_to_array(text, '[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}\x0b]+'), lambda w: w <> '')) > 1200",
+    "p9_found": f"SELECT doc_id FROM documents WHERE {_LONG}",
+    "p9_rebuilt": f"SELECT doc_id, md5(regexp_replace(text, '{_WS}', '', 'g')) AS digest, CAST(length(regexp_replace(text, '{_WS}', '', 'g')) AS BIGINT) AS n, true AS fits, true AS overlaps FROM documents WHERE {_LONG}",
 }

@@ -132,3 +132,19 @@ def test_pieces_query_cuts_all_over_the_token_limit(spark, tmp_path):
     got = queries.p9_pieces(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in got} == over == {1, 2} and all(r.n_tokens <= 1024 for r in got)
     assert {r.doc_id for r in queries.p9_found(spark, str(tmp_path)).collect()} == {2}
+
+
+def test_limits_without_room_are_an_error():
+    import numpy as np
+    import pytest
+
+    from folioframe.llm import pieces
+
+    class Characters:
+        """Text as one token a character, but alone two more."""
+
+        def encode_ordinary(self, text):
+            return [0] * (len(text) + (2 if len(text) < 50 else 0))
+
+    with pytest.raises(ValueError):
+        pieces.split_text("word " * 40, Characters(), np.array([1]), 4, 1)
