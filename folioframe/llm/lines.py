@@ -179,10 +179,13 @@ def _capital_lines(work: Workspace, lines: DataFrame, counts: DataFrame, need: D
     words = work.materialise(word.distinct().groupBy("source", "w").agg(F.count(F.lit(1)).alias("c")).join(need, "source"), "capital-words")
     often = words.where(F.col("c") >= F.col("need") / 2).groupBy("source").agg(F.collect_set("w").alias("ws"))  # few: see the module text
     half = work.materialise(counts.where(F.col("n") >= F.col("need") / 2).select("source", "line_id", F.lit(True).alias("half")), "frequent-ids")
+    # The last word is looked at first, as most lines go by it.
+    last = F.substring_index("tpl", " ", -1)
     slots = _readings(lines.where("tpl is not null and not capitals"), "source", "tpl")
+    slots = slots.join(broadcast_if_small(half, 200_000), ["source", "line_id"], "left").join(broadcast_if_small(often), "source", "left")
+    slots = slots.where(F.col("half") | last.isin(NAME, NUMBER) | F.array_contains("ws", last))
     slots = slots.withColumn("tpl", F.when(F.col("reading") == 1, F.regexp_replace("tpl", rf"^\S+(?: {NAME})?(?= )", NAME)).otherwise(F.col("tpl"))).where(F.contains("tpl", F.lit(NAME)))
     fixed = F.filter(F.array_distinct(F.split("tpl", " ")), lambda x: ~x.isin(NAME, NUMBER))
-    slots = slots.join(broadcast_if_small(half, 200_000), ["source", "line_id"], "left").join(broadcast_if_small(often), "source", "left")
     slots = slots.where(F.col("half") | (F.size(F.array_except(fixed, F.coalesce("ws", F.array().cast("array<string>")))) == 0))
     templates = slots.groupBy("source", "line_id", "reading").agg(F.count_if("first").alias("n"), F.max("tpl").alias("tpl"))
     of = templates.select("source", "line_id", "reading", "n", "tpl", F.size(fixed).alias("size"), F.explode(fixed).alias("w")).join(words, ["source", "w"])
