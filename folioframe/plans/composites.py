@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from folioframe.functions import text as X
 from folioframe.operators import blocks, catalog, clean, dedup, reader, resolve, state, wiki
 from folioframe.plans import pipelines
-from folioframe.plans.queries import _TRIM, _WS, ATOMS, CAT, HTML, LATEST, SHELF, books, documents_html, highlight_rows, query, shelf_rows
+from folioframe.plans.queries import _TRIM, _WS, ATOMS, CAT, HTML, LATEST, MERGE_KINDS, SHELF, books, documents_html, greedy_sql, highlight_rows, query, shelf_rows
 from folioframe.session import table, widen
 from folioframe.sources import io
 
@@ -308,7 +308,13 @@ def q_convert(spark, d):
     return out.select("id", "status", "title", F.length("html").alias("length"), "n_headings")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {CAT}, {greedy_sql('id', 'ord % 2 = 1', 'ord % 2 = 0', MERGE_KINDS)}, "
+    "m AS (SELECT id, gutenbergId FROM cat WHERE ord % 2 = 0 UNION ALL SELECT id, gutenbergId FROM cat WHERE ord IN (SELECT ord FROM judged WHERE reason IS NULL)), d AS (SELECT DISTINCT bookId AS id FROM documents) "
+    "SELECT (SELECT count(*) FROM cat WHERE ord % 2 = 0) AS existing, (SELECT count(*) FROM judged WHERE reason IS NULL) AS added, (SELECT count(*) FROM judged WHERE reason = 'sameId') AS \"sameId\", (SELECT count(*) FROM judged WHERE reason = 'sameWork') AS \"sameWork\", "
+    "(SELECT count(*) FROM judged WHERE reason = 'sameSlug') AS \"sameSlug\", (SELECT count(*) FROM m) AS total, (SELECT count(*) - count(DISTINCT gutenbergId) - CAST(bool_or(gutenbergId IS NULL) AS BIGINT) FROM m) AS \"dupNumbers\", "
+    "(SELECT count(*) - count(DISTINCT id) - CAST(bool_or(id IS NULL) AS BIGINT) FROM m) AS \"dupSlugs\", (SELECT count(*) FROM m WHERE id NOT IN (SELECT id FROM d WHERE id IS NOT NULL)) AS \"missingContent\", (SELECT count(*) FROM d WHERE id NOT IN (SELECT id FROM m)) AS orphans"
+)
 def q_merge_report(spark, d):
     """The merge job: the second half of the catalogue as fragments merged into the first, with its counts and checks."""
     cat = books(spark, d, "id", "title", "author", "category", "gutenbergId")

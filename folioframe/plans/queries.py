@@ -34,6 +34,27 @@ sl AS (SELECT userId, bookId, max(CASE WHEN added THEN ts END) AS since, arg_max
 sh AS (SELECT userId, bookId, row_number() OVER (PARTITION BY userId ORDER BY since, bookId) - 1 AS ord FROM sl WHERE is_on)"""
 
 
+# A greedy scan as SQL: one step of the recursion for each row in order, with the keys registered so far.
+WORK = """CASE WHEN regexp_matches(lower(coalesce(author, '')), 'anon|unknown|various|traditional') OR len(list_filter(str_split(regexp_replace(lower(coalesce(author, '')), '[^a-z ]', '', 'g'), ' '), lambda x: x <> '')) = 0 THEN '' ELSE list_filter(str_split(regexp_replace(lower(coalesce(author, '')), '[^a-z ]', '', 'g'), ' '), lambda x: x <> '')[-1] END || '|' ||
+ array_to_string(list_slice(list_sort(list_filter(str_split(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9 ]', ' ', 'g'), ' '), lambda x: length(x) > 3 AND x NOT IN ('the','a','an','of','and','or','in','to','on','with','for','de','la','le','vol','part','book','volume','complete','selected'))), 1, 3), ' ')"""
+
+
+def greedy_sql(third: str, rows: str, seeds: str, kinds: tuple[str, str, str], order: tuple[int, int, int] = (0, 1, 2)) -> str:
+    """CTEs up to ``judged (ord, id, reason)``: rows of the catalogue judged by number, work and a third key."""
+    keys = ["g", "w", "t"]
+    case = " ".join(f"WHEN {keys[k]} IS NOT NULL AND list_contains({keys[k]}s, {keys[k]}) THEN '{kinds[k]}'" for k in order)
+    seen = ", ".join(f"CASE WHEN reason IS NULL AND {k} IS NOT NULL THEN list_append({k}s, {k}) ELSE {k}s END AS {k}s" for k in keys)
+    first = ", ".join(f"(SELECT coalesce(list({k}) FILTER (WHERE {k} IS NOT NULL), []) FROM keyed WHERE {seeds}) AS {k}s" for k in keys)
+    return (
+        f"keyed AS (SELECT *, CAST(nullif(gutenbergId, 0) AS VARCHAR) AS g, nullif({WORK}, '|') AS w, {third} AS t FROM cat), todo AS (SELECT row_number() OVER (ORDER BY ord) AS i, ord, id, g, w, t FROM keyed WHERE {rows}), "
+        f"scan AS (SELECT 0::BIGINT AS i, {first}, NULL::BIGINT AS ord, NULL::VARCHAR AS id, NULL::VARCHAR AS reason UNION ALL "
+        f"SELECT i, {seen}, ord, id, reason FROM (SELECT todo.i, gs, ws, ts, todo.ord, todo.id, g, w, t, CASE {case} END AS reason FROM scan JOIN todo ON todo.i = scan.i + 1)), judged AS (SELECT ord, id, reason FROM scan WHERE i > 0)"
+    )
+
+
+MERGE_KINDS = ("sameId", "sameWork", "sameSlug")
+
+
 def query(sql: str | None = None) -> Callable:
     """Register a function under its own name, with the SQL that gives the same rows."""
 
@@ -243,6 +264,22 @@ def q_slugs(spark, d):
     return dedup.allocate_slugs(b.select("ord", "base"), "ord", "base")
 
 
+_BASE = "CASE WHEN ord % 7 = 0 THEN lower(substr(title, 1, 5)) || '-2' ELSE lower(substr(title, 1, 5)) END"
+
+
+@query(
+    f"WITH RECURSIVE {CAT}, b AS (SELECT row_number() OVER (ORDER BY ord) AS i, ord, {_BASE} AS base FROM cat), "
+    "s AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS used, NULL::BIGINT AS ord, NULL::VARCHAR AS base, NULL::VARCHAR AS slug UNION ALL SELECT i, list_append(used, slug), ord, base, slug FROM "
+    "(SELECT b.i, used, b.ord, b.base, list_filter(list_transform(range(1, len(used) + 2), lambda n: CASE WHEN n = 1 THEN b.base ELSE b.base || '-' || n END), lambda x: NOT list_contains(used, x))[1] AS slug FROM s JOIN b ON b.i = s.i + 1)) "
+    "SELECT ord, base, slug FROM s WHERE i > 0"
+)
+def q_allocate(spark, d):
+    """Slugs from the first letters of titles; some bases look like another one with a suffix."""
+    five = F.lower(F.substring("title", 1, 5))
+    b = books(spark, d, "title").select("ord", F.when(F.col("ord") % 7 == 0, F.concat(five, F.lit("-2"))).otherwise(five).alias("base"))
+    return dedup.allocate_slugs(b, "ord", "base")
+
+
 # -- sets and joins
 
 
@@ -271,12 +308,18 @@ def q_upsert(spark, d):
     return upsert(b, new, "rec_no", at=F.lit("2030-01-01 00:00:00").cast("timestamp_ntz")).select("rec_no", "origin", "createdAt", "updatedAt")
 
 
-@query()
+@query(f"WITH RECURSIVE {CAT}, {greedy_sql('id', 'true', 'false', MERGE_KINDS)} SELECT ord, id, reason IS NULL AS kept, reason FROM judged")
 def q_merge(spark, d):
     return pipelines.merge(books(spark, d, "id", "title", "author", "gutenbergId"), "ord").select("ord", "id", "kept", "reason")
 
 
-@query()
+_NORM = rf"nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(title), '[^a-z0-9 ]', ' ', 'g'), '\b(the|a|an|of|and|or|in|to)\b', ' ', 'g'), '{_WS}+', ' ', 'g'), '^{_WS}+|{_WS}+$', '', 'g'), '')"
+
+
+@query(
+    f"WITH RECURSIVE {CAT}, {greedy_sql(_NORM, 'ord % 2 = 1', 'ord % 2 = 0', ('sameId', 'sameWork', 'sameTitle'), (0, 2, 1))} "
+    "SELECT ord, id, category FROM (SELECT j.ord, j.id, category, row_number() OVER (PARTITION BY category ORDER BY j.ord) AS r FROM judged j JOIN cat USING (ord) WHERE reason IS NULL) WHERE r <= 20"
+)
 def q_import_quota(spark, d):
     """The first twenty new books of each category that an import would keep."""
     b = books(spark, d, "id", "title", "author", "category", "gutenbergId")
