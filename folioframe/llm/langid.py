@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from folioframe.functions.arrow import by_size
+from folioframe.llm.lines import cut_known
 
 LANGUAGES = ("en", "hi", "fr", "de", "es", "pt")
 
@@ -250,15 +251,18 @@ _SPAN = T.StructType(
 )
 
 
-def detect_languages(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text", least_words: int = 40, keep: tuple[str, ...] = ()) -> DataFrame:
+def detect_languages(
+    docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text", least_words: int = 40, keep: tuple[str, ...] = (), site: tuple[str, dict] | None = None
+) -> DataFrame:
     """``(key, *keep, languages, segments)``: arrays of ``(lang, n_words, confidence)``.
 
     ``languages`` has each language with at least ``least_words`` words of the document,
     or the one with most words if none has; the most used first.  ``segments`` is the
-    document in order.  Null, empty or wordless text has two empty arrays.
+    document in order.  Null, empty or wordless text has two empty arrays.  ``site`` names the source
+    column and the lines of each source that don't count (``lines.known_lines``).
     """
     names = np.array(model.languages)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model, site[1] if site else None))
     fields = [T.StructField(c, docs.schema[c].dataType) for c in (key, *keep)]
     schema = T.StructType([*fields, T.StructField("languages", T.ArrayType(_SPAN)), T.StructField("segments", T.ArrayType(_SPAN))])
 
@@ -272,13 +276,17 @@ def detect_languages(docs: DataFrame, model: LanguageModel, key: str = "doc_id",
         return (e / e.sum(1, keepdims=True))[np.arange(len(lang)), lang]
 
     def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = _Vocabulary(shared.value)
+        model, known = shared.value
+        vocab = _Vocabulary(model)
         k = len(names)
         for batch in by_size(batches, 1):
             if len(vocab) > 2_000_000:
-                vocab = _Vocabulary(shared.value)
+                vocab = _Vocabulary(model)
             n = batch.num_rows
-            at, words, lang, scores = classify(batch.column(1).to_pylist(), vocab)
+            texts = batch.column(1).to_pylist()
+            if known is not None:
+                texts = [cut_known(t, s, known)[0] for t, s in zip(texts, batch.column(2 + len(keep)).to_pylist())]
+            at, words, lang, scores = classify(texts, vocab)
             new = np.r_[True, (at[1:] != at[:-1]) | (lang[1:] != lang[:-1])] if len(at) else np.zeros(0, bool)
             seg = np.cumsum(new) - 1
             m = int(seg[-1]) + 1 if len(seg) else 0
@@ -298,7 +306,7 @@ def detect_languages(docs: DataFrame, model: LanguageModel, key: str = "doc_id",
             languages = spans(np.bincount(d_at, minlength=n), d_lang, d_words, softmax(by[d_at * k + d_lang], d_lang, d_words))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(2 + i) for i in range(len(keep))), languages, segments], [f.name for f in schema])
 
-    return docs.select(F.col(f"`{key}`"), F.col(f"`{text}`"), *[F.col(f"`{c}`") for c in keep]).mapInArrow(detect, schema)
+    return docs.select(F.col(f"`{key}`"), F.col(f"`{text}`"), *[F.col(f"`{c}`") for c in (*keep, *((site[0],) if site else ()))]).mapInArrow(detect, schema)
 
 
 def relabelled(detected: DataFrame, label: str, key: str = "doc_id") -> DataFrame:

@@ -308,6 +308,25 @@ def repeated_lines(
         return work.result(rows.select(key, "source", F.get("nos", F.col("c.at")).alias("line_no"), F.col("c.line_id").alias("line_id"), F.get("own", F.col("c.at")).alias("own"), F.get("head", F.col("c.at")).alias("head"), F.col("c.block").alias("block")), "repeated-lines")
 
 
+def known_lines(lines: DataFrame, most: int = 200_000) -> dict[str, tuple[set[int], set[str]]] | None:
+    """Source to the identifiers of its repeated lines and their first words; None if they are over ``most``."""
+    ids = lines.select("source", "own", "head").distinct()
+    if not is_small(ids, most, 64 << 20):
+        return None
+    by_source: dict[str, tuple[set[int], set[str]]] = {}
+    for r in ids.collect():  # at most ``most`` rows
+        known, heads = by_source.setdefault(r.source, (set(), set()))
+        known.add(r.own)
+        heads.add(r.head)
+    return by_source
+
+
+def cut_known(text: str | None, source: str | None, by_source: dict[str, tuple[set[int], set[str]]]) -> tuple[str | None, int]:
+    """The text without its source's known lines, and their number."""
+    gone = lines_to_cut(text, *by_source.get(source or "", (set(), set()))) if text else set()
+    return ("\n".join(x for i, x in enumerate(text.split("\n"), 1) if i not in gone) if gone else text), len(gone)
+
+
 def without_repeated_lines(docs: DataFrame, lines: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", most: int = 200_000) -> DataFrame:
     """``docs`` with the repeated lines cut from ``text`` and their number in ``n_cut``.
 
@@ -316,14 +335,9 @@ def without_repeated_lines(docs: DataFrame, lines: DataFrame, key: str = "doc_id
     stay where they are; over ``most`` identifiers the line numbers are joined by the key instead.
     Documents without any keep their text unchanged; null text stays null.
     """
-    ids = lines.select("source", "own", "head").distinct()
-    if not is_small(ids, most, 64 << 20):
+    by_source = known_lines(lines, most)
+    if by_source is None:
         return cut_line_numbers(docs, lines, key, text)
-    by_source: dict[str, tuple[set[int], set[str]]] = {}
-    for r in ids.collect():  # at most ``most`` rows
-        known, heads = by_source.setdefault(r.source, (set(), set()))
-        known.add(r.own)
-        heads.add(r.head)
     shared = docs.sparkSession.sparkContext.broadcast(by_source)
     names = [c for c in docs.columns if c != "n_cut"]
     schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("n_cut", T.IntegerType())])
@@ -333,9 +347,9 @@ def without_repeated_lines(docs: DataFrame, lines: DataFrame, key: str = "doc_id
         for batch in by_size(batches, t):
             texts, n_cut = [], []
             for value, of in zip(batch.column(t).to_pylist(), batch.column(s).to_pylist()):
-                gone = lines_to_cut(value, *shared.value.get(of or "", (set(), set()))) if value else set()
-                texts.append("\n".join(x for i, x in enumerate(value.split("\n"), 1) if i not in gone) if gone else value)
-                n_cut.append(len(gone))
+                kept, n = cut_known(value, of, shared.value)
+                texts.append(kept)
+                n_cut.append(n)
             cols = [pa.array(texts, pa.string()) if i == t else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n_cut, pa.int32())], [f.name for f in schema])
 

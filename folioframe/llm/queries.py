@@ -62,12 +62,15 @@ def p2_links(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     from folioframe.llm.langid import detect_languages, fit_language_model, relabelled
-    from folioframe.llm.lines import repeated_lines, without_repeated_lines
+    from folioframe.llm.lines import known_lines, repeated_lines, without_repeated_lines
 
     docs = sourced_documents(spark, d, "text", "lang")
     model = fit_language_model(widen(table(spark, d, "documents")).select("doc_id", "text", "lang"), "doc_id", "text", "lang")
-    clean = without_repeated_lines(docs, repeated_lines(docs))
-    return relabelled(detect_languages(clean, model, keep=("lang",)), "lang")
+    site = repeated_lines(docs)
+    known = known_lines(site)
+    if known is None:
+        return relabelled(detect_languages(without_repeated_lines(docs, site), model, keep=("lang",)), "lang")
+    return relabelled(detect_languages(docs, model, keep=("lang",), site=("source", known)), "lang")
 
 
 def p4_languages(spark: SparkSession, d: str) -> DataFrame:
