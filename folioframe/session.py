@@ -113,6 +113,17 @@ class Workspace:
         self.steps.append(_at_exit(self.spark)[-1])
         return out
 
+    def small(self, df: DataFrame, name: str, max_rows: int = 50_000, max_bytes: int = 16 << 20) -> tuple[DataFrame, int | None]:
+        """``df`` for a broadcast, with its number of rows, if it has at most ``max_rows`` rows of ``max_bytes``.
+
+        One job instead of a write, a count and a read; at most the bound comes to the driver.
+        Beyond it ``df`` is materialised and not hinted, and the number is None.
+        """
+        rows = df.limit(max_rows + 1).toArrow()
+        if rows.num_rows <= max_rows and rows.nbytes <= max_bytes:
+            return F.broadcast(self.spark.createDataFrame(rows, df.schema)), rows.num_rows
+        return self.materialise(df, name), None
+
     def result(self, df: DataFrame, name: str = "result") -> DataFrame:
         return materialise(df, name)
 
