@@ -182,7 +182,7 @@ def _capital_lines(work: Workspace, lines: DataFrame, counts: DataFrame, need: D
     # The last word is looked at first, as most lines go by it.
     last = F.substring_index("tpl", " ", -1)
     slots = _readings(lines.where("tpl is not null and not capitals"), "source", "tpl")
-    slots = slots.join(broadcast_if_small(half, 200_000), ["source", "line_id"], "left").join(broadcast_if_small(often), "source", "left")
+    slots = slots.join(broadcast_if_small(half, 200_000), ["source", "line_id"], "left").join(work.small(often, "capital-often")[0], "source", "left")
     slots = slots.where(F.col("half") | last.isin(NAME, NUMBER) | F.array_contains("ws", last))
     slots = slots.withColumn("tpl", F.when(F.col("reading") == 1, F.regexp_replace("tpl", rf"^\S+(?: {NAME})?(?= )", NAME)).otherwise(F.col("tpl"))).where(F.contains("tpl", F.lit(NAME)))
     fixed = F.filter(F.array_distinct(F.split("tpl", " ")), lambda x: ~x.isin(NAME, NUMBER))
@@ -192,10 +192,10 @@ def _capital_lines(work: Workspace, lines: DataFrame, counts: DataFrame, need: D
     rarest = of.groupBy("source", "line_id", "reading", "n", "tpl", "size").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("c", "w")).alias("r"), F.max("need").alias("need"))
     rarest = rarest.where((F.col("k") == F.col("size")) & (F.col("n") + F.col("r.c") >= F.col("need")))
     pattern = F.concat(F.lit("^"), F.replace("tpl", F.lit(NAME), F.lit(r"\S+(?: \S+)*")), F.lit("$"))
-    patterns = work.materialise(rarest.select("source", F.col("r.w").alias("w"), "reading", F.col("line_id").alias("to_id"), pattern.alias("pattern")), "capital-templates")
+    patterns = work.small(rarest.select("source", F.col("r.w").alias("w"), "reading", F.col("line_id").alias("to_id"), pattern.alias("pattern")), "capital-templates")[0]
     return (
         caps.select("*", F.explode(F.array_distinct(F.split("tpl", " "))).alias("w"))
-        .join(broadcast_if_small(patterns), ["source", "w"])
+        .join(patterns, ["source", "w"])
         .where(F.expr("tpl rlike pattern"))
         .select("source", key, "seq", "line_no", F.col("to_id").alias("line_id"), F.col("line_id").alias("own"), "head", "reading")
     )
@@ -212,7 +212,7 @@ def _surviving_lines(work: Workspace, lines: DataFrame, need: DataFrame, key: st
     plain = counts.where(F.col("n") >= F.col("need")).select("source", "line_id", "n")
     moved = work.materialise(_capital_lines(work, lines, counts, need, key), "filled-capitals")
     # Documents of the templates that lines in capitals fill, each counted once.
-    touched = broadcast_if_small(work.materialise(moved.select("source", "line_id").distinct(), "filled-templates"))
+    touched = work.small(moved.select("source", "line_id").distinct(), "filled-templates")[0]
     holders = _readings(lines.where("tpl is not null"), key, "source").where("first").join(touched, ["source", "line_id"]).select("source", "line_id", key)
     filled = holders.unionByName(moved.select("source", "line_id", key)).distinct().groupBy("source", "line_id").agg(F.count(F.lit(1)).alias("n"))
     both = plain.unionByName(filled.join(need, "source").where(F.col("n") >= F.col("need")).select("source", "line_id", "n"))
@@ -241,16 +241,16 @@ def suffix_array(work: Workspace, places: DataFrame) -> DataFrame:
     with enough documents.
     """
     w = W.partitionBy("lid").orderBy("at")
-    first = broadcast_if_small(work.materialise(_live(places, "line_id"), "suffix-groups"))
+    first = work.small(_live(places, "line_id"), "suffix-groups")[0]
     at = work.materialise(places.join(first, ["source", "line_id"]).withColumnRenamed("order", "r0"), "suffix-ranks")
     k = 0
     while True:
         step = 2**k
         near = at.withColumn("next", F.max(f"r{k}").over(w.rangeBetween(step, step)))
-        groups = work.materialise(_live(near.where(f"r{k} is not null and next is not null"), f"r{k}", "next"), "suffix-groups")
-        if groups.isEmpty():
+        groups, n = work.small(_live(near.where(f"r{k} is not null and next is not null"), f"r{k}", "next"), "suffix-groups")
+        if n == 0:
             break
-        at = work.materialise(near.join(broadcast_if_small(groups), ["source", f"r{k}", "next"], "left").withColumnRenamed("order", f"r{k + 1}").drop("next"), "suffix-ranks")
+        at = work.materialise(near.join(groups, ["source", f"r{k}", "next"], "left").withColumnRenamed("order", f"r{k + 1}").drop("next"), "suffix-ranks")
         k += 1
     tops = [(i, F.col(f"r{i}")) for i in range(k, -1, -1)]
     at = at.withColumn("common", F.coalesce(*[F.when(r.isNotNull(), 2**i) for i, r in tops]))
@@ -259,10 +259,10 @@ def suffix_array(work: Workspace, places: DataFrame) -> DataFrame:
     for j in range(k - 1, -1, -1):
         after = at.select("lid", F.col("at").alias("to"), F.col(f"r{j}").alias("next")).where("next is not null")
         near = at.withColumn("to", F.when(F.col("common") >= 2 ** (j + 1), F.col("at") + F.col("common"))).join(after, ["lid", "to"], "left")
-        groups = work.materialise(_live(near.where("next is not null"), "group", "next"), "suffix-groups")
-        if groups.isEmpty():
+        groups, n = work.small(_live(near.where("next is not null"), "group", "next"), "suffix-groups")
+        if n == 0:
             continue
-        grown = near.join(broadcast_if_small(groups), ["source", "group", "next"], "left")
+        grown = near.join(groups, ["source", "group", "next"], "left")
         longer = F.col("order").isNotNull()
         at = work.materialise(
             grown.withColumn("common", F.when(longer, F.col("common") + 2**j).otherwise(F.col("common")))
@@ -286,7 +286,7 @@ def repeated_lines(
     """
     per_source = docs.groupBy(F.coalesce(F.col(f"`{source}`"), F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("n"))
     with Workspace(docs.sparkSession) as work:
-        need = work.materialise(per_source.select("source", F.greatest(F.lit(float(min_docs)), F.col("n") * min_share).alias("need")), "block-needs")
+        need = work.small(per_source.select("source", F.greatest(F.lit(float(min_docs)), F.col("n") * min_share).alias("need")), "block-needs")[0]
         lines = work.materialise(document_lines(docs, key, text, source), "lines")
         alive = _surviving_lines(work, lines, need, key)
         # A document's surviving lines, one reading each, with a 0 where others stand between them.
@@ -303,7 +303,7 @@ def repeated_lines(
         reach = F.max(F.when(F.col("common") >= min_lines, F.struct((F.col("at") + F.col("common")).alias("end"), F.col("common").alias("block"))))
         reach = reach.over(W.partitionBy("lid").orderBy("at").rowsBetween(W.unboundedPreceding, 0))
         covered = found.withColumn("b", reach).where(F.col("b.end") > F.col("at")).groupBy("lid").agg(F.collect_list(F.struct("at", "line_id", "b.block")).alias("c"))
-        covered = broadcast_if_small(work.materialise(covered, "covered"))
+        covered = work.small(covered, "covered")[0]
         rows = sites.join(covered, "lid").select(key, "source", "nos", "own", "head", F.explode("c").alias("c"))
         return work.result(rows.select(key, "source", F.get("nos", F.col("c.at")).alias("line_no"), F.col("c.line_id").alias("line_id"), F.get("own", F.col("c.at")).alias("own"), F.get("head", F.col("c.at")).alias("head"), F.col("c.block").alias("block")), "repeated-lines")
 
