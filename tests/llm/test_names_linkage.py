@@ -147,3 +147,58 @@ def test_chains_are_followed_to_their_end(spark):
 def test_abbreviations():
     assert names.abbreviates("wm", "william") and names.abbreviates("hist", "historical") and names.abbreviates("prtrs", "printers")
     assert not names.abbreviates("w", "william") and not names.abbreviates("bill", "william") and not names.abbreviates("william", "william")
+
+
+def most_rows_broadcast(spark, since):
+    """The largest number of rows in a broadcast of the executions after ``since``, and the last execution."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs = store.executionsList()
+    ids = [i for i in (runs.apply(k).executionId() for k in range(runs.size())) if i > since]
+    most = 0
+    for i in ids:
+        values, nodes = store.executionMetrics(i), store.planGraph(i).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            if node.name().startswith("BroadcastExchange"):
+                metrics = node.metrics()
+                rows = [m.accumulatorId() for m in (metrics.apply(k) for k in range(metrics.size())) if m.name() == "number of output rows"]
+                most = max([most, *(int(values.apply(r).replace(",", "")) for r in rows if values.contains(r))])
+    return most, max([since, *ids])
+
+
+def test_keys_of_names_are_not_broadcast(spark):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("bcdfglmnprstvz") + rnd.choice("aeiou") for _ in range(5)).title()
+    orgs, people = [f"{word()} {word()} Society" for _ in range(300)], [f"Thomas {word()}" for _ in range(300)]
+    odd = [(orgs[0], orgs[0][1:]), (people[0], people[0][:-1])]
+    _, since = most_rows_broadcast(spark, -1)
+    got = pairs(spark, [x for x in orgs + people for _ in range(3)] + [b for _, b in odd])
+    assert got == {(min(p), max(p)) for p in odd}
+    most, last = most_rows_broadcast(spark, since)
+    # Every word here has some fifty keys; a broadcast may hold the spellings, their words or their readings.
+    assert last > since and 0 < most <= 2 * 602
+
+
+def test_organisations_meet_as_by_brute_force(spark):
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice("bcdfglmnprstvz") + rnd.choice("aeiou") for _ in range(n))
+
+    def odd(w):
+        i = rnd.randrange(len(w) - 1)
+        return rnd.choice([w[:i] + w[i + 1 :], w[:i] + w[i + 1] + w[i] + w[i + 2 :], w[:i] + "x" + w[i:], w[:4], w[0] + w[2:4] + w[-1], w[:3]])
+
+    common = ["society", "historical", "travellers", "improvement", "the", "soc"]
+    forms = {tuple(sorted({rnd.choice(common), rnd.choice(common), word(rnd.randint(2, 5))})) for _ in range(150)}
+    for f in sorted(forms):
+        forms |= {tuple(sorted({odd(w) if rnd.random() < 0.4 else w for w in f})) for _ in range(2)}
+    df = Counter(w for f in forms for w in f)
+    rows = [(list(f), float(rnd.randint(1, 3)), sorted(f, key=lambda w: (df[w], w))[:2]) for f in sorted(forms)]
+    a = [(v, c) for v in rows for c in rows if len(v[0]) == len(c[0]) and v[0] != c[0] and (c[1] > v[1] or c[1] == v[1] and str(c[0]) < str(v[0]))]
+    meet = lambda v, c: any(names.deletions(x, names.edits_allowed(x)) & names.deletions(y, names.edits_allowed(y)) for x in v[2] for y in c[2])
+    met = [(v, c) for v, c in a if meet(v, c)]
+    asked = spark.createDataFrame([(*v[:1], *c[:1], v[2], c[2]) for v, c in met], "v array<string>, c array<string>, vk array<string>, ck array<string>")
+    want = {(tuple(r.v), tuple(r.c)) for r in asked.where(names._org_udf("v", "c", "vk", "ck") > -13).collect()}
+    with Workspace(spark) as work:
+        found = names._org_pairs(work, spark.createDataFrame(rows, "org array<string>, freq double, keys array<string>"))
+        got = [(tuple(r.v), tuple(r.c)) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
